@@ -151,8 +151,8 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tup
         within = np.arange(out_at[-1]) - np.repeat(out_at[:-1], n)
         out[take] = full[(np.repeat(at[:-1], n) + within)[take]]
     for i in np.flatnonzero((n_words > 0) & (n_words < width)):
-        h = np.uint64(n_words[i])
+        h = np.array([n_words[i]], np.uint64)
         for w in words[at[i] : at[i + 1]]:
-            h = mix(np.array([h * np.uint64(3) + w], np.uint64))[0]
-        out[out_at[i]] = h
+            h = mix(h * np.uint64(3) + w)
+        out[out_at[i]] = h[0]
     return out, out_at
