@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwright.llm import bpe_transducer, chat_format, jaccard_join, license_scan, packing, topk_search
+from cellwright.llm import bpe_transducer, chat_format, jaccard_join, license_scan, packing, topk_search, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_format": chat_format.op2_chat_format,
         "op5_license_scan": license_scan.op5_license_scan,
         "op6_ngram_jaccard": jaccard_join.op6_ngram_jaccard,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_packing": packing.op8_packing,
         "op10_bpe_transducer": bpe_transducer.op10_bpe_transducer,
     }
