@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwright.llm import bpe_transducer, chat_format, jaccard_join, license_scan, packing, topk_search, toxicity
+from cellwright.llm import bpe_transducer, chat_format, jaccard_join, license_scan, packing, suffix_dedup, topk_search, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ngram_jaccard": jaccard_join.op6_ngram_jaccard,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_packing": packing.op8_packing,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_bpe_transducer": bpe_transducer.op10_bpe_transducer,
     }
 
