@@ -97,16 +97,16 @@ def hit_ranks(hits: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, ranks: np.ndarray, buckets: int, width: int, percent: int) -> DataFrame:
-    """bucket, tokens, nodes, sizes, counts: prefix tokens of each different set of a task, packed by bucket."""
+    """bucket, tokens, nodes, counts, sizes: prefix tokens of each different set of a task, packed by bucket."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    names = ["bucket", "tokens", "nodes", "counts"]
+    names = ["bucket", "tokens", "nodes", "counts", "sizes"]
 
-    def packed(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        tokens = np.concatenate([t for _, t in held])
-        node = np.repeat(np.arange(len(held)), [len(t) for _, t in held])
+    def packed(held: list[tuple[int, np.ndarray, int]]) -> pa.RecordBatch:
+        tokens = np.concatenate([t for _, t, _ in held])
+        node = np.repeat(np.arange(len(held)), [len(t) for _, t, _ in held])
         bucket = (tokens >> np.uint64(32)).astype(np.int64) % buckets
         order = np.argsort(bucket, kind="stable")
-        digests = np.array([d for d, _ in held], np.int64)
+        digests, sizes = np.array([d for d, _, _ in held], np.int64), np.array([n for _, _, n in held], "<i4")
         out: list[list] = [[] for _ in names]
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
             first = np.flatnonzero(np.diff(node[part], prepend=-1))
@@ -114,6 +114,7 @@ def postings(docs: DataFrame, ranks: np.ndarray, buckets: int, width: int, perce
             out[1].append(tokens[part].astype("<u8").tobytes())
             out[2].append(digests[node[part[first]]].tobytes())
             out[3].append(np.diff(np.append(first, len(part))).astype("<i4").tobytes())
+            out[4].append(sizes[node[part[first]]].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +125,7 @@ def postings(docs: DataFrame, ranks: np.ndarray, buckets: int, width: int, perce
                     continue
                 seen.add(d)
                 order = np.lexsort((tokens, rank[(tokens % np.uint64(COUNTERS)).astype(np.int64)]))
-                held.append((d, tokens[order[: prefix_length(len(tokens), percent)]]))
+                held.append((d, tokens[order[: prefix_length(len(tokens), percent)]], len(tokens)))
                 size += len(held[-1][1])
                 if size > 2_000_000:
                     yield packed(held)
@@ -132,24 +133,31 @@ def postings(docs: DataFrame, ranks: np.ndarray, buckets: int, width: int, perce
         if held:
             yield packed(held)
 
-    return doc_texts(docs).select("text").mapInArrow(scan, "bucket int, tokens binary, nodes binary, counts binary")
+    return doc_texts(docs).select("text").mapInArrow(scan, "bucket int, tokens binary, nodes binary, counts binary, sizes binary")
 
 
-def hub_members(posted: DataFrame) -> DataFrame:
-    """hub, node: each member of a posting list of two or more with the list's hub, every pair once."""
+def hub_members(posted: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """hub, node: each member of a posting list of two or more with the list's hub, every pair once.
+
+    A list ordered by set size is cut wherever a size is too far above the one before it: no pair across a cut can link.
+    """
 
     def lists(pdf: pd.DataFrame) -> pd.DataFrame:
         tokens = np.concatenate([np.frombuffer(x, "<u8") for x in pdf["tokens"]])
-        nodes = np.repeat(np.concatenate([np.frombuffer(x, "<i8") for x in pdf["nodes"]]), np.concatenate([np.frombuffer(x, "<i4") for x in pdf["counts"]]))
+        counts = np.concatenate([np.frombuffer(x, "<i4") for x in pdf["counts"]])
+        nodes = np.repeat(np.concatenate([np.frombuffer(x, "<i8") for x in pdf["nodes"]]), counts)
+        sizes = np.repeat(np.concatenate([np.frombuffer(x, "<i4") for x in pdf["sizes"]]), counts).astype(np.int64)
         order = np.argsort(tokens, kind="stable")
-        tokens = tokens[order]
-        first = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]))
-        length = np.diff(np.append(first, len(tokens)))
-        shared = np.repeat(length > 1, length)
-        nodes, length = nodes[order][shared], length[length > 1]
-        if not len(length):
+        ordered = tokens[order]
+        alone = np.append(True, ordered[1:] != ordered[:-1])
+        order = order[~(alone & np.append(alone[1:], True))]
+        order = order[np.lexsort((nodes[order], sizes[order], tokens[order]))]
+        tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
+        if not len(tokens):
             return pd.DataFrame({"hub": [], "node": []}).astype("int64")
-        hub = np.repeat(np.minimum.reduceat(nodes, np.cumsum(length) - length), length)
+        new = np.append(True, (tokens[1:] != tokens[:-1]) | (100 * sizes[:-1] < percent * sizes[1:]))
+        first = np.flatnonzero(new)
+        hub = np.repeat(np.minimum.reduceat(nodes, first), np.diff(np.append(first, len(nodes))))
         pairs = np.unique(np.stack([hub, nodes], 1)[hub != nodes], axis=0)
         return pd.DataFrame({"hub": pairs[:, 0], "node": pairs[:, 1]})
 
@@ -221,21 +229,32 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int, p
         pairs.join(blocks, "hub").withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("hub", "node", "side", F.least("side", "other").alias("row"), F.greatest("side", "other").alias("column"))
     )
+    names = ["hub", "row", "column", "node", "side", "tokens"]
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, digest, packed = None, None, b""
         for batch in batches:
-            sets = list(_sets(batch.column("text"), width))
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "tokens"])
-
-    wanted = pairs.select("node").distinct().join(classes, F.col("node") == F.col("digest")).select(F.col("rep").alias("doc_id")).distinct()
-    sets = doc_texts(docs).join(wanted, "doc_id", "left_semi").select("text").mapInArrow(tokens, "node long, tokens binary").dropDuplicates(["node"])
+            for part in range(0, batch.num_rows, 256):  # bounded batches of sets
+                rows = batch.slice(part, 256)
+                out = []
+                for node, text in zip(rows.column("node").to_pylist(), rows.column("text").to_pylist()):
+                    if digest is None or text != last:
+                        found = next(_sets(pa.array([text], pa.string()), width))
+                        last, digest, packed = text, _digest(found), found.astype("<u8").tobytes()
+                    out.append(packed if digest == node else None)
+                done = pa.RecordBatch.from_arrays([*(rows.column(c) for c in names[:-1]), pa.array(out, pa.binary())], names)
+                yield done.filter(done.column("tokens").is_valid())
+
+    # the text meets its cells in one join; sets are made behind it and dealt by cell
+    placed = cells.join(classes.select(F.col("digest").alias("node"), F.col("rep").alias("doc_id")), "node")
+    sets = doc_texts(docs).join(placed, "doc_id").select(*names[:-1], "text").mapInArrow(tokens, "hub long, row int, column int, node long, side int, tokens binary")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
+        pdf = pdf.drop_duplicates("node").sort_values("node")
         found = link_group(pdf["node"].to_numpy(), [np.frombuffer(x, "<u8") for x in pdf["tokens"]], pdf["side"].to_numpy(), percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return cells.join(sets, "node").groupBy("hub", "row", "column").applyInPandas(compare, "a long, b long")
+    return sets.groupBy("hub", "row", "column").applyInPandas(compare, "a long, b long")
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:
@@ -259,7 +278,7 @@ def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, percent: int = P
     size = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     buckets = max(24, math.ceil(size * (100 - percent) / 100 / POSTINGS_A_BUCKET))
     classes = saved(nodes.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    members = hub_members(postings(docs, hit_ranks(hits), buckets, width, percent))
+    members = hub_members(postings(docs, hit_ranks(hits), buckets, width, percent), percent)
     labels = smallest_reachable(links(docs, classes, members, width, percent))
     grouped = classes.join(labels, classes["digest"] == labels["node"], "left").select("digest", "rep", F.coalesce("label", "digest").alias("label"))
     merged = grouped.select("digest", "label").join(grouped.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("digest", "component_id")
