@@ -34,7 +34,7 @@ from cellwright.llm.common import doc_texts, prefix_hash, saved, span_hash, tabl
 
 LENGTH, GRAM = 100, 24
 SHALLOW = 16
-ENTRIES_A_BUCKET, CONTENTS_A_GROUP, HELD = 1_000_000, 20_000, 1_000_000
+ENTRIES_A_BUCKET, CONTENTS_A_GROUP, HELD = 400_000, 20_000, 1_000_000
 _SPAN = np.dtype([("start", "<i4"), ("end", "<i4")])
 _OPEN = np.dtype([("gram", "<u8"), ("start", "<i4"), ("end", "<i4"), ("groups", "<i4")])
 _ENTRY = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
@@ -90,7 +90,7 @@ def _spans(e: np.ndarray) -> np.ndarray:
 
 
 def entries(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """bucket, doc_id, data: packed stretches by bucket (doc_id null), and spans that a task has resolved alone (bucket null)."""
+    """bucket, doc_id, data: packed stretches by bucket (doc_id null), and the spans that a task has resolved alone, by document."""
     names = ["bucket", "doc_id", "data"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +105,7 @@ def entries(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
             parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
             keys = [int(bucket[p[0]]) for p in parts]
             return pa.RecordBatch.from_arrays(
-                [pa.array([None] * len(ids) + keys, pa.int32()), pa.array(ids + [None] * len(keys), pa.int64()), pa.array(spans + [e[p].tobytes() for p in parts], pa.binary())], names
+                [pa.array([i % buckets for i in ids] + keys, pa.int32()), pa.array(ids + [None] * len(keys), pa.int64()), pa.array(spans + [e[p].tobytes() for p in parts], pa.binary())], names
             )
 
         for batch in batches:
@@ -127,8 +127,10 @@ def entries(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
 
 def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: spans to remove (is_open false), and stretches whose bytes must be seen (is_open true), by document."""
-    e, repeated = _repeats(np.concatenate([np.frombuffer(x, _ENTRY) for x in pdf["data"]]))
+    packed = pdf["doc_id"].isna()
+    e, repeated = _repeats(np.concatenate([np.empty(0, _ENTRY), *(np.frombuffer(x, _ENTRY) for x in pdf["data"][packed])]))
     ids, spans = _by_doc(e["doc"][repeated], _spans(e[repeated]))
+    ids, spans = ids + pdf["doc_id"][~packed].astype("int64").tolist(), spans + pdf["data"][~packed].tolist()
     heads = e[~repeated]
     heads = heads[np.append(True, (heads["gram"][1:] != heads["gram"][:-1]) | (heads["whole"][1:] != heads["whole"][:-1]))] if len(heads) else heads
     _, code, n = np.unique(heads["gram"], return_inverse=True, return_counts=True)
@@ -288,11 +290,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """doc_id, spans (array of packed start and end pairs, unmerged) of the documents that lose bytes."""
     size = docs.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     buckets = max(24, math.ceil(2 * size / (length - gram + 2) / ENTRIES_A_BUCKET))
-    scanned = saved(entries(docs, buckets, length, gram), "stretches")
-    resolved = saved(scanned.where("bucket IS NOT NULL").groupBy("bucket").applyInPandas(resolve, "doc_id long, is_open boolean, data binary"), "resolved")
+    found_by_bucket = entries(docs, buckets, length, gram).groupBy("bucket").applyInPandas(resolve, "doc_id long, is_open boolean, data binary")
+    resolved = saved(found_by_bucket, "resolved")
     seen = contexts(docs, resolved.where("is_open").select("doc_id", "data"), buckets)
     found = seen.groupBy("bucket").applyInPandas(sort_contexts(length), "doc_id long, data binary")
-    every = scanned.where("bucket IS NULL").select("doc_id", "data").unionByName(resolved.where("NOT is_open").select("doc_id", "data")).unionByName(found)
+    every = found.unionByName(resolved.where("NOT is_open").select("doc_id", "data"))
     return every.groupBy("doc_id").agg(F.collect_list("data").alias("spans"))
 
 
