@@ -90,8 +90,8 @@ def _spans(e: np.ndarray) -> np.ndarray:
 
 
 def entries(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """bucket, doc_id, data: packed stretches by bucket (doc_id null), and the spans that a task has resolved alone, by document."""
-    names = ["bucket", "doc_id", "data"]
+    """bucket, packed, doc_id, data: packed stretches by bucket, and the spans that a task has resolved alone, by document (packed false)."""
+    names = ["bucket", "packed", "doc_id", "data"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -105,7 +105,7 @@ def entries(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
             parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
             keys = [int(bucket[p[0]]) for p in parts]
             return pa.RecordBatch.from_arrays(
-                [pa.array([i % buckets for i in ids] + keys, pa.int32()), pa.array(ids + [None] * len(keys), pa.int64()), pa.array(spans + [e[p].tobytes() for p in parts], pa.binary())], names
+                [pa.array([i % buckets for i in ids] + keys, pa.int32()), pa.array([False] * len(ids) + [True] * len(keys)), pa.array(ids + [0] * len(keys), pa.int64()), pa.array(spans + [e[p].tobytes() for p in parts], pa.binary())], names
             )
 
         for batch in batches:
@@ -122,15 +122,15 @@ def entries(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
         if size:
             yield flushed()
 
-    return doc_texts(docs).where("doc_id IS NOT NULL").mapInArrow(scan, "bucket int, doc_id long, data binary")
+    return doc_texts(docs).where("doc_id IS NOT NULL").mapInArrow(scan, "bucket int, packed boolean, doc_id long, data binary")
 
 
 def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: spans to remove (is_open false), and stretches whose bytes must be seen (is_open true), by document."""
-    packed = pdf["doc_id"].isna()
+    packed = pdf["packed"]
     e, repeated = _repeats(np.concatenate([np.empty(0, _ENTRY), *(np.frombuffer(x, _ENTRY) for x in pdf["data"][packed])]))
     ids, spans = _by_doc(e["doc"][repeated], _spans(e[repeated]))
-    ids, spans = ids + pdf["doc_id"][~packed].astype("int64").tolist(), spans + pdf["data"][~packed].tolist()
+    ids, spans = ids + pdf["doc_id"][~packed].tolist(), spans + pdf["data"][~packed].tolist()
     heads = e[~repeated]
     heads = heads[np.append(True, (heads["gram"][1:] != heads["gram"][:-1]) | (heads["whole"][1:] != heads["whole"][:-1]))] if len(heads) else heads
     _, code, n = np.unique(heads["gram"], return_inverse=True, return_counts=True)
