@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwright.llm import bpe_transducer, chat_format, jaccard_join, license_scan, packing, suffix_dedup, topk_search, toxicity
+from cellwright.llm import bpe_transducer, chat_format, jaccard_join, license_scan, neighbour_graph, packing, pseudo_likelihood, suffix_dedup, topk_search, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk_search": topk_search.op1_topk_search,
         "op2_chat_format": chat_format.op2_chat_format,
+        "op3_pseudo_likelihood": pseudo_likelihood.op3_pseudo_likelihood,
+        "op4_neighbour_graph": neighbour_graph.op4_neighbour_graph,
         "op5_license_scan": license_scan.op5_license_scan,
         "op6_ngram_jaccard": jaccard_join.op6_ngram_jaccard,
         "op7_toxicity": toxicity.op7_toxicity,
