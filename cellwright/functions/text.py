@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def matches(value: Column, *patterns: str) -> Column:
@@ -63,6 +64,6 @@ def _jaro_winkler(a: str, b: str, scale: float = 0.1, longest: int = 4, boost: f
     return jaro + prefix * scale * (1 - jaro) if jaro > boost else jaro
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_jaro_winkler(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
