@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +56,12 @@ def fd_partition_features(df: DataFrame, record_id: str, fd: FD) -> DataFrame:
     A cluster is a group of records with equal left-hand values; groups of one record are ``clust-zero``. Clusters are as
     many as values, so they are hashed, not one-hot encoded.
     """
-    sizes = df.groupBy(*fd.lhs).agg(F.count("*").alias("size_"))
-    match = [df[c].eqNullSafe(sizes[c]) for c in fd.lhs]
-    joined = df.join(sizes, match).select(df[record_id].alias("recid"), F.when(F.col("size_") > 1, F.concat_ws("|", *[df[c].cast("string") for c in fd.lhs])).otherwise("clust-zero").alias("cluster"), F.col("size_").alias("cluster_size"))
+    keys = [f"k{i}" for i in range(len(fd.lhs))]
+    rows = df.select(F.col(record_id).alias("recid"), *[F.col(c).cast("string").alias(k) for c, k in zip(fd.lhs, keys)])
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("cluster_size"))
+    both = rows.alias("r").join(sizes.alias("s"), reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]))
+    name = F.when(F.col("cluster_size") > 1, F.concat_ws("|", *[F.col(f"r.{k}") for k in keys])).otherwise("clust-zero")
+    joined = both.select("recid", name.alias("cluster"), "cluster_size")
     return joined.select("recid", F.explode(F.array(*[F.lit(a) for a in fd.attributes])).alias("attr"), "cluster", "cluster_size")
 
 

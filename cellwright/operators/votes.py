@@ -120,7 +120,11 @@ def dawid_skene(triplets: DataFrame, max_iter: int = 25, tol: float = 1e-4, init
         if not confusion:
             break
         table = F.create_map(*[x for (a, z, y), v in confusion.items() for x in (F.lit(f"{a}|{z}|{y}"), F.lit(float(np.log(v))))])
-        log_of = lambda z: F.aggregate("pattern", F.lit(0.0), lambda s, v, z=z: s + table[F.concat_ws("|", v["annotator"].cast("string"), F.lit(str(z)), v["y"].cast("string"))])
+
+        def log_of(z: int, table=table) -> Column:
+            """Sum of the logarithms of a pattern's votes, were z the truth."""
+            return F.aggregate("pattern", F.lit(0.0), lambda s, v: s + table[F.concat_ws("|", v["annotator"].cast("string"), F.lit(str(z)), v["y"].cast("string"))])
+
         p1 = prior.a / prior.b
         odds = F.lit(float(np.log(p1 / (1 - p1)))) + log_of(1) - log_of(0)
         posterior = patterns.select("pattern", "n", (1 / (1 + F.exp(-odds))).alias("p"))
