@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwright.queries import cells, profiles, repairs, votes  # noqa: F401  they put their queries on record
+from cellwright.queries import cells, learned, profiles, repairs, votes  # noqa: F401  they put their queries on record
 from cellwright.queries.registry import ORACLES, QUERIES
 
 
