@@ -98,7 +98,7 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
 def fit_trees(nodes: DataFrame, n: int) -> Trees:
     share = min(1.0, SAMPLE / max(n, 1) * 1.1)
     sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1_000_000 * share)).select("packed").limit(SAMPLE).collect() if n else []  # at most SAMPLE rows
-    x = np.array([np.frombuffer(r.packed, "<f4") for r in sample], np.float32).reshape(len(sample), -1)
+    x = np.stack([np.frombuffer(r.packed, "<f4") for r in sample]) if sample else np.zeros((0, 0), np.float32)
     return Trees(x, LEAF / max(n, LEAF), TREES)
 
 
