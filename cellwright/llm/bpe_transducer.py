@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright.llm.bpe import Bpe, Encoder
-from cellwright.llm.common import doc_texts, prefix_hash, span_hash, table, text_runs
+from cellwright.llm.common import doc_texts, prefix_hash, saved, span_hash, table, text_runs
 
 LEXICON_WORDS = 32_768
 
@@ -183,9 +183,19 @@ def word_counts(docs: DataFrame, bpe: Bpe, flush: int = 1_000_000) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, bpe: Bpe, size: int = LEXICON_WORDS) -> Transducer:
-    """The ``size`` most frequent words of all documents, ties by word."""
-    top = [r.word.encode() for r in word_counts(docs, bpe).orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
-    words = sorted(top)
+    """The ``size`` most frequent words of all documents, ties by word.
+
+    A histogram of the counts' orders of magnitude tells from which count on words are wanted, so that hardly more than
+    ``size`` words leave the tasks.
+    """
+    counts = saved(word_counts(docs, bpe).withColumn("magnitude", F.floor(F.log2("n") * 8).cast("int")), "words")
+    least, above = 0, 0
+    for r in counts.groupBy("magnitude").count().orderBy(F.desc("magnitude")).collect():  # a few hundred rows at most
+        least, above = r.magnitude, above + r["count"]
+        if above >= size:
+            break
+    top = counts.where(F.col("magnitude") >= least).orderBy(F.desc("n"), "word").limit(size).select("word")
+    words = sorted(r.word.encode() for r in top.collect())
     return Transducer.build(words, bpe.merge(words))
 
 
