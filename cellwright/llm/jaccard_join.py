@@ -35,6 +35,8 @@ COUNTERS, CHUNKS = 1 << 19, 16
 ORDERS = (0x51ED27, 0xA24BAE)
 GROUP, BITMAP = 2048, 2048
 POSTINGS_A_BUCKET = 2_000_000
+#: Prefixes are longer by SHARED - 1 tokens than one shared token needs, so linked sets share SHARED of them.
+SHARED = 4
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -125,7 +127,7 @@ def postings(docs: DataFrame, ranks: np.ndarray, buckets: int, width: int, perce
                     continue
                 seen.add(d)
                 order = np.lexsort((tokens, rank[(tokens % np.uint64(COUNTERS)).astype(np.int64)]))
-                held.append((d, tokens[order[: prefix_length(len(tokens), percent)]], len(tokens)))
+                held.append((d, tokens[order[: prefix_length(len(tokens), percent) + SHARED - 1]], len(tokens)))
                 size += len(held[-1][1])
                 if size > 2_000_000:
                     yield packed(held)
@@ -137,9 +139,12 @@ def postings(docs: DataFrame, ranks: np.ndarray, buckets: int, width: int, perce
 
 
 def hub_members(posted: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """hub, node: each member of a posting list of two or more with the list's hub, every pair once.
+    """hub, node: which documents have to meet, every pair once.
 
     A list ordered by set size is cut wherever a size is too far above the one before it: no pair across a cut can link.
+    Of a list of two or three the pairs are counted by themselves, over all lists: linked sets share SHARED tokens of
+    their prefixes (fewer, if their overlap can be smaller), so a pair that meets less often and in no longer list is
+    dropped. In longer lists every member meets the list's hub.
     """
 
     def lists(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -153,15 +158,26 @@ def hub_members(posted: DataFrame, percent: int = PERCENT) -> DataFrame:
         order = order[~(alone & np.append(alone[1:], True))]
         order = order[np.lexsort((nodes[order], sizes[order], tokens[order]))]
         tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
+        # a set posted by several tasks stands in a list once
+        once = np.append(True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])) if len(tokens) else np.empty(0, bool)
+        tokens, nodes, sizes = tokens[once], nodes[once], sizes[once]
         if not len(tokens):
-            return pd.DataFrame({"hub": [], "node": []}).astype("int64")
+            return pd.DataFrame({"hub": [], "node": [], "met": [], "need": []}).astype("int64")
         new = np.append(True, (tokens[1:] != tokens[:-1]) | (100 * sizes[:-1] < percent * sizes[1:]))
         first = np.flatnonzero(new)
-        hub = np.repeat(np.minimum.reduceat(nodes, first), np.diff(np.append(first, len(nodes))))
-        pairs = np.unique(np.stack([hub, nodes], 1)[hub != nodes], axis=0)
-        return pd.DataFrame({"hub": pairs[:, 0], "node": pairs[:, 1]})
-
-    return posted.groupBy("bucket").applyInPandas(lists, "hub long, node long").distinct()
+        length = np.diff(np.append(first, len(nodes)))
+        at = [(first[length == 2], 0, 1), *((first[length == 3], i, j) for i, j in ((0, 1), (0, 2), (1, 2)))]
+        a, b = np.concatenate([f + i for f, i, _ in at]), np.concatenate([f + j for f, _, j in at])
+        need = np.minimum(SHARED, -(-percent * sizes[b] // 100))  # sizes[b] is the larger one
+        short = np.stack([np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b]), need], 1)
+        many = np.repeat(length > 3, length)
+        hub = np.repeat(np.minimum.reduceat(nodes, first), length)
+        star = np.stack([hub, nodes, np.zeros(len(hub), np.int64)], 1)[many & (hub != nodes)]
+        pairs, met = np.unique(np.concatenate([short, star]), axis=0, return_counts=True)
+        return pd.DataFrame({"hub": pairs[:, 0], "node": pairs[:, 1], "met": met, "need": pairs[:, 2]})
+
+    found = posted.groupBy("bucket").applyInPandas(lists, "hub long, node long, met long, need long")
+    return found.groupBy("hub", "node").agg(F.sum("met").alias("met"), F.min("need").alias("need")).where("met >= need").select("hub", "node")
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
