@@ -31,7 +31,7 @@ from cellwright.llm.common import saved, table
 
 K, DEGREE, TREES, LEAF, ROUNDS = 10, 24, 8, 800, 3
 SAMPLE, BLOCK = 20_000, 2048
-BEAM, WIDTH, STEPS, STARTS = 240, 60, 10, 32
+BEAM, WIDTH, STEPS, STARTS = 320, 80, 10, 32
 
 
 class Trees:
