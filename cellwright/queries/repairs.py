@@ -186,9 +186,9 @@ def k3(spark, d):
     return inject.inject_placeholder(U.dirty(spark, d), "c_mktsegment").select("recid", "c_mktsegment")
 
 
-@query("K4_inject_variants", U.sql("SELECT recid, c_acctbal || CASE WHEN recid % 10 < 5 THEN ' oz' WHEN recid % 10 < 7 THEN ' ounce' WHEN recid % 10 < 8 THEN ' OZ.' WHEN recid % 10 < 9 THEN ' oz. Alumi-Tek' ELSE '' END AS c_acctbal FROM clean"))
+@query("K4_inject_variants", U.sql("SELECT recid, c_acctbal || CASE WHEN recid % 10 < 5 THEN ' oz' WHEN recid % 10 < 7 THEN ' ounce' WHEN recid % 10 < 8 THEN ' OZ.' WHEN recid % 10 < 9 THEN ' oz can' ELSE '' END AS c_acctbal FROM clean"))
 def k4(spark, d):
-    return inject.inject_variants(U.clean(spark, d), "c_acctbal", [" oz", " ounce", " OZ.", " oz. Alumi-Tek", ""], [5, 2, 1, 1, 1], F.col("recid")).select("recid", "c_acctbal")
+    return inject.inject_variants(U.clean(spark, d), "c_acctbal", [" oz", " ounce", " OZ.", " oz can", ""], [5, 2, 1, 1, 1], F.col("recid")).select("recid", "c_acctbal")
 
 
 @query("K5_join_sources", "SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
