@@ -1,8 +1,11 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A small network predicts every token from the two tokens on each side of it, never from the token itself; a
-document's score is the sum of its tokens' conditional log-probabilities. The vocabulary is the corpus's own: the FREQUENT
-most frequent words over all documents, and hashed classes for the rest. The network (position-wise embeddings, tanh, a
+document's score is the sum of its tokens' conditional log-probabilities. The vocabulary is the corpus's own, every word of
+it: the network knows the FREQUENT most frequent words over all documents and HASHED classes of the others; a word of a
+class has the probability of its class times its share of the class's occurrences, count(word) / count(class). The counts
+of all words stay a table. Those of the most frequent words, HELD at most, go to every task; what documents hold of the
+others is joined with the table by the word's hash. The network (position-wise embeddings, tanh, a
 two-level softmax over groups of GROUP tokens) is trained here, over all tokens of all documents: in each round every
 task starts from the common parameters, makes steps over its own documents, and the parameters are averaged in
 proportion to tokens. Averages are taken block by block in two levels, so that only the finished network, of a fixed
@@ -12,7 +15,8 @@ The result depends on how documents are dealt to tasks only as far as the order
 
 Defined cases: a null or wordless text has no tokens, log-likelihood 0 and a null mean; any length is read whole;
 repeated rows count and train as often as they occur and give repeated results; equally frequent words are taken in the
-order of their hashes; an empty table gives no rows; other columns are ignored.
+order of their hashes; words are told apart by 64-bit hashes; a word that the training documents lack counts as one
+occurrence, and a class that they lack too; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import LOWER, doc_texts, mix, prefix_hash, span_hash, spans, table, text_runs
+from cellwright.llm.common import LOWER, doc_texts, mix, prefix_hash, saved, span_hash, spans, table, text_runs
 
 FREQUENT, HASHED, GROUP, SIZE, SIDE, ROUNDS = 960, 64, 32, 24, 2, 2
 BATCH, RATE, BLOCKS = 4096, 0.08, 16
+#: Words whose counts are sent to every task; the counts of the others are joined.
+HELD = 65_536
 #: Bound of logits either way.
 LIMIT = 40.0
 VOCABULARY = FREQUENT + HASHED
@@ -42,8 +48,48 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hash(prefix_hash(LOWER[data]), starts, ends), np.searchsorted(starts, offsets)
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words, most frequent first."""
+def class_of(words: np.ndarray) -> np.ndarray:
+    return (mix(words) % np.uint64(HASHED)).astype(np.int64)
+
+
+class Vocabulary:
+    """``frequent``, hashes of the most frequent words, most frequent first; ``held`` and ``held_n``, hashes in their order and
+    counts of words whose counts every task gets; ``rest``, the table (key, n) of the other words that occur more than once;
+    ``class_n``, occurrences by class."""
+
+    def __init__(self, counts: DataFrame):
+        size = F.floor(F.log2("n") * 8)
+        self.frequent = self._hashes([r.key for r in counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()])
+        least, words = 0, 0  # sizes from least on make up HELD words at most
+        for r in sorted(counts.groupBy(size.alias("size")).count().collect(), reverse=True):
+            words += r["count"]
+            if words > HELD:
+                least = r["size"] + 1
+                break
+        held = counts.where(size >= least).collect()
+        keys, n = self._hashes([r.key for r in held]), np.array([r.n for r in held], np.int64)
+        order = np.argsort(keys)
+        self.held, self.held_n = keys[order], n[order]
+        self.rest = counts.where((size < least) & (F.col("n") > 1))
+
+        def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(HASHED, np.int64)
+            for batch in batches:
+                np.add.at(total, class_of(batch.column("key").to_numpy().view(np.uint64)), batch.column("n").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(range(HASHED), pa.int32()), pa.array(total)], ["class", "n"])
+
+        rare = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(int(k),) for k in self.frequent.view(np.int64)], "key long")), "key", "left_anti")
+        self.class_n = np.zeros(HASHED, np.int64)
+        for r in rare.mapInArrow(totals, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+            self.class_n[r["class"]] = r.n
+
+    @staticmethod
+    def _hashes(keys: list[int]) -> np.ndarray:
+        return np.array(keys, np.int64).view(np.uint64)
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """Counts all words of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -69,7 +115,7 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["key", "n"])
 
     counts = doc_texts(docs).select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return np.array([r.key for r in counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()], np.int64).view(np.uint64)
+    return Vocabulary(saved(counts, "words"))
 
 
 class Network:
@@ -163,16 +209,15 @@ class Network:
 
 
 class Tokens:
-    """Token ids and contexts of runs of texts."""
+    """Token ids and contexts of the words of runs of texts."""
 
     def __init__(self, frequent: np.ndarray):
         self.order = np.argsort(frequent)
         self.sorted = frequent[self.order]
 
-    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(contexts, tokens, offsets by text)."""
-        words, at = word_hashes(data, offsets)
-        ids = FREQUENT + (mix(words) % np.uint64(HASHED)).astype(np.int64)
+    def of(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(contexts, tokens) of words with their offsets by text."""
+        ids = FREQUENT + class_of(words)
         if len(self.sorted):
             k = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
             ids = np.where(self.sorted[k] == words, self.order[k], ids)
@@ -182,7 +227,25 @@ class Tokens:
             a, b = (slice(-step, None), slice(None, step)) if step < 0 else (slice(None, -step), slice(step, None))
             if len(ids) > abs(step):
                 context[a, column] = np.where(text[a] == text[b], ids[b], VOCABULARY)
-        return context, ids, at
+        return context, ids
+
+
+class Shares:
+    """Of words that belong to classes: the logarithms of their shares, as far as the counts are held."""
+
+    def __init__(self, held: np.ndarray, held_n: np.ndarray, class_n: np.ndarray):
+        self.held, self.log_n, self.log_class = held, np.log(held_n), np.log(np.maximum(class_n, 1))
+
+    def of(self, words: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a logarithm by word, places of the words whose own logarithm of their count is still to be added)."""
+        out, own = np.zeros(len(words)), np.flatnonzero(ids >= FREQUENT)
+        out[own] = -self.log_class[ids[own] - FREQUENT]
+        if not len(self.held):
+            return out, own
+        k = np.minimum(np.searchsorted(self.held, words[own]), len(self.held) - 1)
+        known = self.held[k] == words[own]
+        out[own[known]] += self.log_n[k[known]]
+        return out, own[~known]
 
 
 def train_round(docs: DataFrame, frequent: np.ndarray, start: Network) -> Network:
@@ -208,7 +271,7 @@ def train_round(docs: DataFrame, frequent: np.ndarray, start: Network) -> Networ
 
         for batch in batches:
             for _, _, data, offsets in text_runs(batch.column("text")):
-                c, t, _ = tokens.of(data, offsets)
+                c, t = tokens.of(*word_hashes(data, offsets))
                 if len(t):
                     held.append((c, t))
                     seen += steps(False)
@@ -232,33 +295,46 @@ def train_round(docs: DataFrame, frequent: np.ndarray, start: Network) -> Networ
     return Network(np.concatenate([np.frombuffer(r.numbers, "<f4") for r in sorted(rows, key=lambda r: r.block)]))
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, Network]:
-    frequent, net = vocabulary(docs), Network()
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
+    words, net = vocabulary(docs), Network()
     for _ in range(rounds):
-        net = train_round(docs, frequent, net)
-    return frequent, net
+        net = train_round(docs, words.frequent, net)
+    return words, net
 
 
-def score(docs: DataFrame, frequent: np.ndarray, net: Network) -> DataFrame:
+def score(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, mean_log_likelihood."""
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, net.flat))
-    names = ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"]
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.frequent, vocabulary.held, vocabulary.held_n, vocabulary.class_n, net.flat))
+    names = ["row", "doc_id", "n_tokens", "total", "key", "n"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = shared.value
-        tokens, model = Tokens(words), Network(flat)
+        """One row for each document, under a key that stands for no word, and one for each of its words whose count is not held."""
+        frequent, *counts, flat = shared.value
+        tokens, shares, model = Tokens(frequent), Shares(*counts), Network(flat)
         for batch in batches:
-            n, total = [], []
-            for _, _, data, offsets in text_runs(batch.column("text")):
-                c, t, at = tokens.of(data, offsets)
-                logs = [model.log_probabilities(c[i : i + BATCH], t[i : i + BATCH]).astype(float) for i in range(0, len(t), BATCH)]
-                sums = np.concatenate([[0.0], np.cumsum(np.concatenate(logs))]) if logs else np.zeros(1)
-                n += np.diff(at).tolist()
-                total += np.diff(sums[at]).tolist()
-            mean = [s / k if k else None for s, k in zip(total, n)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], names)
-
-    return doc_texts(docs).mapInArrow(judge, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+            row = batch.column("row").to_numpy()
+            for first, end, data, offsets in text_runs(batch.column("text")):
+                words, at = word_hashes(data, offsets)
+                c, t = tokens.of(words, at)
+                logs, open_ = shares.of(words, t)
+                for i in range(0, len(t), BATCH):
+                    logs[i : i + BATCH] += model.log_probabilities(c[i : i + BATCH], t[i : i + BATCH])
+                total = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[at])
+                own, keys = row[first:end], mix(row[first:end].view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), batch.column("doc_id").slice(first, end - first), pa.array(np.diff(at).astype(np.int64)), pa.array(total), pa.array(keys), pa.array(np.zeros(end - first, np.int64))], names)
+                if len(open_):
+                    text, words = np.searchsorted(at, open_, side="right") - 1, words[open_]
+                    order = np.lexsort((words, text))
+                    text, words = text[order], words[order]
+                    start = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (words[1:] != words[:-1])))
+                    n, none = np.diff(np.append(start, len(text))), pa.nulls(len(start), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(own[text[start]]), none, none, pa.array(np.zeros(len(start))), pa.array(words[start].view(np.int64)), pa.array(n)], names)
+
+    rows = doc_texts(docs).withColumn("row", F.monotonically_increasing_id())
+    parts = rows.mapInArrow(judge, "row long, doc_id long, n_tokens long, total double, key long, n long")
+    logs = vocabulary.rest.select("key", F.ln("n").alias("log_n"))
+    sums = parts.join(logs, "key", "left").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(F.col("total") + F.col("n") * F.coalesce("log_n", F.lit(0.0))).alias("log_likelihood"))
+    return sums.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))
 
 
 def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,35 @@ def test_scores_of_awkward_texts(docs, empty, texts):
     assert pseudo_likelihood.score(empty, *pseudo_likelihood.train(empty)).count() == 0
 
 
+def test_scores_tell_rare_words_apart(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "HELD", 1000)
+    word_of = [w for i in range(1000) for w in [f"c{i}"] * 40] + [w for i in range(400) for w in [f"r{i}"] * (1 + i % 7)]
+    random.Random(5).shuffle(word_of)
+    rows = [(i % 300, " ".join(word_of[i * 50 : i * 50 + 50])) for i in range(-(-len(word_of) // 50))]  # ids repeat, with other texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words, net = pseudo_likelihood.train(docs, rounds=1)
+    assert len(words.held) <= 1000 and words.rest.count() > 0
+    got = sorted((r.doc_id, r.n_tokens, r.log_likelihood) for r in pseudo_likelihood.score(docs, words, net).collect())
+    tokens, want = pseudo_likelihood.Tokens(words.frequent), []
+    data = {}
+    for _, text in rows:
+        b = np.frombuffer(text.encode(), np.uint8)
+        data[text] = pseudo_likelihood.word_hashes(b, np.array([0, len(b)]))
+    count: dict[int, int] = {}
+    for _, text in rows:
+        for w in data[text][0].tolist():
+            count[w] = count.get(w, 0) + 1
+    ids = {w: int(tokens.of(np.array([w], np.uint64), np.array([0, 1]))[1][0]) for w in count}
+    in_class: dict[int, int] = {}
+    for w, i in ids.items():
+        in_class[i] = in_class.get(i, 0) + count[w]
+    for doc, text in rows:
+        c, t = tokens.of(*data[text])
+        share = sum(np.log(count[w] / in_class[ids[w]]) for w in data[text][0].tolist())
+        want.append((doc, len(t), float(net.log_probabilities(c, t).astype(float).sum() + share)))
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], atol=1e-2)
+
+
 # -- 4 ------------------------------------------------------------------------------------------------------------
 
 
