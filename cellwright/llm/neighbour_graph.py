@@ -6,7 +6,8 @@ vector is dealt to a leaf of every tree, and leaves are searched exactly, large
 NN-descent: in each round every node meets its neighbours and reverse neighbours (the nearest DEGREE of them) in one
 Spark join, all pairs that meet are measured, and a node keeps the DEGREE nearest it has seen. Only measurements
 that improve on a node's worst neighbour are sent on. Queries start at vectors of their own leaves and walk: each step joins
-the unvisited nodes of the beam with their neighbour lists, until no beam changes or STEPS are done.
+the unvisited nodes of the beam with their neighbours and all their reverse neighbours (in lists of LIST at most), until no
+beam holds an unvisited node. The beam grows with the logarithm of the number of nodes.
 
 Distances within the graph are measured in single precision; results are measured again in double precision.
 
@@ -31,7 +32,7 @@ from cellwright.llm.common import saved, table
 
 K, DEGREE, TREES, LEAF, ROUNDS = 10, 24, 8, 800, 3
 SAMPLE, BLOCK = 20_000, 2048
-BEAM, WIDTH, STEPS, STARTS = 320, 80, 10, 32
+BEAM, STARTS, LIST = 320, 32, 1024
 
 
 class Trees:
@@ -200,16 +201,27 @@ def build_graph(nodes: DataFrame, leaves: DataFrame, degree: int = DEGREE, round
     return graph
 
 
-def walk(queries: DataFrame, leaves: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """query, node: the BEAM nearest nodes that each query's greedy walk has met. queries: query, node (its own), packed."""
-    lists = saved(
-        graph.groupBy("node").agg(F.collect_list("other").alias("others")).join(nodes.select("node", "packed"), "node", "right"), "lists"
-    )  # a list has at most as many entries as a node's degree
+def beam_of(n: int) -> int:
+    """BEAM up to 10,000 nodes, a third of it more each time that they double."""
+    return int(BEAM * (1 + math.log2(max(1.0, n / 10_000)) / 3))
+
+
+def lists_of(graph: DataFrame) -> DataFrame:
+    """node, others: its neighbours and reverse neighbours; those of a hub take several rows of about LIST."""
+    edges = graph.select("node", "other").union(graph.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
+    hubs = edges.groupBy("node").count().where(F.col("count") > LIST).select("node", F.ceil(F.col("count") / LIST).alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("other"), F.col("parts")), F.lit(0))
+    return edges.join(hubs, "node", "left").groupBy("node", part.alias("part")).agg(F.collect_list("other").alias("others")).select("node", "others")
+
+
+def walk(queries: DataFrame, leaves: DataFrame, graph: DataFrame, nodes: DataFrame, size: int = BEAM) -> DataFrame:
+    """query, node: the ``size`` nearest nodes that each query's greedy walk has met. queries: query, node (its own), packed."""
+    lists = saved(lists_of(graph), "lists")
     first = Window.partitionBy("tree", "leaf").orderBy(F.xxhash64("node"))
     entries = leaves.select("tree", "leaf", "node").withColumn("r", F.row_number().over(first)).where(F.col("r") <= STARTS).drop("r")
     own = leaves.select("tree", "leaf", "node").join(queries.select("query", "node"), "node").select("query", "tree", "leaf")
     new = own.join(entries, ["tree", "leaf"]).select("query", "node").distinct()
-    beam, step = None, 0
+    beam = None
     best = Window.partitionBy("query").orderBy("d", "node")
     vectors = queries.select("query", F.col("packed").alias("q"))
 
@@ -222,11 +234,10 @@ def walk(queries: DataFrame, leaves: DataFrame, graph: DataFrame, nodes: DataFra
     while True:
         measured = new.join(nodes.select("node", "packed"), "node").join(vectors, "query").mapInArrow(distance, "query long, node long, d float").withColumn("visited", F.lit(False))
         every = measured if beam is None else beam.unionByName(measured)
-        ranked = every.groupBy("query", "node").agg(F.min("d").alias("d"), F.max("visited").alias("visited")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEAM)
+        ranked = every.groupBy("query", "node").agg(F.min("d").alias("d"), F.max("visited").alias("visited")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= size)
         pick = Window.partitionBy("query", "visited").orderBy("d", "node")
-        beam = saved(ranked.withColumn("turn", F.when(~F.col("visited"), F.row_number().over(pick))).select("query", "node", "d", "visited", (F.col("turn") <= WIDTH).alias("next")), "beam")
-        step += 1
-        if step > STEPS or beam.where("next").isEmpty():
+        beam = saved(ranked.withColumn("turn", F.when(~F.col("visited"), F.row_number().over(pick))).select("query", "node", "d", "visited", (F.col("turn") <= size // 4).alias("next")), "beam")
+        if beam.where("next").isEmpty():
             return beam.select("query", "node")
         new = beam.where("next").join(lists.select("node", "others"), "node").select("query", F.explode("others").alias("node")).distinct()
         beam = beam.select("query", "node", "d", (F.col("visited") | F.coalesce("next", F.lit(False))).alias("visited"))
@@ -237,12 +248,13 @@ def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     lengths = vectors.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     vectors = vectors.where(F.size("v") == (lengths.w if lengths else 0))
     nodes = saved(nodes_of(vectors), "nodes")
-    trees = fit_trees(nodes, nodes.count())
+    n = nodes.count()
+    trees = fit_trees(nodes, n)
     leaves = saved(dealt(nodes, trees), "leaves")
     graph = build_graph(nodes, leaves)
     members = saved(vectors.join(nodes.select("v", "node"), "v").select("id", "node"), "members")
     queries = members.where(is_query).select(F.col("id").alias("query"), "node").join(nodes.select("node", "packed"), "node")
-    found = walk(queries, leaves, graph, nodes)
+    found = walk(queries, leaves, graph, nodes, beam_of(n))
     # a node's k + 1 smallest ids are enough: later members never come before them
     of_node = Window.partitionBy("node").orderBy("id")
     few = members.withColumn("r", F.row_number().over(of_node)).where(F.col("r") <= k + 1).drop("r")

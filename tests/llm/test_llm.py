@@ -204,6 +204,28 @@ def test_neighbours(spark):
     assert neighbour_graph.nearest(vectors.where("id IN (0, 1, 2)"), F.col("id") == 0).count() == 2
 
 
+def test_walk_reaches_nodes_in_no_list(spark):
+    n = 200
+    packed = lambda i: np.array([i, 1.0], "<f4").tobytes()
+    nodes = spark.createDataFrame([(i, bytearray(packed(i))) for i in range(n)], "node long, packed binary")
+    leaves = nodes.select("node", "packed", F.lit(0).alias("tree"), F.lit(0).alias("leaf"))
+    lost = nodes.orderBy(F.xxhash64("node").desc()).first().node  # no start of the leaf
+    rest = [i for i in range(n) if i != lost]
+    graph = [(a, b, 1.0) for a, b in zip(rest, rest[1:])] + [(b, a, 1.0) for a, b in zip(rest, rest[1:])] + [(lost, rest[0], 1.0)]
+    graph = spark.createDataFrame(graph, "node long, other long, d float")
+    queries = nodes.where(F.col("node") == 5).select(F.col("node").alias("query"), "node", "packed")
+    found = {r.node for r in neighbour_graph.walk(queries, leaves, graph, nodes).collect()}
+    assert lost in found
+    assert neighbour_graph.beam_of(10_000) == neighbour_graph.BEAM < neighbour_graph.beam_of(50_000) < neighbour_graph.beam_of(500_000)
+
+
+def test_lists_of_hubs_are_split_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(neighbour_graph, "LIST", 10)
+    graph = spark.createDataFrame([(i, 0, 1.0) for i in range(1, 101)], "node long, other long, d float")
+    lists = [r.others for r in neighbour_graph.lists_of(graph).where("node = 0").collect()]
+    assert len(lists) > 5 and sorted(x for v in lists for x in v) == list(range(1, 101))
+
+
 # -- 5 ------------------------------------------------------------------------------------------------------------
 
 
