@@ -132,6 +132,12 @@ def prune_domain(predicted: DataFrame, tau: float, least: int = 1) -> DataFrame:
     return met.groupBy("recid", "attr", F.col("value").alias("candidate")).agg(F.max("p").alias("p"))
 
 
+def pruned_candidate_domain(predicted: DataFrame, tau: float, least: int = 1) -> DataFrame:
+    """recid, attr, candidate: for erroneous cells of every attribute the candidates of ``prune_domain``, for clean ones their own value."""
+    own = predicted.where("prediction = 0").select("recid", "attr", F.col("value").alias("candidate"))
+    return prune_domain(predicted, tau, least).select("recid", "attr", "candidate").unionByName(own)
+
+
 def score_candidates(candidates: DataFrame, df: DataFrame, record_id: str, fds: list[FD], domain: float = 0.5, initial: float = 0.5, violation: float = -1.0) -> DataFrame:
     """recid, attr, candidate, score: a weight for each candidate of the domain, one for the initial value, one for each dependency it would break.
 

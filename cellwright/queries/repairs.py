@@ -165,6 +165,46 @@ def j16(spark, d):
     return repair.best_candidate(_scored(spark, d))
 
 
+# J12 to J16 over the cells of every attribute; candidates are bounded by the co-occurrence join
+_WHOLE = ", small AS (SELECT * FROM pred), dom AS (SELECT DISTINCT attr, value AS candidate FROM small WHERE prediction = 0 AND value IS NOT NULL)" + _CO
+_PRUNED = _WHOLE + ", pruned AS (SELECT w.recid, w.attr, c.value AS candidate, max(p) AS p FROM small w JOIN small o USING (recid) JOIN cop c ON c.attr = w.attr AND c.given_attr = o.attr AND c.given_value = o.value JOIN dom ON dom.attr = w.attr AND dom.candidate = c.value WHERE w.prediction = 1 AND w.attr <> o.attr AND p >= 0.1 GROUP BY ALL)"
+
+
+@query("J12_candidate_domain_whole", U.sql(_PRUNED + " SELECT recid, attr, candidate FROM pruned UNION ALL SELECT recid, attr, value FROM small WHERE prediction = 0"))
+def j12_whole(spark, d):
+    return repair.pruned_candidate_domain(U.predicted(spark, d), 0.1)
+
+
+@query("J13_cooccurrence_whole", U.sql(_WHOLE + " SELECT attr, value, given_attr, given_value, n, p FROM cop"))
+def j13_whole(spark, d):
+    return repair.cooccurrence(U.predicted(spark, d))
+
+
+@query("J14_prune_domain_whole", U.sql(_PRUNED + " SELECT * FROM pruned"))
+def j14_whole(spark, d):
+    return repair.prune_domain(U.predicted(spark, d), 0.1)
+
+
+_SCORED_WHOLE = _PRUNED + """, byv AS (SELECT n_name AS k, r_name AS own, count(*) AS n FROM dirty GROUP BY ALL), byg AS (SELECT k, sum(n) FILTER (WHERE own IS NOT NULL) AS every FROM byv GROUP BY k),
+scored AS (SELECT c.recid, c.attr, c.candidate, 0.5::DOUBLE + CASE WHEN c.candidate IS NOT DISTINCT FROM s.value THEN 0.5 ELSE 0 END + CASE WHEN c.attr = 'r_name' AND every - coalesce(v.n, 0) - CASE WHEN d.r_name <> c.candidate THEN 1 ELSE 0 END > 0 THEN -1.0 ELSE 0 END AS score
+ FROM pruned c JOIN small s USING (recid, attr) JOIN dirty d USING (recid) LEFT JOIN byg ON byg.k = d.n_name LEFT JOIN byv v ON v.k = d.n_name AND v.own = c.candidate)"""
+
+
+def _scored_whole(spark, d):
+    candidates = repair.prune_domain(U.predicted(spark, d), 0.1).drop("p")
+    return repair.score_candidates(candidates, U.dirty(spark, d), "recid", U.FDS)
+
+
+@query("J15_score_candidates_whole", U.sql(_SCORED_WHOLE + " SELECT * FROM scored"))
+def j15_whole(spark, d):
+    return _scored_whole(spark, d)
+
+
+@query("J16_best_candidate_whole", U.sql(_SCORED_WHOLE + " SELECT recid, attr, candidate, score FROM (SELECT *, max(score) OVER (PARTITION BY recid, attr) AS t FROM scored) WHERE score = t AND score > 0"))
+def j16_whole(spark, d):
+    return repair.best_candidate(_scored_whole(spark, d))
+
+
 @query("J17_attribute_name", U.sql("SELECT recid, CASE WHEN missing = 1 THEN 4 ELSE 3 END AS attr_nr, CASE WHEN missing = 1 THEN 'c_mktsegment' ELSE 'r_name' END AS attr FROM m WHERE missing + fd > 0"))
 def j17(spark, d):
     found = U.matrix(spark, d).where("missing + fd > 0").select("recid", F.when(F.col("missing") == 1, 4).otherwise(3).alias("attr_nr"))

@@ -56,6 +56,14 @@ def test_queries_without_sql_give_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_candidates_cover_every_attribute(spark):
+    pairs = QUERIES["J13_cooccurrence_whole"](spark, SF).select("attr", "given_attr").distinct().count()
+    assert pairs == 20
+    scored = {r.attr for r in QUERIES["J15_score_candidates_whole"](spark, SF).select("attr").distinct().collect()}
+    assert len(scored) > 1
+    assert {r.attr for r in QUERIES["J12_candidate_domain_whole"](spark, SF).select("attr").distinct().collect()} == {"c_name", "n_name", "r_name", "c_mktsegment", "c_acctbal"}
+
+
 def test_no_python_in_plans_and_no_products(spark):
     for name in ("B3_cell_diff", "D20_detector_matrix", "D21_fd_violations", "J13_cooccurrence", "F8_brute_force"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
