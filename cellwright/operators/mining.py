@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF, MinHashLSH
 from pyspark.ml.fpm import FPGrowth, PrefixSpan
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,17 +22,33 @@ def frequent_sequences(df: DataFrame, key: str, order: str, item: str, min_suppo
     return PrefixSpan(minSupport=min_support, maxPatternLength=longest).findFrequentSequentialPatterns(sequences)
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, distance: float = 0.3, n: int = 3, width: int = 1 << 18, tables: int = 5) -> DataFrame:
-    """a, b (a < b), distance: approximate self-join of texts by MinHash of their character n-grams.
+def near_duplicates(df: DataFrame, key: str, text: str, distance: float = 0.3, n: int = 3, block: int = 1000) -> DataFrame:
+    """a, b, distance: exact self-join of texts by the Jaccard distance, below ``distance``, of their sets of character n-grams.
 
-    Equal texts are compared once: the smallest key stands for them.
+    Equal texts (in lower case) are compared once: the smallest key stands for them in the pairs (a < b), and every other
+    key is a row (smallest key, key, 0). A text shorter than n is one gram; null texts take no part. Two texts can only
+    be near if they share one of their rarest grams; grams (as 64-bit hashes) that many texts share are dealt over a grid
+    of blocks. Rows of the join carry their texts' grams, so this is for values, not for long documents.
     """
-    one = df.groupBy(F.lower(text).alias("t")).agg(F.min(key).alias("id"))
-    grams = one.select("id", F.array_distinct(char_ngrams(F.col("t"), n)).alias("grams")).where(F.size("grams") > 0)
-    vectors = HashingTF(inputCol="grams", outputCol="features", numFeatures=width, binary=True).transform(grams).select("id", "features")
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=1).fit(vectors)
-    pairs = model.approxSimilarityJoin(vectors, vectors, distance, distCol="distance")
-    return pairs.where(F.col("datasetA.id") < F.col("datasetB.id")).select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), "distance")
+    rows = df.select(F.col(key).alias("key"), F.lower(text).alias("t")).where("t IS NOT NULL")
+    one = rows.groupBy("t").agg(F.min("key").alias("id"))
+    copies = rows.join(one, "t").where("key <> id").select(F.col("id").alias("a"), F.col("key").alias("b"), F.lit(0.0).alias("distance"))
+    grams = F.when(F.length("t") < n, F.array("t")).otherwise(char_ngrams(F.col("t"), n))
+    single = one.select("id", F.explode(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("gram"))
+    rare_first = F.sort_array(F.collect_list(F.struct("cnt", "gram")))["gram"]
+    sets = single.join(single.groupBy("gram").agg(F.count("*").alias("cnt")), "gram").groupBy("id").agg(rare_first.alias("grams"))
+    size = F.size("grams")
+    held = sets.select("id", "grams", F.explode(F.slice("grams", F.lit(1), size - F.greatest(F.ceil(size * (1 - distance) - 1e-9), F.lit(1)).cast("int") + 1)).alias("gram"))
+    parts = held.groupBy("gram").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    cut = held.join(parts, "gram").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = cut.select("gram", F.col("own").alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("grams").alias("x"))
+    y = cut.select("gram", F.col("own").alias("j"), every.alias("i"), F.col("id").alias("b"), F.col("grams").alias("y"))
+    alike = (F.size("x") >= F.size("y") * (1 - distance) - 1e-9) & (F.size("y") >= F.size("x") * (1 - distance) - 1e-9)
+    met = x.join(y, ["gram", "i", "j"]).where((F.col("a") < F.col("b")) & alike)
+    common = F.size(F.array_intersect("x", "y"))
+    pairs = met.select("a", "b", (1 - common / (F.size("x") + F.size("y") - common)).alias("distance")).where(F.col("distance") < distance).distinct()
+    return pairs.unionByName(copies)
 
 
 def ngrams(df: DataFrame, key: str, column: str, n: int) -> DataFrame:

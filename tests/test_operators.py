@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cellwright.functions.numeric import ratio, round0, safe_ln
 from cellwright.functions.text import _jaro_winkler, case_class, matches
 from cellwright.operators import cells as C
-from cellwright.operators import dependencies, detect, duplicates, evaluate, features, profile, repair, similarity, votes
+from cellwright.operators import dependencies, detect, duplicates, evaluate, features, mining, profile, repair, similarity, votes
 from cellwright.spec import FD, NUMBER, TableSpec
 
 SPEC = TableSpec("id", ("a", "b"))
@@ -161,3 +161,23 @@ def test_stream_votes(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("votes_out").where("ec_missing = 1").count() == 10
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_near_duplicates_are_exact_and_name_every_copy(spark, block):
+    rng = np.random.default_rng(1)
+    rows = [(i, "".join(rng.choice(list("abc"), rng.integers(0, 14)))) for i in range(150)]
+    rows += [(200 + i, "one large BRASS tin box") for i in range(5)] + [(300, "one large brass tin boxes"), (301, "ab"), (302, "AB"), (303, None)]
+    got = [(r.a, r.b, round(r.distance, 9)) for r in mining.near_duplicates(spark.createDataFrame(rows, "k long, t string"), "k", "t", 0.4, block=block).collect()]
+    first: dict[str, int] = {}
+    want = []
+    for k, t in rows:
+        if t is not None and first.setdefault(t.lower(), k) != k:
+            want.append((first[t.lower()], k, 0.0))
+    sets = {k: {t[i : i + 3] for i in range(len(t) - 2)} or {t} for t, k in first.items()}
+    for a in sets:
+        for b in sets:
+            d = 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if a < b and d < 0.4:
+                want.append((a, b, round(d, 9)))
+    assert sorted(got) == sorted(want)
