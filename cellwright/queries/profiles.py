@@ -52,6 +52,13 @@ def c7(spark, d):
     return profile.common_lengths(profile.length_distribution(a.union(b).select(F.lit("p_name").alias("attr"), F.col("p_name").alias("value"))))
 
 
+@query("C7_common_lengths_whole", "SELECT attr, len FROM (SELECT *, row_number() OVER (PARTITION BY attr ORDER BY cnt, len DESC) AS r, count(*) OVER (PARTITION BY attr) AS n FROM (SELECT attr, length(value) AS len, count(*) AS cnt FROM (SELECT 'p_name' AS attr, p_name AS value FROM part UNION ALL SELECT 'text', text FROM documents) WHERE value IS NOT NULL GROUP BY ALL)) WHERE n < 10 OR r > ceil(n / 10)")
+def c7_whole(spark, d):
+    a = table(spark, d, "part").select(F.lit("p_name").alias("attr"), F.col("p_name").alias("value"))
+    b = table(spark, d, "documents").select(F.lit("text").alias("attr"), F.col("text").alias("value"))
+    return profile.common_lengths(profile.length_distribution(a.union(b)))
+
+
 @query("C8_length_stats", U.sql("SELECT attr, min_len, max_len, round(mean_len, 6) AS mean_len, round(var_len, 6) AS var_len, round(std_len, 6) AS std_len, median_len, mode_len, q1_len, q3_len, mad_len FROM lstat JOIN lmad USING (attr) JOIN lmode USING (attr)"))
 def c8(spark, d):
     s = profile.length_stats(_lengths(spark, d))
@@ -261,6 +268,13 @@ def d27(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(c.isin("none", "upper", "lower"), c).otherwise("other").alias("case_class"))
 
 
+@query("D27_case_class_whole", "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN l = '' THEN 'none' WHEN l = upper(l) THEN 'upper' WHEN l = lower(l) THEN 'lower' WHEN text = array_to_string([upper(w[1]) || w[2:] for w in string_split(lower(text), ' ')], ' ') THEN 'title' ELSE 'mixed' END AS case_class FROM (SELECT doc_id, text, regexp_replace(text, '[^A-Za-z]', '', 'g') AS l FROM documents)")
+def d27_whole(spark, d):
+    from cellwright.functions.text import case_class
+
+    return table(spark, d, "documents").select("doc_id", case_class(F.col("text")).alias("case_class"))
+
+
 @query("D28_missing_flags", U.sql("SELECT recid, r_name IS NULL OR trim(r_name) = '' AS ismissing_r_name, c_mktsegment IS NULL OR trim(c_mktsegment) = '' AS ismissing_c_mktsegment FROM dirty"))
 def d28(spark, d):
     return detect.missing_flags(U.dirty(spark, d), ["r_name", "c_mktsegment"]).select("recid", "ismissing_r_name", "ismissing_c_mktsegment")
