@@ -25,11 +25,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every string of 100 bytes that also starts earlier is cut out; ``n_chars`` follows, and texts left empty go."""
-    rest = suffix_dedup.cleaned(docs)
+    """Every string of 100 bytes that also starts earlier is cut out; ``n_chars`` follows, and texts that the cut empties go; texts null or empty before stay."""
+    name = next(n for n in (f"had_text{'_' * i}" for i in range(99)) if n not in docs.columns)
+    rest = suffix_dedup.cleaned(docs.withColumn(name, F.coalesce(F.length("text") > 0, F.lit(False))))
     if "n_chars" in docs.columns:
-        rest = rest.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rest.where(F.length("text") > 0)
+        rest = rest.withColumn("n_chars", F.when(F.col(name), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rest.where(~F.col(name) | (F.length("text") > 0)).drop(name)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

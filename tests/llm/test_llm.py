@@ -453,3 +453,14 @@ def test_registry_and_pipeline(spark):
     stage = corpus_pipeline.STAGES[0][1](spark, docs, SF)
     clean = docs.join(labels, "doc_id", "left_semi").count()
     assert stage.join(labels, "doc_id", "left_semi").count() >= 0.97 * clean
+
+
+def test_pipeline_cut_keeps_texts_that_were_empty(spark):
+    import corpus_pipeline
+
+    passage = "".join(chr(97 + i * i % 23) + str(i) for i in range(60))[:120]
+    rows = [(1, None, 0), (2, "", 0), (3, passage, 120), (4, passage, 120), (5, "short", 5)]
+    out = corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), SF).collect()
+    got = {r.doc_id: (r.text, r.n_chars) for r in out}
+    assert got[1] == (None, 0) and got[2] == ("", 0) and got[3] == (passage, 120) and got[5] == ("short", 5)
+    assert 4 not in got or (len(got[4][0]) == got[4][1] > 0)
