@@ -1,21 +1,20 @@
 """Byte-level BPE over whole arrays of text: pre-tokens by character classes, merges for many words at once.
 
 The vocabulary comes from a tokenizer file of the ``tokenizers`` library (a parameter); its tables have a fixed size,
-so they are broadcast. Words are told apart by 64-bit hashes of their code points.
+so they are broadcast. Words are told apart by their bytes.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
-from cellwright.llm.common import prefix_hash, span_hash, text_runs
+from cellwright.llm.common import number_spans, text_runs
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _NONE = np.int32(1 << 30)
@@ -38,15 +37,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+@functools.cache
 def character_classes() -> np.ndarray:
+    """LETTER, NUMBER, SPACE or OTHER by code point, from the library's own Unicode tables (the interpreter's are of another version).
+
+    Planes from the fourth on hold no letters, numbers or white space.
+    """
+    from tokenizers import Regex, pre_tokenizers
+
     kinds = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        first = unicodedata.category(chr(c))[0]
-        if first == "L":
-            kinds[c] = LETTER
-        elif first == "N":
-            kinds[c] = NUMBER
-    kinds[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
+    points = np.array([c for c in range(0x40000) if not 0xD800 <= c < 0xE000])
+    every = points.astype("<u4").tobytes().decode("utf-32-le")
+    for kind, pattern in ((LETTER, r"\P{L}+"), (NUMBER, r"\P{N}+"), (SPACE, r"\S+")):
+        for _, (i, j) in pre_tokenizers.Split(Regex(pattern), "removed").pre_tokenize_str(every):
+            kinds[points[i:j]] = kind
     return kinds
 
 
@@ -156,14 +160,13 @@ class Bpe:
                 ranks[r, j] = self._rank(ids[r, j], ids[r, j + 1])
 
     # -- pre-tokens ------------------------------------------------------------------------------------------
-    def pretokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, code points, pre-token starts, ends, which special token each is or -1) of a run of texts, and the starts' border by text."""
+    def pretokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first bytes of pre-tokens, ends, which special token each is or -1, number of pre-tokens before each text) of a run of texts."""
         text = data.tobytes().decode("utf-8")
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         n = len(points)
-        lead = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
-        at = lead[offsets]
+        lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # first byte of each code point
+        at = np.searchsorted(lead, offsets)
         border = np.zeros(n + 1, bool)
         border[at] = True
         border[[0, n]] = True
@@ -209,7 +212,7 @@ class Bpe:
         special = np.full(len(starts), -1, np.int32)
         for i, _, token in fixed:
             special[np.searchsorted(starts, i)] = token
-        return text, points, starts, stops, special, np.searchsorted(starts, at)
+        return lead[starts], lead[stops], special, np.searchsorted(starts, at)
 
     # -- decoding --------------------------------------------------------------------------------------------
     def decode_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,11 +233,11 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.ids, self.filled = np.zeros(4096, np.int32), 0
 
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         found = self.lexicon.lookup(words) if self.lexicon is not None else [None] * len(words)
         missing = [i for i, x in enumerate(found) if x is None]
         for i, ids in zip(missing, self.bpe.merge([words[i] for i in missing])):
@@ -252,27 +255,22 @@ class Encoder:
         self.length[base : base + len(found)] = lengths
         self.ids[self.filled : need] = flat
         self.filled = need
-        self.known.update(zip(hashes, range(base, base + len(hashes))))
+        self.known.update(zip(words, range(base, base + len(words))))
 
     def run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by text)."""
-        text, points, starts, stops, special, at = self.bpe.pretokens(data, offsets)
+        starts, stops, special, at = self.bpe.pretokens(data, offsets)
         if not len(starts):
             return np.empty(0, np.int32), np.zeros(len(offsets), np.int64)
-        codes, unique = pd.factorize(span_hash(prefix_hash(points), starts, stops))
-        if len(self.known) + len(unique) > REMEMBERED:
+        codes, first = number_spans(data, starts, stops)
+        if len(self.known) + len(first) > REMEMBERED:
             self._forget()
-        rows = [self.known.get(h, -1) for h in unique.tolist()]
-        new = [i for i, r in enumerate(rows) if r < 0]
+        raw = data.tobytes()
+        words = [raw[i:j] for i, j in zip(starts[first].tolist(), stops[first].tolist())]
+        new = [w for w in words if w not in self.known]
         if new:
-            first = np.empty(len(unique), np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            hashes = unique[new].tolist()
-            a, b = starts[first[new]].tolist(), stops[first[new]].tolist()
-            self._learn(hashes, [text[i:j].encode() for i, j in zip(a, b)])
-            for i, h in zip(new, hashes):
-                rows[i] = self.known[h]
-        row = np.array(rows, np.int64)[codes]
+            self._learn(new)
+        row = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[codes]
         length, begin = self.length[row], self.start[row]
         for i in np.flatnonzero(special >= 0):
             length[i] = 1

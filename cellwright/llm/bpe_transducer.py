@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright.llm.bpe import Bpe, Encoder
-from cellwright.llm.common import doc_texts, prefix_hash, saved, span_hash, table, text_runs
+from cellwright.llm.common import doc_texts, number_spans, saved, table, text_runs
 
 LEXICON_WORDS = 32_768
 
@@ -141,43 +141,34 @@ class Transducer:
         return [self.ids[where[k] : where[k + 1]] if ok else None for ok, k in zip(accepted.tolist(), number.tolist())]
 
 
-def word_counts(docs: DataFrame, bpe: Bpe, flush: int = 1_000_000) -> DataFrame:
+def word_counts(docs: DataFrame, bpe: Bpe, flush: int = 500_000) -> DataFrame:
     """word (binary), n over all documents; every task adds up its own counts before the shuffle."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bpe)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
-        hashes, counts, words, held = [], [], [], 0
+        tables, held = shared.value, {}
 
-        def merged(last: bool):
-            h, c = np.concatenate(hashes), np.concatenate(counts)
-            unique, first, code = np.unique(h, return_index=True, return_inverse=True)
-            total = np.bincount(code, c, len(unique)).astype(np.int64)
-            flat = [w for part in words for w in part]
-            kept = [flat[i] for i in first]
-            return unique, total, kept
+        def counted() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+            held.clear()
+            return out
 
         for batch in batches:
             for _, _, data, offsets in text_runs(batch.column("text")):
-                text, points, starts, stops, special, _ = tables.pretokens(data, offsets)
+                starts, stops, special, _ = tables.pretokens(data, offsets)
                 starts, stops = starts[special < 0], stops[special < 0]
                 if not len(starts):
                     continue
-                u, first, c = np.unique(span_hash(prefix_hash(points), starts, stops), return_index=True, return_counts=True)
-                hashes.append(u)
-                counts.append(c)
-                words.append([text[i:j] for i, j in zip(starts[first].tolist(), stops[first].tolist())])
-                held += len(u)
-                if held > flush:
-                    u, c, w = merged(False)
-                    hashes, counts, words, held = [u], [c], [w], len(u)
-                    if held > flush // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(c)], ["word", "n"])
-                        hashes, counts, words, held = [], [], [], 0
-        if hashes:
-            _, c, w = merged(True)
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(c)], ["word", "n"])
+                codes, first = number_spans(data, starts, stops)
+                raw = data.tobytes()
+                for i, j, n in zip(starts[first].tolist(), stops[first].tolist(), np.bincount(codes).tolist()):
+                    word = raw[i:j]
+                    held[word] = held.get(word, 0) + n
+                if len(held) > flush:
+                    yield counted()
+        if held:
+            yield counted()
 
     return doc_texts(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

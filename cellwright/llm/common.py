@@ -1,43 +1,25 @@
-"""Helpers that the text operators share: Arrow texts as byte arrays, rolling hashes, shared folders."""
+"""Helpers that the text operators share: Arrow texts as byte arrays, hashes and exact numbers of spans of bytes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from cellwright.session import saved, table  # noqa: F401
 
 #: Texts are worked on in runs of about so many bytes; a longer text is a run of its own.
 RUN_BYTES = 1 << 18
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cellwright-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Spans of more bytes are hashed by a digest of the standard library.
+LONG_SPAN = 1024
+_FACTOR = np.uint64(0xD6E8FEB86659FD93)
+_TAILS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def doc_texts(docs: DataFrame) -> DataFrame:
@@ -73,28 +55,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
-        with np.errstate(over="ignore"):
-            up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, _INVERSE))
-        _powers = (up, down)
-    return _powers
-
-
-def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """h with h[0] = 0; ``span_hash`` reads the hash of any span from it."""
-    up, _ = _powers_to(len(codes))
-    out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=out[1:])
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as a little-endian number; places beyond the end hold 0. A view: nothing is copied but ``data``."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans, eight bytes a step, each step mixed; equal spans have equal hashes wherever they stand."""
+    left = ends - starts
+    at, h = eights(data), mix(left.astype(np.uint64) + _FACTOR)
+    big = np.flatnonzero(left > LONG_SPAN)
+    for i in big.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    live, step = np.flatnonzero((left > 0) & (left <= LONG_SPAN)), 0
+    while len(live):
+        rest = left[live] - step
+        h[live] = mix((h[live] ^ at[starts[live] + step] & _TAILS[np.minimum(rest, 8)]) * _FACTOR)
+        live, step = live[rest > 8], step + 8
+    return h
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a[i] and from b[i] on are the same over length[i]."""
+    at, out = eights(data), np.ones(len(a), bool)
+    live, step = np.flatnonzero((a != b) & (length > 0)), 0
+    while len(live):
+        rest = length[live] - step
+        same = ((at[a[live] + step] ^ at[b[live] + step]) & _TAILS[np.minimum(rest, 8)]) == 0
+        out[live[~same]] = False
+        live, step = live[same & (rest > 8)], step + 8
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans; equal spans have equal hashes wherever they stand."""
-    _, down = _powers_to(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts])
+def number_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, first): equal spans get equal numbers, from 0 in order of appearance, and first[number] is where one appears.
+
+    Hashes propose, bytes decide: every span is compared with the first one of its hash.
+    """
+    codes, unique = pd.factorize(span_hashes(data, starts, ends))
+    first = np.empty(len(unique), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    twin, length = first[codes], ends - starts
+    if (length == length[twin]).all() and equal_spans(data, starts, starts[twin], length).all():
+        return codes, first
+    raw, seen = data.tobytes(), {}  # two spans share a hash
+    codes = np.array([seen.setdefault(raw[i:j], len(seen)) for i, j in zip(starts.tolist(), ends.tolist())])
+    first = np.empty(len(seen), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return codes, first
 
 
 def lower_ascii() -> np.ndarray:
@@ -133,7 +141,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tup
     """
     low = LOWER[data]
     starts, ends = spans(~SPACES[data], offsets)
-    words = span_hash(prefix_hash(low), starts, ends)
+    words = span_hashes(low, starts, ends)
     at = np.searchsorted(starts, offsets)  # words before each text
     n_words = np.diff(at)
     n = np.where(n_words >= width, n_words - width + 1, (n_words > 0).astype(np.int64))

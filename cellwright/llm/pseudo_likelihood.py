@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import LOWER, doc_texts, mix, prefix_hash, saved, span_hash, spans, table, text_runs
+from cellwright.llm.common import LOWER, doc_texts, mix, saved, span_hashes, spans, table, text_runs
 
 FREQUENT, HASHED, GROUP, SIZE, SIDE, ROUNDS = 960, 64, 32, 24, 2, 2
 BATCH, RATE, BLOCKS = 4096, 0.08, 16
@@ -45,7 +45,7 @@ _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, offsets by text)."""
     starts, ends = spans(_WORD[data], offsets)
-    return span_hash(prefix_hash(LOWER[data]), starts, ends), np.searchsorted(starts, offsets)
+    return span_hashes(LOWER[data], starts, ends), np.searchsorted(starts, offsets)
 
 
 def class_of(words: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellwright.llm.common import LOWER, doc_texts, prefix_hash, saved, span_hash, spans, table, text_runs
+from cellwright.llm.common import LOWER, doc_texts, saved, span_hashes, spans, table, text_runs
 
 TRAIN_ROWS, LEXICON_SIZE, NEAR_WORDS = 20_000, 512, 5
 PREFIXES = (4, 5, 6)
@@ -54,7 +54,7 @@ _POINT[[*range(0x21, 0x30), *range(0x3A, 0x40), *range(0x5B, 0x60), *range(0x7B,
 
 def _word_hash(word: str) -> int:
     raw = np.frombuffer(word.encode(), np.uint8)
-    return int(span_hash(prefix_hash(raw), np.array([0]), np.array([len(raw)]))[0])
+    return int(span_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
 
 
 _YOU = np.sort(np.array([_word_hash(w) for w in SECOND_PERSON], np.uint64))
@@ -73,20 +73,20 @@ class Words:
     doc: np.ndarray
     full: np.ndarray  # hashes of the lower-cased words
     plain: np.ndarray  # and with disguises undone
-    low: np.ndarray
+    low: np.ndarray  # lower-cased bytes
     undone: np.ndarray
 
     @classmethod
     def of(cls, data: np.ndarray, offsets: np.ndarray) -> Words:
         starts, ends = spans(_WORD[data], offsets)
-        low, undone = prefix_hash(LOWER[data]), prefix_hash(_PLAIN[data])
-        return cls(starts, ends, np.searchsorted(offsets, starts, side="right") - 1, span_hash(low, starts, ends), span_hash(undone, starts, ends), low, undone)
+        low, undone = LOWER[data], _PLAIN[data]
+        return cls(starts, ends, np.searchsorted(offsets, starts, side="right") - 1, span_hashes(low, starts, ends), span_hashes(undone, starts, ends), low, undone)
 
     def beginnings(self, plain: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(which words, hashes of their first bytes, told apart from whole words)."""
         for n in PREFIXES:
             which = np.flatnonzero(self.ends - self.starts > n)
-            yield which, span_hash(self.undone if plain else self.low, self.starts[which], self.starts[which] + n) ^ np.uint64(n)
+            yield which, span_hashes(self.undone if plain else self.low, self.starts[which], self.starts[which] + n) ^ np.uint64(n)
 
 
 def feature_rows(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
