@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellwright.llm import bpe, bpe_transducer, chat_format, jaccard_join, license_scan, neighbour_graph, packing, pseudo_likelihood, registry, suffix_dedup, topk_search, toxicity
+from cellwright.llm import bpe, bpe_transducer, chat_format, common, jaccard_join, license_scan, neighbour_graph, packing, pseudo_likelihood, registry, suffix_dedup, topk_search, toxicity
 
 SF = "/root/testdata/sf0.001"
 #: Columns beside those of documents, with names that operators use themselves.
@@ -23,6 +23,14 @@ def words(rng: random.Random, n: int) -> str:
     return " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
 
 
+def thue_morse(letters: str) -> str:
+    """A word of 1,024 letters; with the letters swapped it has the same polynomial hash modulo 2^64, for any odd base."""
+    out = letters[0]
+    for _ in range(10):
+        out += out.translate(str.maketrans(letters, letters[::-1]))
+    return out
+
+
 @pytest.fixture(scope="module")
 def texts() -> list[tuple[int, str | None]]:
     rng = random.Random(1)
@@ -37,6 +45,7 @@ def texts() -> list[tuple[int, str | None]]:
     out += [(60 + i, f"{words(rng, 40)} {passage} {words(rng, 30)}") for i in range(12)]
     out += [(80 + i, words(rng, rng.randrange(1, 80))) for i in range(30)]
     out += [(200, "it's <|endoftext|> MIT License, gnu GENERAL public-license. CC  BY! 日本語")]
+    out += [(210, thue_morse("ab")), (211, thue_morse("ba")), (212, " ".join(thue_morse("ab"))), (213, " ".join(thue_morse("ba")))]
     return out + [(10, base), (4, "short")]  # repeated rows
 
 
@@ -51,6 +60,20 @@ def empty(spark):
     return spark.createDataFrame([], EXTRA)
 
 
+# -- shared -------------------------------------------------------------------------------------------------------
+
+
+def test_spans_are_numbered_by_their_bytes(monkeypatch):
+    rng = random.Random(12)
+    parts = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 12))) for _ in range(500)] + [thue_morse("ab"), thue_morse("ba"), "c" * 3000, "c" * 3000]
+    ends = np.cumsum([len(x) for x in parts])
+    starts, data = ends - [len(x) for x in parts], np.frombuffer("".join(parts).encode(), np.uint8)
+    for hashes in (common.span_hashes, lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3)):  # the second one collides
+        monkeypatch.setattr(common, "span_hashes", hashes)
+        codes, first = common.number_spans(data, starts, ends)
+        assert [parts[first[c]] for c in codes] == parts and len(first) == len(set(parts))
+
+
 # -- 1 ------------------------------------------------------------------------------------------------------------
 
 
@@ -380,7 +403,9 @@ def test_removal_equals_brute_force(docs, empty, texts):
 
 
 def test_crowded_anchors_are_split(docs, texts, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CONTENTS_A_GROUP", 3)
+    monkeypatch.setattr(suffix_dedup, "OCCURRENCES_A_GROUP", 3)
+    monkeypatch.setattr(suffix_dedup, "SORTED", 200)
+    monkeypatch.setattr(suffix_dedup, "WINDOWS", 300)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs).collect()}
     assert got == brute_removal(texts)
 
@@ -389,10 +414,34 @@ def test_blind_trie_and_sort():
     rng = random.Random(9)
     raw = "".join(rng.choice("ab") for _ in range(3000)) + "abab" * 200
     data, starts = np.frombuffer(raw.encode(), np.uint8), np.arange(0, 3600)
-    classes = suffix_dedup.deep_shallow_classes(data, starts, 40)
-    strings = [raw[starts[c[0]] : starts[c[0]] + 40] for c in classes]
-    assert strings == sorted(set(strings)) and sum(map(len, classes)) == len(starts)
-    assert all(raw[starts[i] : starts[i] + 40] == s for c, s in zip(classes, strings) for i in c)
+    for group in (np.zeros(len(starts), np.int64), starts % 3):
+        order, new = suffix_dedup.deep_shallow_sort(data, starts, np.full(len(starts), 40), group)
+        strings = [(group[i], raw[starts[i] : starts[i] + 40]) for i in order]
+        assert strings == sorted(strings) and sorted(order) == list(range(len(starts)))
+        assert [strings[0] != strings[-1], *(a != b for a, b in zip(strings, strings[1:]))] == new.tolist()
+
+
+def test_rows_that_repeat_an_id(spark):
+    rng = random.Random(13)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, b), (3, None)]
+    got = suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == sorted([(1, len(a), 0), (1, len(a), 0), (1, len(b), 0), (2, len(b), len(b)), (0, len(b), 0), (3, 0, 0)])
+
+
+def test_removed_bytes_come_from_sorted_neighbours(monkeypatch):
+    rng = random.Random(14)
+    passage = words(rng, 40)
+    raw = [f"{words(rng, 20)} {passage} {words(rng, 20)}".encode() for _ in range(5)]
+    offsets, data = np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8)
+    gram, doc, start, end = suffix_dedup.stretches(data, offsets, 100, 24)
+    places = suffix_dedup._packed(suffix_dedup._PLACE, gram=gram, doc=doc, mark=np.zeros(len(doc)), start=start, length=end - start, part=np.zeros(len(doc)), groups=np.ones(len(doc)))
+    pdf = pd.DataFrame({"places": [places.tobytes()], "data": [b"".join(raw[d][a:z] for d, a, z in zip(doc, start, end))]})
+    found = suffix_dedup.sort_bucket(100)(pdf)
+    assert sorted(found.doc_id) == [1, 2, 3, 4]
+    kept = suffix_dedup.later_ones
+    monkeypatch.setattr(suffix_dedup, "later_ones", lambda order, new, places: kept(order, np.ones(len(new), bool), places))
+    assert not len(suffix_dedup.sort_bucket(100)(pdf))  # without equal neighbours nothing goes
 
 
 # -- 10 -----------------------------------------------------------------------------------------------------------
@@ -418,6 +467,8 @@ def test_pretokens_equal_the_library():
     t, b, rng = Tokenizer.from_file(bpe.default_path()), bpe.Bpe(), random.Random(10)
     pool = list("aZ09 '\n\t.,!é日🎉 　Ⅷ²") + ["'s", "'re", "'ll", "'LL", "  ", " '", "<|endoftext|>", "<|endof"]
     cases = ["".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    points = [*range(0x80, 0x800), *range(0x1C80, 0x1C90), *range(0xA7C0, 0xA7E0), *range(0x105C0, 0x105F0)] + [rng.choice([c for c in (rng.randrange(0x110000),) if not 0xD800 <= c < 0xE000] or [0x3042]) for _ in range(3000)]
+    cases += [f"a{chr(c)}1{chr(c)}!{chr(c)}{chr(c)}b {chr(c)} " for c in points] + [thue_morse("ab"), thue_morse("ba"), thue_morse("ab") + " " + thue_morse("ba")]
     for x, ids in zip(cases, bpe.Encoder(b).documents(pa.array(cases))):
         assert ids.tolist() == t.encode(x, add_special_tokens=False).ids, x
 
