@@ -123,7 +123,7 @@ def counted(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
                 bucket = (part["gram"] % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-                    rows.append((int(bucket[own[0]]), kind, None, None, part[own].tobytes()))
+                    rows.append((int(bucket[own[0]]), kind, 0, 0, part[own].tobytes()))
             own = n[code] > 1
             for doc, mark, data in zip(*_by_doc(docs[own], marks[own], _packed(_STRETCH, gram=grams, start=starts, end=ends)[own])):
                 rows.append(((doc ^ mark) % buckets, OPEN, doc, mark, data))
@@ -159,8 +159,8 @@ def answer(most: int):
         crowd = _packed(_KNOWN, gram=grams, n=n)[n > most]
         return pd.DataFrame({
             "kind": np.array([OPEN] * (len(docs) + len(through)) + [CROWDED] * len(crowd), np.int8),
-            "doc_id": np.array(docs + through["doc_id"].astype("int64").tolist() + crowd["n"].tolist(), np.int64),
-            "mark": np.array(marks + through["mark"].astype("int32").tolist() + [0] * len(crowd), np.int32),
+            "doc_id": np.array(docs + through["doc_id"].tolist() + crowd["n"].tolist(), np.int64),
+            "mark": np.array(marks + through["mark"].tolist() + [0] * len(crowd), np.int32),
             "data": data + through["data"].tolist() + [x.tobytes() for x in crowd["gram"]],
         })
 
@@ -321,7 +321,7 @@ def later_windows(places: np.ndarray, data: np.ndarray, starts: np.ndarray, leng
 
 
 def fetched(docs: DataFrame, opened: DataFrame, crowded: tuple[np.ndarray, np.ndarray], buckets: int, length: int) -> DataFrame:
-    """bucket, doc_id, mark, places, data: packed bytes of open stretches, one for each content of a task; and (bucket null) spans of their later copies."""
+    """bucket, doc_id, mark, places, data: packed bytes of open stretches, one for each content of a task; and (places null) spans of their later copies."""
     names = ["bucket", "doc_id", "mark", "places", "data"]
     shared = docs.sparkSession.sparkContext.broadcast(crowded)  # HOT rows at most
 
@@ -335,7 +335,7 @@ def fetched(docs: DataFrame, opened: DataFrame, crowded: tuple[np.ndarray, np.nd
             places, data = np.concatenate(held), np.concatenate(pieces)
             later, starts = later_stretches(places, data)
             spans = _packed(_SPAN, start=places["start"], end=places["start"] + places["length"])
-            rows = [(None, doc, mark, None, x) for doc, mark, x in zip(*_by_doc(places["doc"][later], places["mark"][later], spans[later]))]
+            rows = [((doc ^ mark) % buckets, doc, mark, None, x) for doc, mark, x in zip(*_by_doc(places["doc"][later], places["mark"][later], spans[later]))]
             keep = np.flatnonzero(~later)
             bucket = ((places["gram"][keep] + places["part"][keep].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             by = np.lexsort((places["gram"][keep], bucket))
@@ -344,7 +344,7 @@ def fetched(docs: DataFrame, opened: DataFrame, crowded: tuple[np.ndarray, np.nd
                 n = places["length"][own].astype(np.int64)
                 at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 first = int((int(places["gram"][own[0]]) + int(places["part"][own[0]])) % buckets)
-                rows.append((first, None, None, places[own].tobytes(), data[at].tobytes()))
+                rows.append((first, 0, 0, places[own].tobytes(), data[at].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names)
 
         for batch in batches:
@@ -379,11 +379,13 @@ def fetched(docs: DataFrame, opened: DataFrame, crowded: tuple[np.ndarray, np.nd
 
 
 def sort_bucket(length: int):
-    """Spans to remove, by document, of the open stretches of one bucket."""
+    """Spans to remove, by document, of the open stretches of one bucket, and those that tasks have found."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        places = np.concatenate([np.frombuffer(x, _PLACE) for x in pdf["places"]])
-        data = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["data"]])
+        through = pdf[pdf["places"].isna()]
+        pdf = pdf[~pdf["places"].isna()]
+        places = np.concatenate([np.empty(0, _PLACE), *(np.frombuffer(x, _PLACE) for x in pdf["places"])])
+        data = np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in pdf["data"])])
         later, starts = later_stretches(places, data)
         docs, marks, spans = [places["doc"][later]], [places["mark"][later]], [_packed(_SPAN, start=places["start"], end=places["start"] + places["length"])[later]]
         heads = np.flatnonzero(~later)
@@ -406,7 +408,7 @@ def sort_bucket(length: int):
             spans.append(_packed(_SPAN, start=s[cut], end=s[np.append(cut[1:], len(s)) - 1] + length if len(s) else s))
             a = z
         ids, keys, packed = _by_doc(np.concatenate(docs), np.concatenate(marks), np.concatenate(spans))
-        return pd.DataFrame({"doc_id": np.array(ids, np.int64), "mark": np.array(keys, np.int32), "data": packed})
+        return pd.DataFrame({"doc_id": np.append(ids, through["doc_id"]).astype(np.int64), "mark": np.append(keys, through["mark"]).astype(np.int32), "data": packed + through["data"].tolist()})
 
     return work
 
@@ -420,10 +422,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     crowd = answered.where(F.col("kind") == CROWDED).orderBy(F.desc("doc_id"), "data").limit(HOT).select("doc_id", "data").collect()
     grams, n = np.array([int.from_bytes(r.data, "little") for r in crowd], np.uint64), np.array([r.doc_id for r in crowd], np.int64)
     by = np.argsort(grams)
-    seen = saved(fetched(docs, answered.where(F.col("kind") == OPEN).drop("kind"), (grams[by], -(-n[by] // OCCURRENCES_A_GROUP)), buckets, length), "stretches")
-    found = seen.where("bucket IS NOT NULL").groupBy("bucket").applyInPandas(sort_bucket(length), "doc_id long, mark int, data binary")
-    every = found.unionByName(seen.where("bucket IS NULL").select("doc_id", "mark", "data"))
-    return every.groupBy("doc_id", "mark").agg(F.collect_list("data").alias("spans"))
+    opened = answered.where(F.col("kind") == OPEN).drop("kind")
+    seen = fetched(docs, opened, (grams[by], -(-n[by] // OCCURRENCES_A_GROUP)), buckets, length)
+    found = seen.groupBy("bucket").applyInPandas(sort_bucket(length), "doc_id long, mark int, data binary")
+    return found.groupBy("doc_id", "mark").agg(F.collect_list("data").alias("spans"))
 
 
 def _kept(raw: np.ndarray, spans: list[bytes] | None) -> tuple[bytes, int]:

@@ -424,9 +424,10 @@ def test_blind_trie_and_sort():
 def test_rows_that_repeat_an_id(spark):
     rng = random.Random(13)
     a, b = words(rng, 60), words(rng, 60)
-    rows = [(1, a), (1, a), (1, b), (2, b), (None, b), (3, None)]
+    big = 2**62 + 1
+    rows = [(1, a), (1, a), (1, b), (big, b), (None, b), (3, None)]
     got = suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == sorted([(1, len(a), 0), (1, len(a), 0), (1, len(b), 0), (2, len(b), len(b)), (0, len(b), 0), (3, 0, 0)])
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == sorted([(1, len(a), 0), (1, len(a), 0), (1, len(b), 0), (big, len(b), len(b)), (0, len(b), 0), (3, 0, 0)])
 
 
 def test_removed_bytes_come_from_sorted_neighbours(monkeypatch):
@@ -436,7 +437,7 @@ def test_removed_bytes_come_from_sorted_neighbours(monkeypatch):
     offsets, data = np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8)
     gram, doc, start, end = suffix_dedup.stretches(data, offsets, 100, 24)
     places = suffix_dedup._packed(suffix_dedup._PLACE, gram=gram, doc=doc, mark=np.zeros(len(doc)), start=start, length=end - start, part=np.zeros(len(doc)), groups=np.ones(len(doc)))
-    pdf = pd.DataFrame({"places": [places.tobytes()], "data": [b"".join(raw[d][a:z] for d, a, z in zip(doc, start, end))]})
+    pdf = pd.DataFrame({"doc_id": [0], "mark": [0], "places": [places.tobytes()], "data": [b"".join(raw[d][a:z] for d, a, z in zip(doc, start, end))]})
     found = suffix_dedup.sort_bucket(100)(pdf)
     assert sorted(found.doc_id) == [1, 2, 3, 4]
     kept = suffix_dedup.later_ones
