@@ -6,14 +6,20 @@ documents (a table of a fixed size, so it can be broadcast), then by hash. Posti
 this order. The smallest member of a list is its hub, and every member is sent to its hub once: any two members of a list
 meet in the hub's group, and what is sent grows with the number of postings, not with pairs. In a group, two documents
 are compared only if nothing links them there yet, and only after the filters are intersected: sizes, the Hamming bound of
-bitmaps, and a shared prefix token under every further order. Then the sets themselves decide. Groups above a bound
-are dealt over a grid of blocks, each of a bounded size. Linked documents get their smallest id by repeated joins.
+bitmaps, and a shared prefix token under every further order. Then the sets decide, and the words themselves confirm a link.
+
+A group above GROUP documents is dealt over blocks, and the hub goes to every block. A document that its block connects
+with the hub is settled: it need not look for other settled ones. Only the others meet documents of other blocks, and of
+those only the ones whose distance from the hub differs by no more than a link allows (Jaccard distance is a metric).
+Linked documents get their smallest id by repeated joins, in which crowded keys are dealt over SALTS parts.
 
 Equal sets are one class from the start: a task posts a set once, a list holds it once, and one document stands for it.
+Classes are told apart by two 64-bit sums; one of the sums names a set in lists, where two sets of one name only meet.
 
 Defined cases: a null or blank text has an empty set and links with nothing; a text of fewer words than a shingle is one
-shingle; any length is read whole; repeated rows give repeated results; an empty table gives no rows; other columns are
-ignored. Sets and their digests are told apart by 64-bit hashes.
+shingle; any length is read whole; repeated rows give repeated results; a row without a doc_id brings no links, and has the
+component of the rows with an equal set, if any; rows that repeat a doc_id with other texts are linked through it; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import doc_texts, mix, saved, shingle_hashes, table, text_runs
+from cellwright.llm.common import LOWER, doc_texts, mix, saved, shingle_hashes, table, text_runs
 
 WIDTH, PERCENT = 5, 75
 COUNTERS, CHUNKS = 1 << 19, 16
@@ -35,6 +41,10 @@ COUNTERS, CHUNKS = 1 << 19, 16
 ORDERS = (0x51ED27, 0xA24BAE)
 GROUP, BITMAP = 2048, 2048
 POSTINGS_A_BUCKET = 2_000_000
+#: A key of more than CROWD rows is dealt over SALTS parts in joins.
+CROWD, SALTS = 4096, 64
+#: Steps of the distance from a hub.
+STEPS = 20
 #: Prefixes are longer by SHARED - 1 tokens than one shared token needs, so linked sets share SHARED of them.
 SHARED = 4
 
@@ -46,10 +56,20 @@ def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield np.unique(hashes[a:b])
 
 
-def _digest(tokens: np.ndarray) -> int:
-    """Of a set, as a signed 64-bit number."""
+def _digest(tokens: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit numbers of a set."""
     both = np.array([tokens.sum(dtype=np.uint64), mix(tokens).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)
-    return int(mix(mix(both[:1]) + both[1:]).view(np.int64)[0])
+    name, check = mix(mix(both) + both[::-1]).view(np.int64).tolist()
+    return name, check
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Left join of ``many`` with ``one``, which has one row a key; a key of more than CROWD rows is dealt over SALTS parts by ``by``."""
+    crowd = many.groupBy(*keys).count().where(F.col("count") > CROWD).select(*keys, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(crowd.withColumn("crowded", F.lit(True)), [*keys, "salt"], "left")
+    left = salted.withColumn("salt", F.when(F.col("crowded"), F.col("salt")).otherwise(0)).drop("crowded")
+    right = one.join(crowd, keys, "left").withColumn("salt", F.coalesce("salt", F.lit(0)))
+    return left.join(right, [*keys, "salt"], "left").drop("salt")
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -57,26 +77,28 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def document_sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, digest of every row; chunk, at, hits: what each task adds to the counters), in one written scan."""
+    """(doc_id, n, digest, check of every row; chunk, at, hits: what each task adds to the counters), in one written scan."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            sizes, digests = [], []
+            sizes, digests, checks = [], [], []
             for tokens in _sets(batch.column("text"), width):
                 sizes.append(len(tokens))
-                digests.append(_digest(tokens))
+                digest, check = _digest(tokens)
+                digests.append(digest)
+                checks.append(check)
                 np.add.at(counters, (tokens % np.uint64(COUNTERS)).astype(np.int64), 1)
             none = pa.nulls(len(sizes))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(checks, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], names)
         step = COUNTERS // CHUNKS
         chunks = [(i, np.flatnonzero(c), c) for i, c in enumerate(counters.reshape(CHUNKS, step)) if c.any()]
         none = pa.nulls(len(chunks), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i for i, _, _ in chunks], pa.int32()), pa.array([at.astype("<i4").tobytes() for _, at, _ in chunks], pa.binary()), pa.array([c[at].astype("<i4").tobytes() for _, at, c in chunks], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i for i, _, _ in chunks], pa.int32()), pa.array([at.astype("<i4").tobytes() for _, at, _ in chunks], pa.binary()), pa.array([c[at].astype("<i4").tobytes() for _, at, c in chunks], pa.binary())], names)
 
-    names = ["doc_id", "n", "digest", "chunk", "at", "hits"]
-    both = saved(doc_texts(docs).mapInArrow(scan, "doc_id long, n long, digest long, chunk int, at binary, hits binary"), "sets")
-    return both.where("chunk IS NULL").select("doc_id", "n", "digest"), both.where("chunk IS NOT NULL").select("chunk", "at", "hits")
+    names = ["doc_id", "n", "digest", "check", "chunk", "at", "hits"]
+    both = saved(doc_texts(docs).mapInArrow(scan, "doc_id long, n long, digest long, check long, chunk int, at binary, hits binary"), "sets")
+    return both.where("chunk IS NULL").select("doc_id", "n", "digest", "check"), both.where("chunk IS NOT NULL").select("chunk", "at", "hits")
 
 
 def hit_ranks(hits: DataFrame) -> np.ndarray:
@@ -127,7 +149,7 @@ def postings(docs: DataFrame, ranks: np.ndarray, buckets: int, width: int, perce
                     continue
                 seen.add(d)
                 order = np.lexsort((tokens, rank[(tokens % np.uint64(COUNTERS)).astype(np.int64)]))
-                held.append((d, tokens[order[: prefix_length(len(tokens), percent) + SHARED - 1]], len(tokens)))
+                held.append((d[0], tokens[order[: prefix_length(len(tokens), percent) + SHARED - 1]], len(tokens)))
                 size += len(held[-1][1])
                 if size > 2_000_000:
                     yield packed(held)
@@ -194,10 +216,11 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def link_group(nodes: np.ndarray, sets: list[np.ndarray], sides: np.ndarray | None, percent: int = PERCENT) -> list[tuple[int, int]]:
+def link_group(nodes: np.ndarray, sets: list[np.ndarray], sides: np.ndarray | None, percent: int = PERCENT, confirm=lambda i, k: True) -> list[tuple[int, int]]:
     """Links that connect all documents of a group that are connected in it; at most one less than documents.
 
-    sides: with two different values, only documents of different sides are compared.
+    sides: with two different values, only documents of different sides are compared. confirm: of two places in ``nodes``,
+    whether they link by their words.
     """
     n = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort((nodes, n))
@@ -229,48 +252,128 @@ def link_group(nodes: np.ndarray, sets: list[np.ndarray], sides: np.ndarray | No
             if top[k] == top[i] or not all(a & b for a, b in zip(prefix(i), prefix(k))):
                 continue
             both = _overlap(sets[i], sets[k])
-            if 100 * both >= percent * (n[i] + n[k] - both):
+            if 100 * both >= percent * (n[i] + n[k] - both) and confirm(int(order[i]), int(order[k])):
                 links.append((int(nodes[i]), int(nodes[k])))
                 top[top == top[i]] = top[k]
     return links
 
 
-def links(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: links between the digests of different sets."""
-    pairs = saved(members, "members")
-    pairs = pairs.unionByName(pairs.select("hub", F.col("hub").alias("node")).distinct())
-    blocks = pairs.groupBy("hub").count().select("hub", F.ceil(F.col("count") / GROUP).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = (
-        pairs.join(blocks, "hub").withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("hub", "node", "side", F.least("side", "other").alias("row"), F.greatest("side", "other").alias("column"))
-    )
-    names = ["hub", "row", "column", "node", "side", "tokens"]
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingles(words: list[bytes], width: int) -> set[tuple]:
+    return set(zip(*(words[k:] for k in range(width)))) if len(words) >= width else {tuple(words)}
+
+
+def linked(a: bytes, b: bytes, width: int, percent: int) -> bool:
+    """Whether two normalised texts link, by their words."""
+    x, y = _shingles(a.split(), width), _shingles(b.split(), width)
+    return 100 * len(x & y) >= percent * len(x | y)
+
+
+class Group:
+    """Documents that meet, with their texts and sets."""
+
+    def __init__(self, pdf: pd.DataFrame, width: int, percent: int):
+        self.pdf = pdf = pdf.drop_duplicates("rep").sort_values("rep")
+        self.nodes, self.texts, self.width, self.percent = pdf["rep"].to_numpy(), pdf["words"].tolist(), width, percent
+        self.sets = list(_sets(pa.array(self.texts, pa.binary()).cast(pa.string()), width))
+
+    def links(self, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+        return link_group(self.nodes, self.sets, sides, self.percent, lambda i, k: linked(self.texts[i], self.texts[k], self.width, self.percent))
+
+
+def texts_of(placed: DataFrame, docs: DataFrame, columns: list[str], width: int) -> DataFrame:
+    """``columns`` of ``placed`` (rep, digest, check among them) and words, the normalised text; rows of rep's doc_id with other texts are left out."""
+    types = dict(placed.dtypes)
+
+    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, digest, packed = None, None, b""
         for batch in batches:
-            for part in range(0, batch.num_rows, 256):  # bounded batches of sets
-                rows = batch.slice(part, 256)
-                out = []
-                for node, text in zip(rows.column("node").to_pylist(), rows.column("text").to_pylist()):
+            for part in range(0, batch.num_rows, 256):  # bounded batches of texts
+                rows, out = batch.slice(part, 256), []
+                for name, check, text in zip(*(rows.column(c).to_pylist() for c in ("digest", "check", "text"))):
                     if digest is None or text != last:
-                        found = next(_sets(pa.array([text], pa.string()), width))
-                        last, digest, packed = text, _digest(found), found.astype("<u8").tobytes()
-                    out.append(packed if digest == node else None)
-                done = pa.RecordBatch.from_arrays([*(rows.column(c) for c in names[:-1]), pa.array(out, pa.binary())], names)
-                yield done.filter(done.column("tokens").is_valid())
+                        last, digest = text, _digest(next(_sets(pa.array([text], pa.string()), width)))
+                        packed = b" ".join(LOWER[np.frombuffer(text.encode(), np.uint8)].tobytes().split())
+                    out.append(packed if digest == (name, check) else None)
+                done = pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(out, pa.binary())], [*columns, "words"])
+                yield done.filter(done.column("words").is_valid())
 
-    # the text meets its cells in one join; sets are made behind it and dealt by cell
-    placed = cells.join(classes.select(F.col("digest").alias("node"), F.col("rep").alias("doc_id")), "node")
-    sets = doc_texts(docs).join(placed, "doc_id").select(*names[:-1], "text").mapInArrow(tokens, "hub long, row int, column int, node long, side int, tokens binary")
+    met = doc_texts(docs).where("text IS NOT NULL").join(placed, F.col("doc_id") == F.col("rep"))
+    return met.select(*dict.fromkeys([*columns, "digest", "check"]), "text").mapInArrow(normal, ", ".join(f"{c} {types[c]}" for c in columns) + ", words binary")
+
+
+def links(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: links between the documents that stand for different sets."""
+    pairs = saved(members, "members")
+    pairs = pairs.unionByName(pairs.select("hub", F.col("hub").alias("node")).distinct())
+    large = saved(pairs.groupBy("hub").count().where(F.col("count") > GROUP).select("hub", F.ceil(F.col("count") / GROUP).cast("int").alias("blocks")), "large")
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    dealt = spread_join(pairs, large, ["hub"], "node").select("hub", "node", F.coalesce(block, F.lit(0)).alias("block"), F.col("blocks").isNotNull().alias("of_many"))
+    every = dealt.unionByName(large.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("of_many")))
+    named = classes.select(F.col("digest").alias("node"), "digest", "check", "rep")
+    placed = every.join(named, "node").withColumn("is_hub", F.col("node") == F.col("hub"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links; and of a large group's block, by document, the distance from the hub and whether it is settled."""
+        group = Group(pdf, width, percent)
+        found = group.links()
+        out = [(None, a, b, None, None) for a, b in found]
+        if pdf["of_many"].iloc[0]:
+            top = {int(x): int(x) for x in group.nodes}
+
+            def root(x: int) -> int:
+                while top[x] != x:
+                    top[x] = x = top[top[x]]
+                return x
+
+            for a, b in found:
+                top[root(a)] = root(b)
+            hub, at = int(pdf["hub"].iloc[0]), int(np.flatnonzero(group.pdf["is_hub"].to_numpy())[0])
+            for node, own in zip(group.nodes.tolist(), group.sets):
+                both = _overlap(own, group.sets[at])
+                step = int(STEPS * (1 - both / (len(own) + len(group.sets[at]) - both)))
+                out.append((hub, node, None, step, root(node) == root(int(group.nodes[at]))))
+        return pd.DataFrame(out, columns=["hub", "a", "b", "step", "settled"]).astype({"hub": "Int64", "a": "Int64", "b": "Int64", "step": "Int64", "settled": "boolean"})
+
+    columns = ["hub", "block", "of_many", "is_hub", "rep"]
+    first = saved(texts_of(placed, docs, columns, width).groupBy("hub", "block").applyInPandas(compare, "hub long, a long, b long, step long, settled boolean"), "links")
+    near = first.where("hub IS NULL").select("a", "b")
+    if large.isEmpty():
+        return near
+    return near.unionByName(unsettled_links(docs, classes, first.where("hub IS NOT NULL"), width, percent))
+
+
+def unsettled_links(docs: DataFrame, classes: DataFrame, seen: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: links of unsettled documents of large groups with any documents of their group.
+
+    Cells hold unsettled documents of one step of the distance against documents of steps near enough, both in blocks.
+    """
+    reach = math.ceil(STEPS * (100 - percent) / 100) + 1
+    members = seen.groupBy("hub", F.col("a").alias("rep")).agg(F.max("step").alias("step"), F.max("settled").alias("settled"))
+    open_ = members.where("NOT settled")
+    cells = saved(open_.groupBy("hub", "step").count().select("hub", F.col("step").alias("cell"), F.ceil(F.col("count") / GROUP).cast("int").alias("rows")), "open")
+    if cells.isEmpty():
+        return seen.select("a", "b").limit(0)
+    others = members.withColumn("cell", F.explode(F.sequence(F.col("step") - reach, F.col("step") + reach))).select("hub", "rep", "cell")
+    others = spread_join(others, cells, ["hub", "cell"], "rep").where("rows IS NOT NULL")
+    across = saved(others.groupBy("hub", "cell").agg(F.count("*").alias("n"), F.max("rows").alias("rows")).select("hub", "cell", "rows", F.ceil(F.col("n") / GROUP).cast("int").alias("columns")), "cells")
+    place = lambda n: F.pmod(F.xxhash64("rep", F.lit(2)), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    down = spread_join(open_.select("hub", "rep", F.col("step").alias("cell")), across, ["hub", "cell"], "rep").withColumn("row", place("rows")).withColumn("column", spread("columns")).withColumn("side", F.lit(0))
+    right = spread_join(others.drop("rows"), across, ["hub", "cell"], "rep").withColumn("column", place("columns")).withColumn("row", spread("rows")).withColumn("side", F.lit(1))
+    keys = ["hub", "cell", "row", "column"]
+    placed = down.select(*keys, "side", "rep").unionByName(right.select(*keys, "side", "rep")).join(classes.select("rep", "digest", "check"), "rep")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node").sort_values("node")
-        found = link_group(pdf["node"].to_numpy(), [np.frombuffer(x, "<u8") for x in pdf["tokens"]], pdf["side"].to_numpy(), percent)
+        pdf = pdf.sort_values("side")  # a document on both sides counts as unsettled
+        group = Group(pdf, width, percent)
+        side = group.pdf["side"].to_numpy()
+        found = group.links(side) if len(np.unique(side)) > 1 else []
+        if (side == 0).sum() > 1:
+            own = group.pdf[side == 0]
+            found += Group(own, width, percent).links()
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return sets.groupBy("hub", "row", "column").applyInPandas(compare, "a long, b long")
+    return texts_of(placed, docs, [*keys, "side", "rep"], width).groupBy(*keys).applyInPandas(compare, "a long, b long")
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:
@@ -278,10 +381,10 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
     both = saved(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
     while True:
-        heard = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
+        heard = spread_join(both, labels.withColumnRenamed("node", "b"), ["b"], "a").select(F.col("a").alias("node"), "label")
         near = labels.select("node", "label").union(heard).groupBy("node").agg(F.min("label").alias("label"))
         jump = near.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = saved(near.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        new = saved(spread_join(near, jump, ["label"], "node").select("node", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         settled = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty()
         labels = new
         if settled:
@@ -293,12 +396,12 @@ def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, percent: int = P
     nodes, hits = document_sets(docs, width)
     size = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     buckets = max(24, math.ceil(size * (100 - percent) / 100 / POSTINGS_A_BUCKET))
-    classes = saved(nodes.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = saved(nodes.where("n > 0").groupBy("digest", "check").agg(F.min("doc_id").alias("rep")), "classes")
     members = hub_members(postings(docs, hit_ranks(hits), buckets, width, percent), percent)
-    labels = smallest_reachable(links(docs, classes, members, width, percent))
-    grouped = classes.join(labels, classes["digest"] == labels["node"], "left").select("digest", "rep", F.coalesce("label", "digest").alias("label"))
-    merged = grouped.select("digest", "label").join(grouped.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("digest", "component_id")
-    full, empty = nodes.where("n > 0").join(merged, "digest"), nodes.where("n = 0")
+    labels = smallest_reachable(links(docs, classes.where("rep IS NOT NULL"), members, width, percent))
+    named = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", "check", F.coalesce("label", "rep").alias("component_id"))
+    full = spread_join(nodes.where("n > 0"), named, ["digest", "check"], "doc_id")
+    empty = nodes.where("n = 0")
     return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty.select("doc_id", "n", "doc_id"))
 
 

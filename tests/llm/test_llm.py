@@ -310,9 +310,17 @@ def test_components_equal_brute_force(docs, empty, texts):
 
 def test_large_groups_are_split(docs, texts, monkeypatch):
     monkeypatch.setattr(jaccard_join, "GROUP", 4)
+    monkeypatch.setattr(jaccard_join, "CROWD", 2)
     assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicate_classes(docs).collect()} == brute_components(texts)
 
 
+def test_links_are_confirmed_by_words(docs, texts, monkeypatch):
+    nodes, sets = np.arange(3), [np.arange(10, dtype=np.uint64)] * 3
+    said = {(0, 1): False, (0, 2): True, (1, 2): False}
+    assert jaccard_join.link_group(nodes, sets, None, 75, lambda i, k: said[min(i, k), max(i, k)]) == [(2, 0)]
+    assert jaccard_join.linked(b"a b c d e f", b"a b c d e f", 5, 75) and not jaccard_join.linked(b"a b c d e f", b"a b c d e g", 5, 75)
+
+
 # -- 7 ------------------------------------------------------------------------------------------------------------
 
 
