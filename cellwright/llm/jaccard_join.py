@@ -39,7 +39,7 @@ WIDTH, PERCENT = 5, 75
 COUNTERS, CHUNKS = 1 << 19, 16
 #: Further orders besides the rare-first one, as seeds.
 ORDERS = (0x51ED27, 0xA24BAE)
-GROUP, BITMAP = 2048, 2048
+GROUP, BITMAP = 512, 2048
 POSTINGS_A_BUCKET = 2_000_000
 #: A key of more than CROWD rows is dealt over SALTS parts in joins.
 CROWD, SALTS = 4096, 64
