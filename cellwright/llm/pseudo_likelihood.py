@@ -6,12 +6,11 @@ it: the network knows the FREQUENT most frequent words over all documents and HA
 class has the probability of its class times its share of the class's occurrences, count(word) / count(class). The counts
 of all words stay a table. Those of the most frequent words, HELD at most, go to every task; what documents hold of the
 others is joined with the table by the word's hash. The network (position-wise embeddings, tanh, a
-two-level softmax over groups of GROUP tokens) is trained here, over all tokens of all documents: in each round every
-task starts from the common parameters, makes steps over its own documents, and the parameters are averaged in
-proportion to tokens. Averages are taken block by block in two levels, so that only the finished network, of a fixed
-size, reaches the driver.
-
-The result depends on how documents are dealt to tasks only as far as the order of training does.
+two-level softmax over groups of GROUP tokens) is trained here, over all tokens of all documents: documents are dealt over
+parts of about TOKENS_A_PART tokens by a hash of their id and text, and put in that hash's order. In each round every part
+starts from the common parameters, makes steps over its own documents, and the parameters are averaged in proportion to
+tokens. Averages are taken block by block in two levels, in a fixed order, so that only the finished network, of a fixed
+size, reaches the driver. The result does not depend on how the table is partitioned.
 
 Defined cases: a null or wordless text has no tokens, log-likelihood 0 and a null mean; any length is read whole;
 repeated rows count and train as often as they occur and give repeated results; equally frequent words are taken in the
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 
 from cellwright.llm.common import LOWER, doc_texts, mix, saved, span_hashes, spans, table, text_runs
 
-FREQUENT, HASHED, GROUP, SIZE, SIDE, ROUNDS = 960, 64, 32, 24, 2, 2
-BATCH, RATE, BLOCKS = 4096, 0.08, 16
+FREQUENT, HASHED, GROUP, SIZE, SIDE, ROUNDS = 3072, 1024, 64, 24, 2, 2
+BATCH, RATE, BLOCKS, TOKENS_A_PART = 4096, 0.08, 16, 2_000_000
 #: Words whose counts are sent to every task; the counts of the others are joined.
 HELD = 65_536
 #: Bound of logits either way.
@@ -55,10 +54,11 @@ def class_of(words: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """``frequent``, hashes of the most frequent words, most frequent first; ``held`` and ``held_n``, hashes in their order and
     counts of words whose counts every task gets; ``rest``, the table (key, n) of the other words that occur more than once;
-    ``class_n``, occurrences by class."""
+    ``class_n``, occurrences by class; ``tokens``, of all words."""
 
     def __init__(self, counts: DataFrame):
         size = F.floor(F.log2("n") * 8)
+        self.tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
         self.frequent = self._hashes([r.key for r in counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()])
         least, words = 0, 0  # sizes from least on make up HELD words at most
         for r in sorted(counts.groupBy(size.alias("size")).count().collect(), reverse=True):
@@ -180,33 +180,52 @@ class Network:
         out[order] = part
         return out
 
-    def gradient(self, context: np.ndarray, target: np.ndarray) -> Network:
-        """Of the mean log-probability."""
-        out = Network(np.zeros_like(self.flat))
+    def slopes(self, context: np.ndarray, target: np.ndarray) -> dict[str, list[tuple]]:
+        """The gradient of the mean log-probability: by parameter (place, slope) for the places where it is not zero."""
         order, groups = self._groups(target // GROUP)
         context, t, n = context[order], target[order], len(target)
         h, group, within, row = self._hidden(context), t // GROUP, t % GROUP, np.arange(n)
         ones = np.ones(n, np.float32)
 
-        def slopes(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        def of_logits(x: np.ndarray, at: np.ndarray) -> np.ndarray:
             e, total = self._exponentials(x)
             e *= (-1 / (n * total))[:, None]
             e[row, at] += np.float32(1 / n)
             return e
 
-        d1, d2 = slopes(h @ self.w1 + self.b1, group), slopes(self._inner_logits(h, group, groups), within)
-        out.w1[:], out.b1[:] = h.T @ d1, ones @ d1
+        d1, d2 = of_logits(h @ self.w1 + self.b1, group), of_logits(self._inner_logits(h, group, groups), within)
+        out: dict[str, list[tuple]] = {"w1": [(..., h.T @ d1)], "b1": [(..., ones @ d1)], "w2": [], "b2": [], "e": []}
         dh = d1 @ self.w1.T
         for g, own in groups:
-            out.w2[g], out.b2[g] = h[own].T @ d2[own], ones[own] @ d2[own]
+            out["w2"].append((g, h[own].T @ d2[own]))
+            out["b2"].append((g, ones[own] @ d2[own]))
             dh[own] += d2[own] @ self.w2[g].T
         dh *= 1 - h**2
-        out.b[:] = ones @ dh
-        at, flat = np.arange(SIZE), dh.ravel()
+        out["b"] = [(..., ones @ dh)]
         for k in range(2 * SIDE):
-            out.e[k] = np.bincount((context[:, k][:, None] * SIZE + at).ravel(), flat, (VOCABULARY + 1) * SIZE).reshape(-1, SIZE)
+            by = np.argsort(context[:, k].astype(np.int16), kind="stable")
+            column = context[by, k]
+            first = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
+            out["e"].append(((k, column[first]), np.add.reduceat(dh[by], first, axis=0)))
+        return out
+
+    def gradient(self, context: np.ndarray, target: np.ndarray) -> Network:
+        """As ``slopes``, in one flat vector."""
+        out = Network(np.zeros_like(self.flat))
+        for name, parts in self.slopes(context, target).items():
+            for at, slope in parts:
+                getattr(out, name)[at] = slope
         return out
 
+    def step(self, squares: Network, context: np.ndarray, target: np.ndarray) -> None:
+        """One step of Adagrad; ``squares`` sums up the squares of slopes."""
+        for name, parts in self.slopes(context, target).items():
+            own, sums = getattr(self, name), getattr(squares, name)
+            for at, slope in parts:
+                seen = sums[at] + slope * slope
+                sums[at] = seen
+                own[at] += RATE * slope / np.sqrt(seen)
+
 
 class Tokens:
     """Token ids and contexts of the words of runs of texts."""
@@ -215,19 +234,27 @@ class Tokens:
         self.order = np.argsort(frequent)
         self.sorted = frequent[self.order]
 
-    def of(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(contexts, tokens) of words with their offsets by text."""
+    def ids(self, words: np.ndarray) -> np.ndarray:
         ids = FREQUENT + class_of(words)
         if len(self.sorted):
             k = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
             ids = np.where(self.sorted[k] == words, self.order[k], ids)
+        return ids
+
+    def of(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(contexts, tokens) of words with their offsets by text."""
+        ids = self.ids(words)
+        return self.contexts(ids, at), ids
+
+    @staticmethod
+    def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         text = np.repeat(np.arange(len(at) - 1), np.diff(at))
         context = np.full((len(ids), 2 * SIDE), VOCABULARY, np.int64)
         for column, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
             a, b = (slice(-step, None), slice(None, step)) if step < 0 else (slice(None, -step), slice(step, None))
             if len(ids) > abs(step):
                 context[a, column] = np.where(text[a] == text[b], ids[b], VOCABULARY)
-        return context, ids
+        return context
 
 
 class Shares:
@@ -248,46 +275,55 @@ class Shares:
         return out, own[~known]
 
 
-def train_round(docs: DataFrame, frequent: np.ndarray, start: Network) -> Network:
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((frequent, start.flat))
+def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """part, place, ids: the tokens of every document with words, dealt over parts; place orders the documents of a part."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.frequent)
+    parts = max(1, -(-vocabulary.tokens // TOKENS_A_PART))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(shared.value)
+        for batch in batches:
+            for first, end, data, offsets in text_runs(batch.column("text")):
+                words, at = word_hashes(data, offsets)
+                ids = tokens.ids(words).astype("<u2")
+                keep = pa.array(np.diff(at) > 0)
+                out = pa.array([ids[a:z].tobytes() for a, z in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("part").slice(first, end - first), batch.column("place").slice(first, end - first), out], ["part", "place", "ids"]).filter(keep)
+
+    place = F.xxhash64("doc_id", "text")
+    rows = doc_texts(docs).select(F.pmod(place, F.lit(parts)).alias("part"), place.alias("place"), "text")
+    return rows.mapInArrow(encode, "part long, place long, ids binary")
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = shared.value
-        tokens, net, squares, seen = Tokens(words), Network(flat), np.full(len(flat), 1e-6, np.float32), 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def steps(last: bool) -> int:
+def train_round(parts: DataFrame, start: Network) -> Network:
+    shared = parts.sparkSession.sparkContext.broadcast(start.flat)
+
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        net, squares = Network(shared.value), Network(np.full(len(shared.value), 1e-6, np.float32))
+        ids = [np.frombuffer(x, "<u2") for _, x in sorted(zip(pdf["place"], pdf["ids"]))]
+        ends = np.cumsum([len(x) for x in ids])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        first = 0
+        while first < len(ids):  # documents of about 64 batches at a time
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + 64 * BATCH)))
+            t = np.concatenate(ids[first:last]).astype(np.int64)
+            held.append((Tokens.contexts(t, np.append(0, np.cumsum([len(x) for x in ids[first:last]]))), t))
             c, t = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            whole = len(t) if last else len(t) // BATCH * BATCH
+            whole = len(t) if last == len(ids) else len(t) // BATCH * BATCH
             for i in range(0, whole, BATCH):
-                g = net.gradient(c[i : i + BATCH], t[i : i + BATCH]).flat
-                np.add(squares, g * g, out=squares)
-                net.flat += RATE * g / np.sqrt(squares)
-            if whole < len(t):
-                held.append((c[whole:], t[whole:]))
-            return whole
-
-        for batch in batches:
-            for _, _, data, offsets in text_runs(batch.column("text")):
-                c, t = tokens.of(*word_hashes(data, offsets))
-                if len(t):
-                    held.append((c, t))
-                    seen += steps(False)
-        if held:
-            seen += steps(True)
-        if seen:
-            parts = np.array_split(net.flat.astype("<f4"), BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([seen] * BLOCKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "tokens", "numbers"])
+                net.step(squares, c[i : i + BATCH], t[i : i + BATCH])
+            held, first = [(c[whole:], t[whole:])], last
+        blocks = np.array_split(net.flat.astype("<f4"), BLOCKS)
+        return pd.DataFrame({"block": np.arange(BLOCKS, dtype=np.int32), "tokens": int(ends[-1]), "numbers": [x.tobytes() for x in blocks]})
 
     def average(pdf: pd.DataFrame) -> pd.DataFrame:
-        weight = pdf["tokens"].to_numpy(float)
-        total = sum(np.frombuffer(x, "<f4").astype(float) * w for x, w in zip(pdf["numbers"], weight))
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "tokens": [int(weight.sum())], "numbers": [(total / weight.sum()).astype("<f4").tobytes()]})
+        pairs = sorted(zip(pdf["numbers"], pdf["tokens"]))  # sums of floats depend on their order
+        weight = sum(float(w) for _, w in pairs)
+        total = sum(np.frombuffer(x, "<f4").astype(float) * w for x, w in pairs)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "tokens": [int(weight)], "numbers": [(total / weight).astype("<f4").tobytes()]})
 
     schema = "block int, tokens long, numbers binary"
-    trained = doc_texts(docs).select("text").mapInArrow(local, schema)
+    trained = parts.groupBy("part").applyInPandas(local, schema)
     halfway = trained.groupBy("block", F.pmod(F.xxhash64("numbers"), F.lit(32))).applyInPandas(average, schema)
     rows = halfway.groupBy("block").applyInPandas(average, schema).collect()  # BLOCKS rows of a fixed size
     if not rows:
@@ -297,8 +333,9 @@ def train_round(docs: DataFrame, frequent: np.ndarray, start: Network) -> Networ
 
 def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
     words, net = vocabulary(docs), Network()
-    for _ in range(rounds):
-        net = train_round(docs, words.frequent, net)
+    parts = saved(encoded(docs, words), "tokens") if words.tokens else None
+    for _ in range(rounds if words.tokens else 0):
+        net = train_round(parts, net)
     return words, net
 
 

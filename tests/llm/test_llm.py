@@ -172,9 +172,37 @@ def test_scores_of_awkward_texts(docs, empty, texts):
     assert pseudo_likelihood.score(empty, *pseudo_likelihood.train(empty)).count() == 0
 
 
+def test_training_does_not_depend_on_partitions(docs):
+    a, b = (pseudo_likelihood.train(d, rounds=1)[1].flat for d in (docs, docs.repartition(2)))
+    assert np.array_equal(a, b)
+
+
+def test_held_out_loss_is_below_that_of_single_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fresh = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    words, net = pseudo_likelihood.train(docs.where(~fresh))
+    got = pseudo_likelihood.score(docs.where(fresh), words, net).agg(F.sum("log_likelihood"), F.sum("n_tokens")).first()
+    counts, n, total = {}, 0, 0.0
+
+    def hashes(frame):
+        for r in frame.select("text").collect():
+            data = np.frombuffer((r.text or "").encode(), np.uint8)
+            yield pseudo_likelihood.word_hashes(data, np.array([0, len(data)]))[0].tolist()
+
+    for found in hashes(docs.where(~fresh)):
+        for w in found:
+            counts[w] = counts.get(w, 0) + 1
+    every = sum(counts.values())
+    for found in hashes(docs.where(fresh)):
+        n += len(found)
+        total += sum(np.log(counts.get(w, 1) / every) for w in found)
+    assert n == got[1] and got[0] / n > total / n + 0.1, (got[0] / n, total / n)
+
+
 def test_scores_tell_rare_words_apart(spark, monkeypatch):
     monkeypatch.setattr(pseudo_likelihood, "HELD", 1000)
-    word_of = [w for i in range(1000) for w in [f"c{i}"] * 40] + [w for i in range(400) for w in [f"r{i}"] * (1 + i % 7)]
+    monkeypatch.setattr(pseudo_likelihood, "TOKENS_A_PART", 10_000)
+    word_of = [w for i in range(3200) for w in [f"c{i}"] * 12] + [w for i in range(400) for w in [f"r{i}"] * (1 + i % 7)]
     random.Random(5).shuffle(word_of)
     rows = [(i % 300, " ".join(word_of[i * 50 : i * 50 + 50])) for i in range(-(-len(word_of) // 50))]  # ids repeat, with other texts
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
