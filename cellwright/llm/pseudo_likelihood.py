@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cellwright.llm.common import LOWER, doc_texts, mix, saved, span_hashes, spans, table, text_runs
 
-FREQUENT, HASHED, GROUP, SIZE, SIDE, ROUNDS = 3072, 1024, 64, 24, 2, 2
+FREQUENT, HASHED, GROUP, SIZE, SIDE, ROUNDS = 3072, 1024, 64, 24, 2, 1
 BATCH, RATE, BLOCKS, TOKENS_A_PART = 4096, 0.08, 16, 2_000_000
 #: Words whose counts are sent to every task; the counts of the others are joined.
 HELD = 65_536
