@@ -9,8 +9,8 @@ a bound that equals it is still scored, for ties go to the smaller id.
 Queries and rows meet in a grid: groups of at most about QUERIES queries against ranges of about ROWS rows. Every
 cell has a bounded size, returns k rows a query, and a window merges them.
 
-Defined cases: vectors that are null, or hold null, NaN or infinite components, take no part; rows that repeat an id count
-as one row, that with the smallest vector; shorter vectors count as padded with zeros; an empty table gives no rows;
+Defined cases: vectors that are null, or hold null, NaN or infinite components, take no part; rows that repeat an id are
+candidates each, but not of queries with that id, whose rows are ranked together; shorter vectors count as padded with zeros; an empty table gives no rows;
 equal scores are ordered by id; other columns are ignored. Scores are exact while they fit into a long.
 """
 
@@ -68,13 +68,13 @@ def block_max_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
 
 
 def exact_topk(vectors: DataFrame, is_query, k: int, rows_per_range: int = ROWS, queries_per_group: int = QUERIES) -> DataFrame:
-    """vectors: ``id`` long, ``codes`` array<long>, one row an id. is_query: a condition on ``id``.
+    """vectors: ``id`` long, ``codes`` array<long>. is_query: a condition on ``id``.
 
     Returns query_id, rank (from 1), id, score.
     """
     size = vectors.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.max(F.size("codes")).alias("w")).first()
     ranges, groups, width = max(1, math.ceil(size.n / rows_per_range)), max(1, math.ceil(size.q / queries_per_group)), size.w or 0
-    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("id", "codes"), F.lit(n)).cast("int")
     rows = vectors.select("id", "codes", place(ranges).alias("range"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     queries = vectors.where(is_query).select("id", "codes", place(groups).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("range"))
 
@@ -91,12 +91,11 @@ def exact_topk(vectors: DataFrame, is_query, k: int, rows_per_range: int = ROWS,
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:
-    """id, codes: floor(scale * x) of every vector without null or non-finite components, one row an id."""
+    """id, codes: floor(scale * x) of every vector without null or non-finite components."""
     x = F.col("embedding").cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     good = embeddings.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~bad)
-    codes = good.select(F.col("vec_id").cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("long")).alias("codes"))
-    return codes.groupBy("id").agg(F.min("codes").alias("codes"))
+    return good.select(F.col("vec_id").cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("long")).alias("codes"))
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
