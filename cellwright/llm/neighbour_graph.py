@@ -11,9 +11,9 @@ beam holds an unvisited node. The beam grows with the logarithm of the number of
 
 Distances within the graph are measured in single precision; results are measured again in double precision.
 
-Defined cases: vectors that are null, all zero, or hold null, NaN or infinite components take no part, nor do those
-whose length is not the most common one (the smaller of equally common lengths); rows that repeat an id count as one row,
-that with the smallest vector; equal distances are ordered by id; fewer candidates than k are all returned; an empty
+Defined cases: vectors that are null, all zero, or hold null, NaN or infinite components take no part; shorter vectors count
+as padded with zeros; rows that repeat an id are candidates each, but not of queries with that id, whose rows are ranked
+together; equal distances are ordered by id; fewer candidates than k are all returned; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -82,12 +82,12 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def clean_vectors(embeddings: DataFrame) -> DataFrame:
-    """id, v (array<double>), one row an id."""
+    """id, v (array<double>), padded with zeros to one length."""
     x = F.col("embedding").cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     good = embeddings.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~bad & F.exists(x, lambda v: v != 0))
-    one = good.select(F.col("vec_id").cast("long").alias("id"), x.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
-    return one
+    width = good.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("w")).first().w
+    return good.select(F.col("vec_id").cast("long").alias("id"), F.concat(x, F.array_repeat(F.lit(0.0), F.lit(width) - F.size("embedding"))).alias("v"))
 
 
 def nodes_of(vectors: DataFrame) -> DataFrame:
@@ -245,24 +245,28 @@ def walk(queries: DataFrame, leaves: DataFrame, graph: DataFrame, nodes: DataFra
 
 def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """query_id, rank, id, score for the ids that fulfil ``is_query``; vectors: id, v."""
-    lengths = vectors.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    vectors = vectors.where(F.size("v") == (lengths.w if lengths else 0))
     nodes = saved(nodes_of(vectors), "nodes")
     n = nodes.count()
     trees = fit_trees(nodes, n)
     leaves = saved(dealt(nodes, trees), "leaves")
     graph = build_graph(nodes, leaves)
     members = saved(vectors.join(nodes.select("v", "node"), "v").select("id", "node"), "members")
-    queries = members.where(is_query).select(F.col("id").alias("query"), "node").join(nodes.select("node", "packed"), "node")
+    asked = members.where(is_query).select(F.col("id").alias("query_id"), "node").distinct()
+    # equal queries walk once
+    queries = asked.select("node").distinct().join(nodes.select("node", "packed"), "node").select(F.col("node").alias("query"), "node", "packed")
     found = walk(queries, leaves, graph, nodes, beam_of(n))
-    # a node's k + 1 smallest ids are enough: later members never come before them
+    own = members.groupBy("id").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first().n  # rows that a query leaves out at most
+    # a node's k + own smallest ids are enough: later members never come before them
     of_node = Window.partitionBy("node").orderBy("id")
-    few = members.withColumn("r", F.row_number().over(of_node)).where(F.col("r") <= k + 1).drop("r")
-    pairs = found.join(nodes.select("node", "v"), "node").join(queries.select("query", F.col("node").alias("own")), "query").join(nodes.select(F.col("node").alias("own"), F.col("v").alias("qv")), "own")
+    few = members.withColumn("r", F.row_number().over(of_node)).where(F.col("r") <= k + own).drop("r")
+    pairs = found.join(nodes.select("node", "v"), "node").join(nodes.select(F.col("node").alias("query"), F.col("v").alias("qv")), "query")
     score = F.sqrt(F.aggregate(F.zip_with("v", "qv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    scored = pairs.select("query", "node", score.alias("score")).join(few, "node").where(F.col("id") != F.col("query"))
-    rank = Window.partitionBy("query").orderBy("score", "id")
-    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "id", "score")
+    # the k + own nearest nodes of a query hold its k nearest rows, whichever of them are its own
+    near = Window.partitionBy("query").orderBy("score", "node")
+    best = pairs.select("query", "node", score.alias("score")).withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + own).drop("r")
+    scored = best.join(few, "node").join(asked.withColumnRenamed("node", "query"), "query").where(F.col("id") != F.col("query_id"))
+    rank = Window.partitionBy("query_id").orderBy("score", "id")
+    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def op4_neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
