@@ -6,8 +6,8 @@ output can be read back exactly. Image, audio and document parts become ``<image
 the number is the part's place in its turn.
 
 Defined cases: a null text, role, part list or part field counts as empty (a null kind as text, an unknown kind as a
-document); rows with the same turn number are ordered by role, then body, and repeated rows stay; an empty table
-gives an empty result; a null conversation id is a conversation of its own; other columns are ignored. A conversation
+document); rows with the same turn number are ordered by role, then parts (by kind and raw text), null turn numbers come last,
+and repeated rows stay; an empty table gives an empty result; a null conversation id is a conversation of its own; other columns are ignored. A conversation
 is one output value, so its turns meet in one row by definition.
 """
 
@@ -76,14 +76,11 @@ def format_conversations(rows: DataFrame, parts: str | None = None, train_on: st
     else:
         listed, names = F.col(parts), {f.name for f in rows.schema[parts].dataType.elementType.fields}
         listed = F.coalesce(listed, F.array().cast(rows.schema[parts].dataType))
-    turns = rows.select(
-        F.col("conv_id"), F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), _fields(listed, names).alias("parts")
-    ).select(
-        "conv_id", "turn", "role",
-        F.array_join(F.transform("parts", lambda p, i: F.when(_kind(p) == "text", _escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<"), _kind(p), F.lit(" "), i.cast("string"), F.lit(">")))), "").alias("body"),
-        F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("part"), _kind(p).alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))), lambda a: a["kind"] != "text").alias("refs"),
-    )
-    per = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", "refs"))).alias("turns"))
+    body = lambda parts: F.array_join(F.transform(parts, lambda p, i: F.when(_kind(p) == "text", _escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<"), _kind(p), F.lit(" "), i.cast("string"), F.lit(">")))), "")
+    refs = lambda parts: F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("part"), _kind(p).alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))), lambda a: a["kind"] != "text")
+    turns = rows.select(F.col("conv_id"), F.struct(F.col("turn").isNull(), F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), _fields(listed, names).alias("parts")).alias("t"))
+    sorted_ = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    per = sorted_.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), body(t["parts"]).alias("body"), refs(t["parts"]).alias("refs"))).alias("turns"))
     head = lambda t: F.concat(F.lit("<turn "), _escape_role(t["role"]), F.lit(">\n"))
     return per.select(
         "conv_id",
@@ -103,6 +100,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         F.transform("pieces", lambda p: F.struct(_unescape(F.substring(head(p), F.lit(7), F.length(head(p)))).alias("role"), _unescape(F.substring(p, F.length(head(p)) + 3, F.length(p))).alias("text"))).alias("turns"),
         F.array_join(F.zip_with("pieces", "loss_spans", lambda p, s: _unescape(F.substring(p, s["start"] + 1, s["length"]))), "").alias("loss_text"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "expanded_tokens",
     )
 
 
