@@ -2,11 +2,12 @@
 
 The lexicon (words and word beginnings that stand in toxic texts and hardly in others), the trees and the calibration
 are learned from a bounded sample of labelled documents: at most TRAIN_ROWS, those with the smallest hashes of their
-ids, never those whose crc32(doc_id as text) mod 5 is 0. Scoring is one scan without a shuffle over every whole text.
+ids, never those whose crc32(doc_id as text) mod 5 is 0. A quarter of the sample only serves the calibration: neither lexicon
+nor trees have seen it. Scoring is one scan without a shuffle over every whole text.
 
 Defined cases: a null text counts as empty; empty texts get the score of a text without words; any length is read whole;
 repeated rows give repeated results; repeated labels of one document count as one, the largest; labels that are null or
-neither 0 nor 1 are left out; without labels of both kinds every score is the share of toxic ones (0 without labels);
+neither 0 nor 1 are left out; of labelled rows that repeat a doc_id the smallest text is learned; without labels of both kinds every score is the share of toxic ones (0 without labels);
 an empty table gives no rows; columns other than doc_id and text are carried through or ignored, never read.
 """
 
@@ -232,11 +233,11 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, text, toxic of at most ``most`` labelled documents that are not held out."""
+    """doc_id, toxic, text, calibrates (a quarter, by a hash of the id) of at most ``most`` labelled documents that are not held out."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     # bounded by ``most``, so it can be broadcast
     chosen = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return doc_texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return doc_texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0)
 
 
 def learn_lexicon(train: DataFrame, size: int = LEXICON_SIZE, least: int = 5, precision: float = 0.9) -> np.ndarray:
@@ -282,18 +283,18 @@ def with_features(docs: DataFrame, lexicon: np.ndarray, keep: list[str]) -> Data
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     train = saved(training_rows(docs, labels, most), "toxicity")
-    lexicon = learn_lexicon(train)
-    rows: pd.DataFrame = with_features(train, lexicon, ["doc_id", "toxic"]).orderBy("doc_id").toPandas()  # at most ``most`` rows
+    kinds = {(r.calibrates, r.toxic) for r in train.select("calibrates", "toxic").distinct().collect()}  # four at most
+    apart = len(kinds) == 4  # else all rows serve both ends
+    lexicon = learn_lexicon(train.where(~F.col("calibrates")) if apart else train)
+    rows: pd.DataFrame = with_features(train, lexicon, ["doc_id", "toxic", "calibrates"]).orderBy("doc_id").toPandas()  # at most ``most`` rows
     y = rows["toxic"].to_numpy(float)
     prior = float(y.mean()) if len(y) else 0.0
     if not 0 < prior < 1:
         return Model(lexicon, prior)
     x = rows[FEATURES].to_numpy()
-    part = np.random.default_rng(7).permutation(len(y)) % 4 == 0
-    if not 0 < y[part].mean() < 1 or not 0 < y[~part].mean() < 1:
-        part = np.zeros(len(y), bool)
-    trees = Boosted().fit(x[~part], y[~part])
-    level = part if part.any() else ~part
+    level = rows["calibrates"].to_numpy(bool) if apart else np.ones(len(y), bool)
+    learn = ~level if apart else level
+    trees = Boosted().fit(x[learn], y[learn])
     return Model(lexicon, prior, trees, isotonic(trees.raw(x[level]), y[level]))
 
 
