@@ -2,8 +2,9 @@
 
 The lexicon (words and word beginnings that stand in toxic texts and hardly in others), the trees and the calibration
 are learned from a bounded sample of labelled documents: at most TRAIN_ROWS, those with the smallest hashes of their
-ids, never those whose crc32(doc_id as text) mod 5 is 0. A quarter of the sample only serves the calibration: neither lexicon
-nor trees have seen it. Scoring is one scan without a shuffle over every whole text.
+ids, never those whose crc32(doc_id as text) mod 5 is 0. The calibration is cross-fitted: every learned document is scored by a
+lexicon and trees that have not seen its quarter of the sample; the lexicon and trees that score are learned from all of it.
+Scoring is one scan without a shuffle over every whole text.
 
 Defined cases: a null text counts as empty; empty texts get the score of a text without words; any length is read whole;
 repeated rows give repeated results; repeated labels of one document count as one, the largest; labels that are null or
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from cellwright.llm.common import LOWER, doc_texts, saved, span_hashes, spans, table, text_runs
 
-TRAIN_ROWS, LEXICON_SIZE, NEAR_WORDS = 20_000, 512, 5
+TRAIN_ROWS, LEXICON_SIZE, NEAR_WORDS, FOLDS = 20_000, 512, 5, 4
 PREFIXES = (4, 5, 6)
 #: Words that address the reader, in four languages.
 SECOND_PERSON = (
@@ -233,20 +234,20 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, toxic, text, calibrates (a quarter, by a hash of the id) of at most ``most`` labelled documents that are not held out."""
+    """doc_id, toxic, text, fold (by a hash of the id) of at most ``most`` labelled documents that are not held out."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     # bounded by ``most``, so it can be broadcast
     chosen = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return doc_texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0)
+    return doc_texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int"))
 
 
-def learn_lexicon(train: DataFrame, size: int = LEXICON_SIZE, least: int = 5, precision: float = 0.9) -> np.ndarray:
-    """Hashes of the words and beginnings that most toxic texts have and few others."""
+def word_counts(train: DataFrame) -> DataFrame:
+    """key, pos, neg (lists by fold): how many toxic and other texts of each fold have a word or beginning."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, toxic = [], []
+        found = []
         for batch in batches:
-            marks = batch.column("toxic").to_numpy(zero_copy_only=False)
+            marks, folds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("toxic", "fold"))
             for first, _, data, offsets in text_runs(batch.column("text")):
                 w = Words.of(data, offsets)
                 h, d = [w.full], [w.doc]
@@ -254,17 +255,24 @@ def learn_lexicon(train: DataFrame, size: int = LEXICON_SIZE, least: int = 5, pr
                     h.append(hashes)
                     d.append(w.doc[which])
                 pairs = np.unique(np.stack([np.concatenate(d).astype(np.uint64), np.concatenate(h)], 1), axis=0)
-                keys.append(pairs[:, 1])
-                toxic.append(marks[first + pairs[:, 0].astype(np.int64)])
-        if keys:
-            unique, code = np.unique(np.concatenate(keys), return_inverse=True)
-            marks = np.concatenate(toxic)
-            pos = np.bincount(code, marks, len(unique)).astype(np.int64)
-            both = np.bincount(code, minlength=len(unique))
-            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(pos), pa.array(both - pos)], ["key", "pos", "neg"])
-
-    found = train.select("toxic", "text").mapInArrow(count, "key long, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    top = found.where((F.col("pos") >= least) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg")))).orderBy(F.desc(F.col("pos") - 9 * F.col("neg")), "key").limit(size)
+                doc = first + pairs[:, 0].astype(np.int64)
+                found.append((pairs[:, 1], folds[doc] * 2 + marks[doc]))
+        if found:
+            keys, kinds = (np.concatenate(x) for x in zip(*found))
+            unique, code = np.unique(keys, return_inverse=True)
+            table = np.bincount(code * 2 * FOLDS + kinds, minlength=len(unique) * 2 * FOLDS).reshape(-1, 2 * FOLDS)
+            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), *(pa.array(table[:, i]) for i in range(2 * FOLDS))], names)
+
+    names = ["key", *(f"{k}{f}" for f in range(FOLDS) for k in ("neg", "pos"))]
+    found = train.select("toxic", "fold", "text").mapInArrow(count, ", ".join(f"{c} long" for c in names)).groupBy("key").agg(*(F.sum(c).alias(c) for c in names[1:]))
+    return found.select("key", *(F.array(*(F.col(f"{k}{f}") for f in range(FOLDS))).alias(k) for k in ("pos", "neg")))
+
+
+def lexicon_of(counts: DataFrame, without: int | None = None, size: int = LEXICON_SIZE, least: int = 5, precision: float = 0.9) -> np.ndarray:
+    """Hashes of the words and beginnings that most toxic texts have and few others; texts of the fold ``without`` are left out."""
+    folds = [f for f in range(FOLDS) if f != without]
+    pos, neg = (sum((F.col(k)[f] for f in folds[1:]), F.col(k)[folds[0]]) for k in ("pos", "neg"))
+    top = counts.select("key", pos.alias("pos"), neg.alias("neg")).where((F.col("pos") >= least) & (F.col("pos") >= precision * (F.col("pos") + F.col("neg")))).orderBy(F.desc(F.col("pos") - 9 * F.col("neg")), "key").limit(size)
     return np.sort(np.array([r.key for r in top.collect()], np.int64).view(np.uint64))
 
 
@@ -283,19 +291,26 @@ def with_features(docs: DataFrame, lexicon: np.ndarray, keep: list[str]) -> Data
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     train = saved(training_rows(docs, labels, most), "toxicity")
-    kinds = {(r.calibrates, r.toxic) for r in train.select("calibrates", "toxic").distinct().collect()}  # four at most
-    apart = len(kinds) == 4  # else all rows serve both ends
-    lexicon = learn_lexicon(train.where(~F.col("calibrates")) if apart else train)
-    rows: pd.DataFrame = with_features(train, lexicon, ["doc_id", "toxic", "calibrates"]).orderBy("doc_id").toPandas()  # at most ``most`` rows
-    y = rows["toxic"].to_numpy(float)
+    counts = saved(word_counts(train), "toxicity-words")
+
+    def learned(lexicon: np.ndarray) -> pd.DataFrame:
+        return with_features(train, lexicon, ["doc_id", "toxic", "fold"]).orderBy("doc_id").toPandas()  # at most ``most`` rows
+
+    lexicon = lexicon_of(counts)
+    rows = learned(lexicon)
+    y, fold = rows["toxic"].to_numpy(float), rows["fold"].to_numpy()
     prior = float(y.mean()) if len(y) else 0.0
     if not 0 < prior < 1:
         return Model(lexicon, prior)
-    x = rows[FEATURES].to_numpy()
-    level = rows["calibrates"].to_numpy(bool) if apart else np.ones(len(y), bool)
-    learn = ~level if apart else level
-    trees = Boosted().fit(x[learn], y[learn])
-    return Model(lexicon, prior, trees, isotonic(trees.raw(x[level]), y[level]))
+    trees, raw, seen = Boosted().fit(rows[FEATURES].to_numpy(), y), np.zeros(len(y)), np.zeros(len(y), bool)
+    for f in range(FOLDS):
+        rest, own = fold != f, fold == f
+        if own.any() and 0 < y[rest].mean() < 1:
+            x = learned(lexicon_of(counts, f))[FEATURES].to_numpy()
+            raw[own], seen[own] = Boosted().fit(x[rest], y[rest]).raw(x[own]), True
+    if not seen.any():  # one toxic or one other text only
+        raw, seen = trees.raw(rows[FEATURES].to_numpy()), np.ones(len(y), bool)
+    return Model(lexicon, prior, trees, isotonic(raw[seen], y[seen]))
 
 
 def with_scores(docs: DataFrame, model: Model, name: str = "toxicity_score") -> DataFrame:
