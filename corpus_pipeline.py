@@ -1,4 +1,10 @@
-"""A pipeline over ``documents``: toxic texts go, one text of each near-duplicate group stays, repeated strings are cut, the rest is packed."""
+"""A pipeline over ``documents``: toxic texts go, one text of each near-duplicate group stays, repeated strings are cut, the rest is packed.
+
+Defined cases: a null text counts as empty; empty texts and rows without a doc_id pass every stage that filters, unless their
+score is toxic; a text of any length is worked on whole; of rows that repeat a doc_id and its text one stays, and rows that
+repeat a doc_id with other texts are documents of their own; an empty table gives no rows; further columns, whatever their
+names, are carried to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -18,10 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest id; documents without words all stay."""
-    classes = jaccard_join.near_duplicate_classes(docs)
-    copies = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id_"))
-    return docs.join(copies, docs["doc_id"].cast("long") == F.col("copy_id_"), "left_anti")
+    """Of every group of linked documents the one with the smallest id, once if its row repeats; documents without words all stay."""
+    classes = jaccard_join.near_duplicate_classes(docs).where("doc_id IS NOT NULL")
+    per_id = classes.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows"))
+    odd = per_id.where("rows > 1 OR doc_id <> component_id").select(F.col("doc_id").alias("odd_id_"), (F.col("doc_id") == F.col("component_id")).alias("odd_stays_"))
+    joined = docs.join(odd, docs["doc_id"].cast("long") == F.col("odd_id_"), "left")
+    repeated = joined.where("odd_stays_").dropDuplicates(["doc_id", "text"])
+    return joined.where("odd_id_ IS NULL").unionByName(repeated).drop("odd_id_", "odd_stays_")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
