@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from cellwright.operators.cells import with_row_id
 
 
+#: A field without quotes and text is null, one with quotes is empty; the marker for the former is no text that files hold.
+_EMPTY_ON_READING = {"nullValue": "\x00null\x00", "emptyValue": ""}
+
+
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, header: bool = True, sep: str = ",", skip_lines: int = 0, format: str = "csv") -> DataFrame:
     """A CSV or TSV (all strings), or any format Spark reads; columns are renamed by position.
 
@@ -22,7 +26,7 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
         if not columns:
             raise ValueError("skip_lines needs columns")
         return _after_preamble(spark, path, columns, header, sep, skip_lines)
-    reader = spark.read.option("header", header).option("sep", sep)
+    reader = spark.read.option("header", header).option("sep", sep).options(**_EMPTY_ON_READING)
     if columns and not header:
         return reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(path)
     df = reader.csv(path)
@@ -92,8 +96,8 @@ def to_libsvm_rows(matrix: DataFrame, tools: list[str]) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: str = "overwrite") -> None:
-    """CSV or TSV in as many files as the table has partitions."""
-    df.write.mode(mode).option("header", header).option("sep", sep).csv(path)
+    """CSV or TSV in as many files as the table has partitions; ``read_table`` tells its nulls from its empty strings."""
+    df.write.mode(mode).option("header", header).option("sep", sep).options(nullValue="", emptyValue='""').csv(path)
 
 
 def read_lookup(spark: SparkSession, path: str, attr: str) -> DataFrame:
