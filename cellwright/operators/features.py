@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellwright.functions.samples import hash_share
 from cellwright.functions.numeric import ratio, safe_ln
 from cellwright.operators.profile import top_values
 from cellwright.spec import FD, SEMANTIC_TYPES, TableSpec
@@ -87,8 +88,8 @@ def assemble(parts: list[DataFrame]) -> DataFrame:
 
 def split(df: DataFrame, share_percent: int = 10, key: tuple[str, ...] = ("recid", "attr")) -> tuple[DataFrame, DataFrame]:
     """(train, test) by a hash of the cell: the same rows however the data are partitioned."""
-    place = F.pmod(F.crc32(F.concat_ws("|", *[F.col(k).cast("string") for k in key]).cast("binary")), F.lit(100))
-    return df.where(place < share_percent), df.where(place >= share_percent)
+    inside = hash_share(key, share_percent)
+    return df.where(inside), df.where(~inside)
 
 
 def _joint(df: DataFrame, features: list[str]) -> DataFrame:

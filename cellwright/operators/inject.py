@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def hash_share(key: str, percent: float, seed: int = 0) -> Column:
-    """About ``percent`` of the keys, the same ones every time."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) < int(percent * 100)
+from cellwright.functions.samples import hash_share
 
 
 def inject_misfielded(df: DataFrame, target: str, source: str, where: Column) -> DataFrame:
@@ -43,7 +40,7 @@ def join_sources(left: DataFrame, right: DataFrame, left_key: str, right_key: st
 
 
 def sample_records(df: DataFrame, record_id: str, percent: float, seed: int = 0) -> DataFrame:
-    return df.where(hash_share(record_id, percent, seed))
+    return df.where(hash_share([record_id], percent, seed))
 
 
 def records_of(df: DataFrame, sample: DataFrame, key: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellwright.functions.samples import hash_share
 from cellwright.operators.evaluate import evaluate_many, grid_thresholds
 from cellwright.operators.votes import majority, min_k
 
@@ -75,7 +76,7 @@ def bagging(train: DataFrame, test: DataFrame, columns: list[str], fraction: flo
     """``test`` with the majority (ties: error) of one tree for each subsample."""
     out = test
     for i, seed in enumerate(seeds):
-        model = fit(train.sample(fraction=fraction, seed=seed), "tree", columns, maxDepth=depth)
+        model = fit(train.where(hash_share(KEY, 100 * fraction, seed)), "tree", columns, maxDepth=depth)
         out = predict(model, out, f"tree{i}_")
     trees = [f"tree{i}_" for i in range(len(seeds))]
     return out.withColumn(name, majority(trees, tie_is_error=True)).drop(*trees)
@@ -142,13 +143,14 @@ def grid_search_lr(train: DataFrame, columns: list[str], folds: int = 5, reg: tu
     return best, {"regParam": best.stages[-1].getRegParam(), "elasticNetParam": best.stages[-1].getElasticNetParam()}
 
 
-def cross_validated_trees(train: DataFrame, columns: list[str], seeds: list[int] = SEEDS, fraction: float = 0.7) -> list[tuple[PipelineModel, float]]:
-    """(tree, accuracy on the rows outside its sample) for each seed."""
+def cross_validated_trees(train: DataFrame, columns: list[str], seeds: list[int] = SEEDS, fraction: float = 0.7) -> list[tuple[PipelineModel, float, float]]:
+    """(tree, accuracy on the rows of its sample, and on those outside) for each seed."""
     out = []
     for seed in seeds:
-        inside = F.pmod(F.xxhash64(*KEY, F.lit(seed)), F.lit(1000)) < int(fraction * 1000)
-        model = fit(train.where(inside), "tree", columns)
-        out.append((model, predict(model, train.where(~inside), "p_").agg(F.avg((F.col("p_") == F.col("label")).cast("double"))).first()[0] or 0.0))
+        numbered = train.withColumn("in_", hash_share(KEY, 100 * fraction, seed))
+        model = fit(numbered.where("in_"), "tree", columns)
+        right = dict(predict(model, numbered, "p_").groupBy("in_").agg(F.avg((F.col("p_") == F.col("label")).cast("double"))).collect())  # two rows
+        out.append((model, right.get(True, 0.0), right.get(False, 0.0)))
     return out
 
 
@@ -157,15 +159,17 @@ def naive_bayes_counts(matrix: DataFrame, tools: list[str]) -> DataFrame:
     return matrix.groupBy("label").agg(F.count("*").alias("n"), *[F.count_if(F.col(t) == 1).alias(t) for t in tools])
 
 
-def regression_baseline(train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:
-    """model, rmse, mae, r2 of a linear and a generalised linear regression on votes."""
+def regression_baseline(train: DataFrame, test: DataFrame, columns: list[str], folds: int = 3, reg: tuple[float, ...] = (0.001, 0.01, 0.1)) -> DataFrame:
+    """model, reg_param, rmse, mae, r2 of a linear and a generalised linear regression on votes, cross-validated over ``reg``."""
     rows = []
     numeric = lambda df: _assembler(columns).transform(df.withColumn("label", F.col("label").cast("double")))
     a, b = numeric(train), numeric(test)
-    for name, estimator in (("linear", LinearRegression(featuresCol="features_", regParam=0.001)), ("glm", GeneralizedLinearRegression(featuresCol="features_", family="gaussian", regParam=0.001))):
-        out = estimator.fit(a).transform(b)
-        rows.append((name, *[float(RegressionEvaluator(labelCol="label", metricName=m).evaluate(out)) for m in ("rmse", "mae", "r2")]))
-    return train.sparkSession.createDataFrame(rows, "model string, rmse double, mae double, r2 double")
+    for name, estimator in (("linear", LinearRegression(featuresCol="features_")), ("glm", GeneralizedLinearRegression(featuresCol="features_", family="gaussian"))):
+        grid = ParamGridBuilder().addGrid(estimator.regParam, list(reg)).build()
+        best = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="label", metricName="rmse"), numFolds=folds, parallelism=4, seed=1).fit(a).bestModel
+        out = best.transform(b)
+        rows.append((name, float(best.getRegParam()), *[float(RegressionEvaluator(labelCol="label", metricName=m).evaluate(out)) for m in ("rmse", "mae", "r2")]))
+    return train.sparkSession.createDataFrame(rows, "model string, reg_param double, rmse double, mae double, r2 double")
 
 
 def combine_classifiers(train: DataFrame, test: DataFrame, tools: list[str], kinds: tuple[str, ...] = ("tree", "naive_bayes", "logistic", "perceptron")) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellwright.functions.samples import hash_share
 from cellwright.functions.numeric import ratio
 
 
@@ -107,8 +108,8 @@ def errors_by_attribute(diff: DataFrame) -> DataFrame:
 
 
 def class_balance(diff: DataFrame, fraction: float, seed: int = 1) -> DataFrame:
-    """Share of errors in a random sample."""
-    return diff.sample(fraction=fraction, seed=seed).agg(F.count("*").alias("n"), F.avg("label").alias("error_share"))
+    """Share of errors in a sample of cells by hash."""
+    return diff.where(hash_share(("recid", "attr"), 100 * fraction, seed)).agg(F.count("*").alias("n"), F.avg("label").alias("error_share"))
 
 
 def schema_summary(cell: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def h5(spark, d):
 @query("H6_grid_search")
 def h6(spark, d):
     train, test = _votes(spark, d)
-    model, found = models.grid_search_lr(train, T, folds=3, reg=(0.05, 0.2), elastic=(0.0,))
+    model, found = models.grid_search_lr(train, T)
     return E.evaluate(models.predict(model, test, "p"), F.col("p")).withColumn("reg_param", F.lit(found["regParam"]))
 
 
@@ -88,11 +88,11 @@ def h8b(spark, d):
 @query("H10_cross_validated_trees")
 def h10(spark, d):
     train, test = _votes(spark, d)
-    trees = models.cross_validated_trees(train, T, seeds=models.SEEDS[:3])
+    trees = models.cross_validated_trees(train, T)
     out = test
-    for i, (model, _) in enumerate(trees):
+    for i, (model, _, _) in enumerate(trees):
         out = models.predict(model, out, f"tree{i}")
-    return E.evaluate_many(out, {f"tree{i} {accuracy:.4f}": F.col(f"tree{i}") for i, (_, accuracy) in enumerate(trees)})
+    return E.evaluate_many(out, {f"tree{i} {inside:.4f} {outside:.4f}": F.col(f"tree{i}") for i, (_, inside, outside) in enumerate(trees)})
 
 
 @query("H12_linear_svm")

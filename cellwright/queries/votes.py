@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cellwright.functions.samples import hash_share_sql
 from cellwright.operators import cells as C
 from cellwright.operators import evaluate as E
 from cellwright.operators import features, similarity, votes
@@ -360,7 +361,7 @@ def g15(spark, d):
     return m.select("recid", "attr", *features.select_features(m, T))
 
 
-@query("G16_split")
+@query("G16_split", U.sql(f"SELECT recid, attr, CASE WHEN {hash_share_sql(['recid', 'attr'], 10)} THEN 'train' ELSE 'test' END AS part FROM m"))
 def g16(spark, d):
     train, test = features.split(U.matrix(spark, d), 10)
     return train.select("recid", "attr", F.lit("train").alias("part")).union(test.select("recid", "attr", F.lit("test")))
