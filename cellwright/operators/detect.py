@@ -6,15 +6,19 @@ columns of ``with_profile``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwright import spec as S
 from cellwright.functions.numeric import ratio
 from cellwright.functions.text import matches
-from cellwright.operators.profile import column_profile, value_counts
+from cellwright.operators.cells import DICTIONARY_ROWS
+from cellwright.operators.profile import column_profile, top_values, value_counts
 from cellwright.spec import TableSpec
 
+#: Parts over which cells with frequent values are dealt.
+SPREAD = 64
+
 
 def _is_type(spec: TableSpec, *types: str) -> Column:
     names = [c for c in spec.columns if spec.type_of(c) in types]
@@ -105,7 +109,12 @@ def lookup(cell: DataFrame, dictionaries: dict[str, DataFrame]) -> DataFrame:
         entries = one if entries is None else entries.unionByName(one)
     if entries is None:
         return cell.withColumn("ec_lookup", F.lit(S.DOES_NOT_APPLY))
-    out = out.join(entries.withColumn("known_", F.lit(True)), ["attr", "key_"], "left")
+    entries = entries.withColumn("known_", F.lit(True))
+    if entries.limit(DICTIONARY_ROWS + 1).count() <= DICTIONARY_ROWS:
+        out = out.join(F.broadcast(entries), ["attr", "key_"], "left")
+    else:  # frequent values are dealt over parts, each with all entries
+        parts = entries.withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        out = out.withColumn("part_", F.pmod(F.xxhash64("recid"), F.lit(SPREAD)).cast("int")).join(parts, ["attr", "key_", "part_"], "left").drop("part_")
     return out.withColumn("ec_lookup", F.when(F.col("attr").isin(*dictionaries), _vote(F.col("known_").isNull())).otherwise(S.DOES_NOT_APPLY)).drop("key_", "known_")
 
 
@@ -167,10 +176,19 @@ def length_winsorized(factor: float = 3.0) -> Column:
 
 
 def with_profile(cell: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """Cells with their attribute's profile (one row per attribute, broadcast) and their value's count."""
+    """Cells with their attribute's profile (one row per attribute, broadcast) and their value's count.
+
+    The profile knows the counts of the most frequent values, so only cells with other values meet the table of counts; nulls
+    and frequent values are spread over SPREAD parts and meet nothing.
+    """
     profile = column_profile(cell) if profile is None else profile
-    counted = cell.join(value_counts(cell), ["attr", "value"], "left")
-    return counted.join(F.broadcast(profile), "attr", "left")
+    place = F.coalesce(F.array_position("top10", F.col("value")), F.lit(0))
+    sure = F.col("value").isNull() | (place > 0)
+    part = F.when(sure, F.pmod(F.xxhash64("recid"), F.lit(SPREAD)) + 1).otherwise(F.lit(0))
+    known = cell.join(F.broadcast(profile), "attr", "left").withColumn("part_", part)
+    counts = value_counts(cell).select("attr", "value", F.col("cnt").alias("cnt_"), F.lit(0).cast("long").alias("part_"))
+    counted = known.join(counts, ["attr", "value", "part_"], "left")
+    return counted.withColumn("cnt", F.when(place > 0, F.get("freq_top10", F.greatest(place - 1, F.lit(0)).cast("int"))).otherwise(F.col("cnt_"))).drop("part_", "cnt_")
 
 
 def column_detectors(spec: TableSpec) -> dict[str, Column]:
@@ -233,11 +251,9 @@ def histogram_outliers(cell: DataFrame, peak: float = 0.8, rare: float = 0.2, to
     null; there, values with a share below ``rare`` of the average share of the frequent ones are outliers.
     """
     counts = value_counts(cell)
-    every, order = Window.partitionBy("attr"), Window.partitionBy("attr").orderBy(F.desc("cnt"), "value")
-    ranked = counts.withColumn("n", F.sum("cnt").over(every)).withColumn("r", F.row_number().over(order))
-    held = F.sum(F.when(F.col("r") <= top, F.col("cnt"))).over(every)
-    bins = F.least(F.count("*").over(every), F.lit(top))
-    odd = ranked.withColumn("held", held).withColumn("bins", bins).where((ratio(F.col("held"), F.col("n")) >= peak) & (F.col("cnt") * F.col("bins") < rare * F.col("held")))
+    totals = counts.groupBy("attr").agg(F.sum("cnt").alias("n"), F.least(F.count("*"), F.lit(top)).alias("bins"))
+    facts = totals.join(top_values(cell, top).groupBy("attr").agg(F.sum("cnt").alias("held")), "attr")  # one row an attribute
+    odd = counts.join(F.broadcast(facts), "attr").where((ratio(F.col("held"), F.col("n")) >= peak) & (F.col("cnt") * F.col("bins") < rare * F.col("held")))
     return cell.join(odd.select("attr", "value"), ["attr", "value"], "left_semi").select("recid", "attr")
 
 

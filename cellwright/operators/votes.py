@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from cellwright.spec import CLEAN, ERROR
 
 
+#: Vote patterns that are broadcast at most.
+PATTERNS = 100_000
+
+
 def _errors(tools: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(F.col(t) == 1, 1).otherwise(0) for t in tools])
 
@@ -130,7 +134,10 @@ def dawid_skene(triplets: DataFrame, max_iter: int = 25, tol: float = 1e-4, init
         posterior = patterns.select("pattern", "n", (1 / (1 + F.exp(-odds))).alias("p"))
         if change < tol:
             break
-    out = cell.join(posterior.select("pattern", "p"), "pattern").select("recid", "attr", F.col("p").alias("p_error"), (F.col("p") > 0.5).cast("int").alias("predicted"))
+    table = posterior.select("pattern", "p")
+    if patterns.limit(PATTERNS + 1).count() <= PATTERNS:  # most cells have one pattern: no shuffle by it
+        table = F.broadcast(table)
+    out = cell.join(table, "pattern").select("recid", "attr", F.col("p").alias("p_error"), (F.col("p") > 0.5).cast("int").alias("predicted"))
     return out, confusion
 
 

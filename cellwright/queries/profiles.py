@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cellwright.functions.samples import hash_share_sql
 from cellwright.operators import dependencies, detect, duplicates, profile, weak
 from cellwright.operators import cells as C
 from cellwright.queries import customers as U
@@ -45,15 +46,8 @@ def c6(spark, d):
     return _lengths(spark, d)
 
 
-@query("C7_common_lengths", "SELECT 'p_name' AS attr, len FROM (SELECT *, row_number() OVER (ORDER BY cnt, len DESC) AS r, count(*) OVER () AS n FROM (SELECT length(p_name) AS len, count(*) AS cnt FROM (SELECT p_name FROM part UNION ALL SELECT substr(text, 1, 40) || repeat('x', CAST(doc_id % 13 AS INTEGER)) FROM documents) GROUP BY 1)) WHERE n < 10 OR r > ceil(n / 10)")
+@query("C7_common_lengths", "SELECT attr, len FROM (SELECT *, row_number() OVER (PARTITION BY attr ORDER BY cnt, len DESC) AS r, count(*) OVER (PARTITION BY attr) AS n FROM (SELECT attr, length(value) AS len, count(*) AS cnt FROM (SELECT 'p_name' AS attr, p_name AS value FROM part UNION ALL SELECT 'text', text FROM documents) WHERE value IS NOT NULL GROUP BY ALL)) WHERE n < 10 OR r > ceil(n / 10)")
 def c7(spark, d):
-    a = table(spark, d, "part").select("p_name")
-    b = table(spark, d, "documents").select(F.concat(F.substring("text", 1, 40), F.repeat(F.lit("x"), (F.col("doc_id") % 13).cast("int"))).alias("p_name"))
-    return profile.common_lengths(profile.length_distribution(a.union(b).select(F.lit("p_name").alias("attr"), F.col("p_name").alias("value"))))
-
-
-@query("C7_common_lengths_whole", "SELECT attr, len FROM (SELECT *, row_number() OVER (PARTITION BY attr ORDER BY cnt, len DESC) AS r, count(*) OVER (PARTITION BY attr) AS n FROM (SELECT attr, length(value) AS len, count(*) AS cnt FROM (SELECT 'p_name' AS attr, p_name AS value FROM part UNION ALL SELECT 'text', text FROM documents) WHERE value IS NOT NULL GROUP BY ALL)) WHERE n < 10 OR r > ceil(n / 10)")
-def c7_whole(spark, d):
     a = table(spark, d, "part").select(F.lit("p_name").alias("attr"), F.col("p_name").alias("value"))
     b = table(spark, d, "documents").select(F.lit("text").alias("attr"), F.col("text").alias("value"))
     return profile.common_lengths(profile.length_distribution(a.union(b)))
@@ -90,7 +84,7 @@ def c13(spark, d):
     return profile.errors_by_attribute(U.diff(spark, d))
 
 
-@query("C14_class_balance")
+@query("C14_class_balance", U.sql(f"SELECT count(*) AS n, avg(label) AS error_share FROM diff WHERE {hash_share_sql(['recid', 'attr'], 10, 1)}"))
 def c14(spark, d):
     return profile.class_balance(U.diff(spark, d), 0.1)
 
@@ -260,16 +254,14 @@ def d26(spark, d):
     return detect.histogram_outliers(U.dirty_cells(spark, d), 0.8, 0.2)
 
 
-@query("D27_case_class", "SELECT doc_id, CASE WHEN l = '' THEN 'none' WHEN l = upper(l) THEN 'upper' WHEN l = lower(l) THEN 'lower' ELSE 'other' END AS case_class FROM (SELECT doc_id, regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]', '', 'g') AS l FROM documents)")
-def d27(spark, d):
-    from cellwright.functions.text import case_class
-
-    c = case_class(F.split_part("text", F.lit(" "), F.lit(1)))
-    return table(spark, d, "documents").select("doc_id", F.when(c.isin("none", "upper", "lower"), c).otherwise("other").alias("case_class"))
+@query("D26_histogram_outliers_strict", U.sql(""", h AS (SELECT attr, value, cnt, sum(cnt) OVER (PARTITION BY attr) AS n, sum(CASE WHEN rnk <= 10 THEN cnt END) OVER (PARTITION BY attr) AS held, least(count(*) OVER (PARTITION BY attr), 10) AS bins FROM ranked)
+SELECT recid, attr FROM cells JOIN h USING (attr, value) WHERE held / n >= 0.9 AND cnt * bins < 0.01 * held"""))
+def d26_strict(spark, d):
+    return detect.histogram_outliers(U.dirty_cells(spark, d), 0.9, 0.01)
 
 
-@query("D27_case_class_whole", "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN l = '' THEN 'none' WHEN l = upper(l) THEN 'upper' WHEN l = lower(l) THEN 'lower' WHEN text = array_to_string([upper(w[1]) || w[2:] for w in string_split(lower(text), ' ')], ' ') THEN 'title' ELSE 'mixed' END AS case_class FROM (SELECT doc_id, text, regexp_replace(text, '[^A-Za-z]', '', 'g') AS l FROM documents)")
-def d27_whole(spark, d):
+@query("D27_case_class", "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN l = '' THEN 'none' WHEN l = upper(l) THEN 'upper' WHEN l = lower(l) THEN 'lower' WHEN text = array_to_string([upper(w[1]) || w[2:] for w in string_split(lower(text), ' ')], ' ') THEN 'title' ELSE 'mixed' END AS case_class FROM (SELECT doc_id, text, regexp_replace(text, '[^A-Za-z]', '', 'g') AS l FROM documents)")
+def d27(spark, d):
     from cellwright.functions.text import case_class
 
     return table(spark, d, "documents").select("doc_id", case_class(F.col("text")).alias("case_class"))

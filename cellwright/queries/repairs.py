@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cellwright.functions.samples import hash_share_sql
 from cellwright.operators import cells as C
 from cellwright.operators import inject, mining, repair
 from cellwright.queries import customers as U
@@ -119,90 +120,46 @@ def j11(spark, d):
     return repair.with_truth(repair.repair_log(_repaired_table(spark, d), U.SPEC), U.clean_cells(spark, d))
 
 
-def _small(spark, d):
-    """Cells of all attributes with few values, so that domains stay small."""
-    return U.predicted(spark, d).where(F.col("attr").isin("n_name", "r_name", "c_mktsegment"))
-
-
-_SMALL = ", small AS (SELECT * FROM pred WHERE attr IN ('n_name', 'r_name', 'c_mktsegment')), dom AS (SELECT DISTINCT attr, value AS candidate FROM small WHERE prediction = 0 AND value IS NOT NULL)"
-
-
-@query("J12_candidate_domain", U.sql(_SMALL + " SELECT recid, attr, candidate FROM small JOIN dom USING (attr) WHERE prediction = 1 UNION ALL SELECT recid, attr, value FROM small WHERE prediction = 0"))
-def j12(spark, d):
-    return repair.candidate_domain(_small(spark, d))
-
-
 _CO = ", co AS (SELECT a.attr, a.value, b.attr AS given_attr, b.value AS given_value, count(*) AS n FROM small a JOIN small b USING (recid) WHERE a.attr <> b.attr AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL), cop AS (SELECT *, n / sum(n) OVER (PARTITION BY attr, given_attr, given_value) AS p FROM co)"
-
-
-@query("J13_cooccurrence", U.sql(_SMALL + _CO + " SELECT attr, value, given_attr, given_value, n, p FROM cop"))
-def j13(spark, d):
-    return repair.cooccurrence(_small(spark, d))
-
-
-@query("J14_prune_domain", U.sql(_SMALL + _CO + " SELECT w.recid, w.attr, c.value AS candidate, max(p) AS p FROM small w JOIN small o USING (recid) JOIN cop c ON c.attr = w.attr AND c.given_attr = o.attr AND c.given_value = o.value JOIN dom ON dom.attr = w.attr AND dom.candidate = c.value WHERE w.prediction = 1 AND w.attr <> o.attr AND p >= 0.1 GROUP BY ALL"))
-def j14(spark, d):
-    return repair.prune_domain(_small(spark, d), 0.1)
-
-
-_SCORED = """, cand0 AS (SELECT recid, attr, candidate FROM small JOIN dom USING (attr) WHERE prediction = 1 AND attr = 'r_name'), byv AS (SELECT n_name AS k, r_name AS own, count(*) AS n FROM dirty GROUP BY ALL), byg AS (SELECT k, sum(n) FILTER (WHERE own IS NOT NULL) AS every FROM byv GROUP BY k),
-scored AS (SELECT c.recid, c.attr, c.candidate, 0.5::DOUBLE + CASE WHEN c.candidate IS NOT DISTINCT FROM d.r_name THEN 0.5 ELSE 0 END + CASE WHEN every - coalesce(v.n, 0) - CASE WHEN d.r_name <> c.candidate THEN 1 ELSE 0 END > 0 THEN -1.0 ELSE 0 END AS score
- FROM cand0 c JOIN dirty d USING (recid) JOIN byg ON byg.k = d.n_name LEFT JOIN byv v ON v.k = d.n_name AND v.own = c.candidate)"""
-
-
-def _scored(spark, d):
-    candidates = repair.candidate_domain(_small(spark, d)).join(_small(spark, d).where("prediction = 1 AND attr = 'r_name'").select("recid", "attr"), ["recid", "attr"], "left_semi")
-    return repair.score_candidates(candidates, U.dirty(spark, d), "recid", U.FDS)
-
-
-@query("J15_score_candidates", U.sql(_SMALL + _SCORED + " SELECT * FROM scored"))
-def j15(spark, d):
-    return _scored(spark, d)
-
-
-@query("J16_best_candidate", U.sql(_SMALL + _SCORED + " SELECT recid, attr, candidate, score FROM (SELECT *, max(score) OVER (PARTITION BY recid, attr) AS t FROM scored) WHERE score = t AND score > 0"))
-def j16(spark, d):
-    return repair.best_candidate(_scored(spark, d))
-
-
 # J12 to J16 over the cells of every attribute; candidates are bounded by the co-occurrence join
 _WHOLE = ", small AS (SELECT * FROM pred), dom AS (SELECT DISTINCT attr, value AS candidate FROM small WHERE prediction = 0 AND value IS NOT NULL)" + _CO
 _PRUNED = _WHOLE + ", pruned AS (SELECT w.recid, w.attr, c.value AS candidate, max(p) AS p FROM small w JOIN small o USING (recid) JOIN cop c ON c.attr = w.attr AND c.given_attr = o.attr AND c.given_value = o.value JOIN dom ON dom.attr = w.attr AND dom.candidate = c.value WHERE w.prediction = 1 AND w.attr <> o.attr AND p >= 0.1 GROUP BY ALL)"
 
 
-@query("J12_candidate_domain_whole", U.sql(_PRUNED + " SELECT recid, attr, candidate FROM pruned UNION ALL SELECT recid, attr, value FROM small WHERE prediction = 0"))
-def j12_whole(spark, d):
+@query("J12_candidate_domain", U.sql(_PRUNED + " SELECT recid, attr, candidate FROM pruned UNION ALL SELECT recid, attr, value FROM small WHERE prediction = 0"))
+def j12(spark, d):
     return repair.pruned_candidate_domain(U.predicted(spark, d), 0.1)
 
 
-@query("J13_cooccurrence_whole", U.sql(_WHOLE + " SELECT attr, value, given_attr, given_value, n, p FROM cop"))
-def j13_whole(spark, d):
+@query("J13_cooccurrence", U.sql(_WHOLE + " SELECT attr, value, given_attr, given_value, n, p FROM cop"))
+def j13(spark, d):
     return repair.cooccurrence(U.predicted(spark, d))
 
 
-@query("J14_prune_domain_whole", U.sql(_PRUNED + " SELECT * FROM pruned"))
-def j14_whole(spark, d):
-    return repair.prune_domain(U.predicted(spark, d), 0.1)
+@query("J14_prune_domain", U.sql(_PRUNED + " SELECT tau, recid, attr, candidate, p FROM pruned, (SELECT unnest(range(1, 11))::DOUBLE / 10 AS tau) WHERE p >= tau"))
+def j14(spark, d):
+    # one scored table for every tau; tau 0 is the whole domain of an attribute for every error, which is never spread out
+    return repair.prune_domain(U.predicted(spark, d), 0.1).withColumn("tau", F.explode(F.array(*[F.lit(i / 10) for i in range(1, 11)]))).where("p >= tau")
 
 
-_SCORED_WHOLE = _PRUNED + """, byv AS (SELECT n_name AS k, r_name AS own, count(*) AS n FROM dirty GROUP BY ALL), byg AS (SELECT k, sum(n) FILTER (WHERE own IS NOT NULL) AS every FROM byv GROUP BY k),
+_SCORED = _PRUNED + """, byv AS (SELECT n_name AS k, r_name AS own, count(*) AS n FROM dirty GROUP BY ALL), byg AS (SELECT k, sum(n) FILTER (WHERE own IS NOT NULL) AS every FROM byv GROUP BY k),
 scored AS (SELECT c.recid, c.attr, c.candidate, 0.5::DOUBLE + CASE WHEN c.candidate IS NOT DISTINCT FROM s.value THEN 0.5 ELSE 0 END + CASE WHEN c.attr = 'r_name' AND every - coalesce(v.n, 0) - CASE WHEN d.r_name <> c.candidate THEN 1 ELSE 0 END > 0 THEN -1.0 ELSE 0 END AS score
  FROM pruned c JOIN small s USING (recid, attr) JOIN dirty d USING (recid) LEFT JOIN byg ON byg.k = d.n_name LEFT JOIN byv v ON v.k = d.n_name AND v.own = c.candidate)"""
 
 
-def _scored_whole(spark, d):
+def _scored(spark, d):
     candidates = repair.prune_domain(U.predicted(spark, d), 0.1).drop("p")
     return repair.score_candidates(candidates, U.dirty(spark, d), "recid", U.FDS)
 
 
-@query("J15_score_candidates_whole", U.sql(_SCORED_WHOLE + " SELECT * FROM scored"))
-def j15_whole(spark, d):
-    return _scored_whole(spark, d)
+@query("J15_score_candidates", U.sql(_SCORED + " SELECT * FROM scored"))
+def j15(spark, d):
+    return _scored(spark, d)
 
 
-@query("J16_best_candidate_whole", U.sql(_SCORED_WHOLE + " SELECT recid, attr, candidate, score FROM (SELECT *, max(score) OVER (PARTITION BY recid, attr) AS t FROM scored) WHERE score = t AND score > 0"))
-def j16_whole(spark, d):
-    return repair.best_candidate(_scored_whole(spark, d))
+@query("J16_best_candidate", U.sql(_SCORED + " SELECT recid, attr, candidate, score FROM (SELECT *, max(score) OVER (PARTITION BY recid, attr) AS t FROM scored) WHERE score = t AND score > 0"))
+def j16(spark, d):
+    return repair.best_candidate(_scored(spark, d))
 
 
 @query("J17_attribute_name", U.sql("SELECT recid, CASE WHEN missing = 1 THEN 4 ELSE 3 END AS attr_nr, CASE WHEN missing = 1 THEN 'c_mktsegment' ELSE 'r_name' END AS attr FROM m WHERE missing + fd > 0"))
@@ -236,7 +193,7 @@ def k5(spark, d):
     return inject.join_sources(table(spark, d, "customer"), table(spark, d, "nation"), "c_nationkey", "n_nationkey").select("c_custkey", "c_name", "n_name")
 
 
-@query("K6_sample_records")
+@query("K6_sample_records", U.sql(f"SELECT * FROM m WHERE {hash_share_sql(['recid'], 10)}"))
 def k6(spark, d):
     picked = inject.sample_records(U.dirty(spark, d), "recid", 10.0)
     return inject.records_of(U.matrix(spark, d), picked, "recid")
