@@ -57,19 +57,19 @@ def test_queries_without_sql_give_rows(spark, name):
 
 
 def test_candidates_cover_every_attribute(spark):
-    pairs = QUERIES["J13_cooccurrence_whole"](spark, SF).select("attr", "given_attr").distinct().count()
+    pairs = QUERIES["J13_cooccurrence"](spark, SF).select("attr", "given_attr").distinct().count()
     assert pairs == 20
-    scored = {r.attr for r in QUERIES["J15_score_candidates_whole"](spark, SF).select("attr").distinct().collect()}
+    scored = {r.attr for r in QUERIES["J15_score_candidates"](spark, SF).select("attr").distinct().collect()}
     assert len(scored) > 1
-    assert {r.attr for r in QUERIES["J12_candidate_domain_whole"](spark, SF).select("attr").distinct().collect()} == {"c_name", "n_name", "r_name", "c_mktsegment", "c_acctbal"}
+    assert {r.attr for r in QUERIES["J12_candidate_domain"](spark, SF).select("attr").distinct().collect()} == {"c_name", "n_name", "r_name", "c_mktsegment", "c_acctbal"}
 
 
 def test_profiles_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "HELLO world"), (2, "HELLO WORLD"), (3, "Hello World"), (4, "123"), (5, None), (6, "hello " * 500)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([("a b",)], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
-    got = {r.doc_id: r.case_class for r in QUERIES["D27_case_class_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.case_class for r in QUERIES["D27_case_class"](spark, str(tmp_path)).collect()}
     assert got == {1: "mixed", 2: "upper", 3: "title", 4: "none", 5: None, 6: "lower"}
-    assert {tuple(r) for r in QUERIES["C7_common_lengths_whole"](spark, str(tmp_path)).collect()} == {("p_name", 3), ("text", 11), ("text", 3), ("text", 3000)}
+    assert {tuple(r) for r in QUERIES["C7_common_lengths"](spark, str(tmp_path)).collect()} == {("p_name", 3), ("text", 11), ("text", 3), ("text", 3000)}
 
 
 def test_no_python_in_plans_and_no_products(spark):
