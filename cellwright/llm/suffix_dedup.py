@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +45,7 @@ COUNTED, SORTED, WINDOWS = 1_000_000, 200_000, 500_000
 ASKED, KNOWN, OPEN, CROWDED = range(4)
 _SPAN = np.dtype([("start", "<i4"), ("end", "<i4")])
 _STRETCH = np.dtype([("gram", "<u8"), ("start", "<i4"), ("end", "<i4")])
-_ASKED = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("mark", "<i4"), ("start", "<i4"), ("end", "<i4")])
+_ASKED = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("mark", "<i4"), ("start", "<i4"), ("length", "<i4")])
 _KNOWN = np.dtype([("gram", "<u8"), ("n", "<i8")])
 _PLACE = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("mark", "<i4"), ("start", "<i4"), ("length", "<i4"), ("part", "<i4"), ("groups", "<i4")])
 
@@ -99,6 +100,17 @@ def _packed(kind: np.dtype, **columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _squeezed(rows: np.ndarray) -> bytes:
+    """Rows byte by byte, first all first bytes, then all second ones, compressed: what is shuffled is mostly these."""
+    planes = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), rows.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unsqueezed(raw: bytes, kind: np.dtype) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def _marked(docs: DataFrame) -> DataFrame:
     """doc_id, mark (a hash of the text, which tells rows with one doc_id apart), text."""
     return doc_texts(docs).withColumn("mark", F.hash("text")).select("doc_id", "mark", "text")
@@ -117,13 +129,13 @@ def counted(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
             _, first, code, n = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
             rows: list[tuple] = []
             for kind, part in (
-                (ASKED, _packed(_ASKED, gram=grams, doc=docs, mark=marks, start=starts, end=ends)[n[code] == 1]),
+                (ASKED, _packed(_ASKED, gram=grams, doc=docs, mark=marks, start=starts, length=ends - starts)[n[code] == 1]),
                 (KNOWN, _packed(_KNOWN, gram=grams[first], n=n)[n > 1]),
             ):
                 bucket = (part["gram"] % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-                    rows.append((int(bucket[own[0]]), kind, 0, 0, part[own].tobytes()))
+                    rows.append((int(bucket[own[0]]), kind, 0, 0, _squeezed(part[own])))
             own = n[code] > 1
             for doc, mark, data in zip(*_by_doc(docs[own], marks[own], _packed(_STRETCH, gram=grams, start=starts, end=ends)[own])):
                 rows.append(((doc ^ mark) % buckets, OPEN, doc, mark, data))
@@ -149,12 +161,12 @@ def answer(most: int):
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = {k: pdf["data"][pdf["kind"] == k] for k in (ASKED, KNOWN)}
-        asked = np.concatenate([np.empty(0, _ASKED), *(np.frombuffer(x, _ASKED) for x in parts[ASKED])])
-        known = np.concatenate([np.empty(0, _KNOWN), *(np.frombuffer(x, _KNOWN) for x in parts[KNOWN])])
+        asked = np.concatenate([np.empty(0, _ASKED), *(_unsqueezed(x, _ASKED) for x in parts[ASKED])])
+        known = np.concatenate([np.empty(0, _KNOWN), *(_unsqueezed(x, _KNOWN) for x in parts[KNOWN])])
         grams, code = np.unique(np.concatenate([asked["gram"], known["gram"]]), return_inverse=True)
         n = np.bincount(code, np.concatenate([np.ones(len(asked), np.int64), known["n"]]), len(grams)).astype(np.int64)
         asked = asked[n[code[: len(asked)]] > 1]
-        docs, marks, data = _by_doc(asked["doc"], asked["mark"], _packed(_STRETCH, gram=asked["gram"], start=asked["start"], end=asked["end"]))
+        docs, marks, data = _by_doc(asked["doc"], asked["mark"], _packed(_STRETCH, gram=asked["gram"], start=asked["start"], end=asked["start"] + asked["length"]))
         through = pdf[pdf["kind"] == OPEN]
         crowd = _packed(_KNOWN, gram=grams, n=n)[n > most]
         return pd.DataFrame({
@@ -344,7 +356,7 @@ def fetched(docs: DataFrame, opened: DataFrame, crowded: tuple[np.ndarray, np.nd
                 n = places["length"][own].astype(np.int64)
                 at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 first = int((int(places["gram"][own[0]]) + int(places["part"][own[0]])) % buckets)
-                rows.append((first, 0, 0, places[own].tobytes(), data[at].tobytes()))
+                rows.append((first, 0, 0, _squeezed(places[own]), _squeezed(data[at])))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names)
 
         for batch in batches:
@@ -384,8 +396,8 @@ def sort_bucket(length: int):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         through = pdf[pdf["places"].isna()]
         pdf = pdf[~pdf["places"].isna()]
-        places = np.concatenate([np.empty(0, _PLACE), *(np.frombuffer(x, _PLACE) for x in pdf["places"])])
-        data = np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in pdf["data"])])
+        places = np.concatenate([np.empty(0, _PLACE), *(_unsqueezed(x, _PLACE) for x in pdf["places"])])
+        data = np.concatenate([np.empty(0, np.uint8), *(_unsqueezed(x, np.dtype(np.uint8)) for x in pdf["data"])])
         later, starts = later_stretches(places, data)
         docs, marks, spans = [places["doc"][later]], [places["mark"][later]], [_packed(_SPAN, start=places["start"], end=places["start"] + places["length"])[later]]
         heads = np.flatnonzero(~later)

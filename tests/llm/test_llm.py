@@ -521,7 +521,7 @@ def test_removed_bytes_come_from_sorted_neighbours(monkeypatch):
     offsets, data = np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8)
     gram, doc, start, end = suffix_dedup.stretches(data, offsets, 100, 24)
     places = suffix_dedup._packed(suffix_dedup._PLACE, gram=gram, doc=doc, mark=np.zeros(len(doc)), start=start, length=end - start, part=np.zeros(len(doc)), groups=np.ones(len(doc)))
-    pdf = pd.DataFrame({"doc_id": [0], "mark": [0], "places": [places.tobytes()], "data": [b"".join(raw[d][a:z] for d, a, z in zip(doc, start, end))]})
+    pdf = pd.DataFrame({"doc_id": [0], "mark": [0], "places": [suffix_dedup._squeezed(places)], "data": [suffix_dedup._squeezed(np.frombuffer(b"".join(raw[d][a:z] for d, a, z in zip(doc, start, end)), np.uint8))]})
     found = suffix_dedup.sort_bucket(100)(pdf)
     assert sorted(found.doc_id) == [1, 2, 3, 4]
     kept = suffix_dedup.later_ones
