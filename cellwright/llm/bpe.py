@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from cellwright.llm.common import number_spans, text_runs
+from cellwright.llm.common import equal_spans, number_spans, span_hashes, text_runs
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _NONE = np.int32(1 << 30)
@@ -233,11 +233,14 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[int, int] = {}  # by hash; the bytes of a row tell whether it is the word meant
+        self.rows = self.spelled = 0
+        self.bytes, self.spelling, self.letters = np.zeros(1 << 16, np.uint8), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.ids, self.filled = np.zeros(4096, np.int32), 0
 
     def _learn(self, words: list[bytes]) -> None:
+        """Takes words in as the next rows."""
         found = self.lexicon.lookup(words) if self.lexicon is not None else [None] * len(words)
         missing = [i for i, x in enumerate(found) if x is None]
         for i, ids in zip(missing, self.bpe.merge([words[i] for i in missing])):
@@ -246,16 +249,22 @@ class Encoder:
         self.from_lexicon += len(words) - len(missing)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.concatenate(found)
-        base, need = len(self.known), self.filled + len(flat)
+        base, need = self.rows, self.filled + len(flat)
         while len(self.start) < base + len(found):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+            self.start, self.length, self.spelling, self.letters = (np.resize(x, 2 * len(x)) for x in (self.start, self.length, self.spelling, self.letters))
         while len(self.ids) < need:
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.start[base : base + len(found)] = self.filled + np.cumsum(lengths) - lengths
         self.length[base : base + len(found)] = lengths
         self.ids[self.filled : need] = flat
         self.filled = need
-        self.known.update(zip(words, range(base, base + len(words))))
+        letters = np.fromiter(map(len, words), np.int64, len(words))
+        end = self.spelled + int(letters.sum())
+        while len(self.bytes) < end + 8:
+            self.bytes = np.resize(self.bytes, 2 * len(self.bytes))
+        self.bytes[self.spelled : end] = np.frombuffer(b"".join(words), np.uint8)
+        self.spelling[base : base + len(words)], self.letters[base : base + len(words)] = self.spelled + np.cumsum(letters) - letters, letters
+        self.rows, self.spelled = base + len(words), end
 
     def run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by text)."""
@@ -263,14 +272,24 @@ class Encoder:
         if not len(starts):
             return np.empty(0, np.int32), np.zeros(len(offsets), np.int64)
         codes, first = number_spans(data, starts, stops)
-        if len(self.known) + len(first) > REMEMBERED:
+        if self.rows + len(first) > REMEMBERED:
             self._forget()
-        raw = data.tobytes()
-        words = [raw[i:j] for i, j in zip(starts[first].tolist(), stops[first].tolist())]
-        new = [w for w in words if w not in self.known]
-        if new:
-            self._learn(new)
-        row = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[codes]
+        starts, stops = starts[first], stops[first]
+        hashes = span_hashes(data, starts, stops).tolist()
+        rows = np.array([self.known.get(h, -1) for h in hashes], np.int64)
+        old = np.flatnonzero(rows >= 0)
+        held, n = rows[old], (stops - starts)[old]
+        spelled = np.ndarray(len(self.bytes) - 7, "<u8", self.bytes, 0, (1,))
+        same = n == self.letters[held]
+        same &= equal_spans(data, starts[old], self.spelling[held], np.where(same, n, 0), spelled)
+        rows[old[~same]] = -1  # another word with this hash
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            raw = data.tobytes()
+            rows[new] = np.arange(self.rows, self.rows + len(new))
+            self._learn([raw[i:j] for i, j in zip(starts[new].tolist(), stops[new].tolist())])
+            self.known.update((hashes[i], r) for i, r in zip(new.tolist(), rows[new].tolist()))
+        row = rows[codes]
         length, begin = self.length[row], self.start[row]
         for i in np.flatnonzero(special >= 0):
             length[i] = 1

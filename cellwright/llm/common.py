@@ -75,13 +75,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return h
 
 
-def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Whether the bytes from a[i] and from b[i] on are the same over length[i]."""
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Whether the bytes from a[i] and from b[i] on (of ``other``, eights of other bytes, if given) are the same over length[i]."""
     at, out = eights(data), np.ones(len(a), bool)
-    live, step = np.flatnonzero((a != b) & (length > 0)), 0
+    live, step = np.flatnonzero(length > 0 if other is not None else (a != b) & (length > 0)), 0
+    other = at if other is None else other
     while len(live):
         rest = length[live] - step
-        same = ((at[a[live] + step] ^ at[b[live] + step]) & _TAILS[np.minimum(rest, 8)]) == 0
+        same = ((at[a[live] + step] ^ other[b[live] + step]) & _TAILS[np.minimum(rest, 8)]) == 0
         out[live[~same]] = False
         live, step = live[same & (rest > 8)], step + 8
     return out

@@ -558,6 +558,20 @@ def test_pretokens_equal_the_library():
         assert ids.tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t, b, rng = Tokenizer.from_file(bpe.default_path()), bpe.Bpe(), random.Random(15)
+    few = lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(4)
+    monkeypatch.setattr(common, "span_hashes", few)
+    monkeypatch.setattr(bpe, "span_hashes", few)
+    monkeypatch.setattr(common, "RUN_BYTES", 200)
+    cases = [words(rng, rng.randrange(30)) for _ in range(60)]
+    for x, ids in zip(cases, bpe.Encoder(b).documents(pa.array(cases))):
+        assert ids.tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_transducer_shares_suffixes():
     b = bpe.Bpe()
     listed = sorted(f"{p}{s}".encode() for p in ("a", "b", "cd", "ce") for s in ("tion", "tions", "ting", "ed"))
