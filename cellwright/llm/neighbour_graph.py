@@ -6,8 +6,9 @@ vector is dealt to a leaf of every tree, and leaves are searched exactly, large
 NN-descent: in each round every node meets its neighbours and reverse neighbours (the nearest DEGREE of them) in one
 Spark join, all pairs that meet are measured, and a node keeps the DEGREE nearest it has seen. Only measurements
 that improve on a node's worst neighbour are sent on. Queries start at vectors of their own leaves and walk: each step joins
-the unvisited nodes of the beam with their neighbours and all their reverse neighbours (in lists of LIST at most), until no
-beam holds an unvisited node. The beam grows with the logarithm of the number of nodes.
+the nearest unvisited nodes of the beam with their neighbours and all their reverse neighbours (in lists of LIST at most).
+A query walks until a step brings no new one of its SETTLED nearest, or its beam holds no unvisited node. The beam grows
+with the logarithm of the number of nodes.
 
 Distances within the graph are measured in single precision; results are measured again in double precision.
 
@@ -30,9 +31,11 @@ from pyspark.sql import functions as F
 
 from cellwright.llm.common import saved, table
 
-K, DEGREE, TREES, LEAF, ROUNDS = 10, 24, 8, 800, 3
+K, DEGREE, TREES, LEAF, ROUNDS = 10, 24, 8, 200, 3
 SAMPLE, BLOCK = 20_000, 2048
-BEAM, STARTS, LIST = 320, 32, 1024
+BEAM, STARTS, LIST = 200, 32, 1024
+#: A walk ends when a step changes none of a query's SETTLED nearest.
+SETTLED = 32
 
 
 class Trees:
@@ -74,7 +77,9 @@ def _vectors(column: pa.Array) -> np.ndarray:
     raw = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if not len(raw):
         return np.zeros((0, 0), np.float32)
-    return np.frombuffer(b"".join(raw.to_pylist()), "<f4").reshape(len(raw), -1)
+    _, offsets, data = raw.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(raw.type) else np.int32)[raw.offset : raw.offset + len(raw) + 1]
+    return np.frombuffer(data, "<f4", (int(at[-1]) - int(at[0])) // 4, int(at[0])).reshape(len(raw), -1)
 
 
 def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -140,7 +145,7 @@ def leaf_neighbours(leaves: DataFrame, degree: int) -> DataFrame:
 
 def keep_nearest(pairs: DataFrame, degree: int) -> DataFrame:
     best = Window.partitionBy("node").orderBy("d", "other")
-    return pairs.groupBy("node", "other").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= degree).drop("r")
+    return pairs.repartition("node").groupBy("node", "other").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= degree).drop("r")
 
 
 def descend(graph: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
@@ -195,7 +200,7 @@ def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pd.DataFram
 
 def build_graph(nodes: DataFrame, leaves: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
     """node, other, d."""
-    graph = saved(keep_nearest(leaf_neighbours(leaves, degree), degree), "graph")
+    graph = saved(keep_nearest(leaf_neighbours(leaves, -(-degree // 2)), degree), "graph")
     for _ in range(rounds):
         graph = saved(descend(graph, nodes, degree), "graph")
     return graph
@@ -232,15 +237,16 @@ def walk(queries: DataFrame, leaves: DataFrame, graph: DataFrame, nodes: DataFra
             yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(d.astype(np.float32))], ["query", "node", "d"])
 
     while True:
-        measured = new.join(nodes.select("node", "packed"), "node").join(vectors, "query").mapInArrow(distance, "query long, node long, d float").withColumn("visited", F.lit(False))
+        measured = new.join(nodes.select("node", "packed"), "node").join(vectors, "query").mapInArrow(distance, "query long, node long, d float").withColumn("visited", F.lit(False)).withColumn("fresh", F.lit(True))
         every = measured if beam is None else beam.unionByName(measured)
-        ranked = every.groupBy("query", "node").agg(F.min("d").alias("d"), F.max("visited").alias("visited")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= size)
-        pick = Window.partitionBy("query", "visited").orderBy("d", "node")
-        beam = saved(ranked.withColumn("turn", F.when(~F.col("visited"), F.row_number().over(pick))).select("query", "node", "d", "visited", (F.col("turn") <= size // 4).alias("next")), "beam")
+        met = every.repartition("query").groupBy("query", "node").agg(F.min("d").alias("d"), F.max("visited").alias("visited"), F.min("fresh").alias("fresh"))
+        ranked = met.withColumn("r", F.row_number().over(best)).withColumn("turn", F.sum((~F.col("visited")).cast("int")).over(best)).where(F.col("r") <= size)
+        moved = F.max(F.col("fresh") & (F.col("r") <= SETTLED)).over(Window.partitionBy("query"))
+        beam = saved(ranked.withColumn("next", ~F.col("visited") & (F.col("turn") <= size // 4) & moved).select("query", "node", "d", "visited", "next"), "beam")
         if beam.where("next").isEmpty():
             return beam.select("query", "node")
         new = beam.where("next").join(lists.select("node", "others"), "node").select("query", F.explode("others").alias("node")).distinct()
-        beam = beam.select("query", "node", "d", (F.col("visited") | F.coalesce("next", F.lit(False))).alias("visited"))
+        beam = beam.select("query", "node", "d", (F.col("visited") | F.col("next")).alias("visited"), F.lit(False).alias("fresh"))
 
 
 def nearest(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
