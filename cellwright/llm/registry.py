@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwright.llm import bpe_transducer, chat_format, filter_audit, jaccard_join, license_scan, neighbour_graph, packing, pseudo_likelihood, simhash_dedup, suffix_dedup, topk_search, toxicity
+from cellwright.llm import bpe_transducer, chat_format, filter_audit, jaccard_join, license_scan, neighbour_graph, packing, phrase_automata, pseudo_likelihood, simhash_dedup, suffix_dedup, topk_search, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_bpe_transducer": bpe_transducer.op10_bpe_transducer,
         "op11_simhash_dedup": simhash_dedup.op11_simhash_dedup,
+        "op12_phrase_automata": phrase_automata.op12_phrase_automata,
         "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": topk_search.ORACLE, "op2_chat_format": chat_format.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
+    return {"op1_topk_search": topk_search.ORACLE, "op2_chat_format": chat_format.ORACLE, "op12_phrase_automata": phrase_automata.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
