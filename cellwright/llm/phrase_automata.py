@@ -36,7 +36,7 @@ from cellwright.llm.common import LOWER, mix, number_spans, saved, span_hashes,
 
 LEAST, TOP, COVER_PERCENT, SCALE = 10, 2000, 50, 1_000_000
 #: Bytes of text of a shard and of a range; words of a shard at most; ranges at most.
-SHARD_BYTES, RANGE_BYTES, SHARD_WORDS, RANGES = 8 << 20, 16 << 20, 1 << 20, 8192
+SHARD_BYTES, RANGE_BYTES, SHARD_WORDS, RANGES = 8 << 20, 12 << 20, 1 << 20, 8192
 #: Sampled positions a range, and bytes a word for the estimate of how many rows hold them.
 POSITIONS, WORD_BYTES = 50, 6
 
@@ -94,7 +94,11 @@ class Automaton:
 
     def __init__(self, symbols: list[bytes], first: np.ndarray, weight1: np.ndarray, below: np.ndarray, second: np.ndarray, weight2: np.ndarray, state: np.ndarray, size: np.ndarray, third: np.ndarray, weight3: np.ndarray):
         self.symbols = symbols
-        self.arrays = [x.astype(np.int64) for x in (first, weight1, below, second, weight2, state, size, third, weight3)]
+        self.arrays = (first, weight1, below, second, weight2, state, size, third, weight3)
+
+    def wide(self) -> list[np.ndarray]:
+        """The arrays in 64 bits; they are kept as narrow as they were stored."""
+        return [x.astype(np.int64) for x in self.arrays]
 
     @classmethod
     def build(cls, symbols: list[bytes], digits: np.ndarray, weights: np.ndarray) -> Automaton:
@@ -140,7 +144,7 @@ class Automaton:
 
     def paths(self) -> tuple[np.ndarray, np.ndarray]:
         """(digits, weights) of all accepted paths, in no order."""
-        first, weight1, below, second, weight2, state, size, third, weight3 = self.arrays
+        first, weight1, below, second, weight2, state, size, third, weight3 = self.wide()
         under = np.repeat(first, below)
         start = np.append(0, np.cumsum(size))
         has = np.flatnonzero(state)
@@ -153,7 +157,7 @@ class Automaton:
 
     def weights_of(self, digits: np.ndarray) -> np.ndarray:
         """The weight of each path (rows of digits of this automaton's symbols; below 0: no such symbol), -1 if not accepted."""
-        first, weight1, below, second, weight2, state, size, third, weight3 = self.arrays
+        first, weight1, below, second, weight2, state, size, third, weight3 = self.wide()
         m = len(self.symbols) + 1
         d1, d2, d3 = digits.T
         at1 = _found(first, d1)
@@ -200,19 +204,41 @@ def _common(automata: list[Automaton]) -> tuple[list[bytes], list[np.ndarray]]:
     return [distinct[i] for i in order], [np.append(0, p) for p in parts]
 
 
+#: Below so many symbols a path is packed into one number.
+PACKED = 1 << 21
+
+
 def _merged(digits: np.ndarray, weights: np.ndarray, how: np.ufunc) -> tuple[np.ndarray, np.ndarray]:
     """Different paths in ascending order, the weights of equal ones put together."""
-    order = np.lexsort(digits.T[::-1]) if int(digits.max(initial=0)) >= 1 << 21 else np.argsort((digits[:, 0] << 42) | (digits[:, 1] << 21) | digits[:, 2], kind="stable")
+    order = np.lexsort(digits.T[::-1])
     digits, weights = digits[order], weights[order]
     new = np.flatnonzero(_runs(*digits.T)) if len(digits) else np.empty(0, np.int64)
     return digits[new], how.reduceat(weights, new) if len(new) else weights
 
 
-def united(automata: list[Automaton], how: np.ufunc = np.add) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(symbols, digits, weights) of the union, weights of equal paths summed (or joined by another function)."""
+def united(automata: list[Automaton], how: np.ufunc = np.add, least: int = 0) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(symbols, digits, weights) of the union in ascending order, weights of equal paths summed (or joined by another function).
+
+    Paths whose joined weight is below ``least`` are left out.
+    """
     symbols, maps = _common(automata)
-    both = [(m[d], w) for m, (d, w) in zip(maps, (a.paths() for a in automata))]
-    return symbols, *_merged(np.concatenate([d for d, _ in both]), np.concatenate([w for _, w in both]), how)
+    m = len(symbols) + 1
+    if m >= PACKED:
+        both = [(own[d], w) for own, (d, w) in zip(maps, (a.paths() for a in automata))]
+        digits, weights = _merged(np.concatenate([d for d, _ in both]), np.concatenate([w for _, w in both]), how)
+        return symbols, digits[weights >= least], weights[weights >= least]
+    keys, parts = [], []
+    for own, a in zip(maps, automata):
+        d, w = a.paths()
+        keys.append((own[d[:, 0]] * m + own[d[:, 1]]) * m + own[d[:, 2]])
+        parts.append(w.astype(np.uint32) if int(w.max(initial=0)) < 1 << 32 else w)  # narrow until they are joined
+    keys, weights = np.concatenate(keys), np.concatenate(parts)
+    order = np.argsort(keys, kind="stable")
+    keys, weights = keys[order], weights[order]
+    new = np.flatnonzero(_runs(keys))
+    keys, weights = keys[new], how.reduceat(weights, new, dtype=np.int64) if len(new) else weights.astype(np.int64)
+    keys, weights = keys[weights >= least], weights[weights >= least]
+    return symbols, np.stack([keys // (m * m), keys // m % m, keys % m], 1), weights
 
 
 class Cuts:
@@ -225,37 +251,31 @@ class Cuts:
     def parts(self) -> int:
         return (len(self.paths) + 1) * self.deals
 
-    def slices(self, symbols: list[bytes], digits: np.ndarray, weights: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(part, digits, weights) of the paths, which are given in ascending order."""
-        at, m = [], len(symbols)
-        columns = digits.T
-        for path in self.paths:
-            low, high = 0, len(digits)
-            for column, s in zip(columns, path):
-                i = bisect_left(symbols, s)
-                exact = i < m and symbols[i] == s
-                own = column[low:high]
-                below = low + int(np.searchsorted(own, i + 1))
-                high = low + int(np.searchsorted(own, i + 1, side="right")) if exact else below
-                low = below
-                if low == high:
-                    break
-            at.append(low)
+    def slices(self, symbols: list[bytes], keys: np.ndarray, weights: np.ndarray) -> Iterator[tuple[int, Automaton]]:
+        """(part, automaton) of the paths, which are given packed, in ascending order."""
+        m, at = len(symbols) + 1, []
+        for path in self.paths:  # the first key that is not below the path
+            bound, exact = 0, True
+            for s in path:
+                i = bisect_left(symbols, s) if exact else 0
+                bound = bound * m + (i + 1 if exact else 0)
+                exact = exact and i < m - 1 and symbols[i] == s
+            at.append(bound * m ** (3 - len(path)))
+        at = np.searchsorted(keys, np.array(at, np.int64)).tolist()
         hashes = None
         if self.deals > 1:
             ends = np.cumsum([len(s) for s in symbols], dtype=np.int64)
             of = np.append(np.uint64(0), span_hashes(np.frombuffer(b"".join(symbols), np.uint8), np.append(0, ends[:-1]), ends))
-            hashes = mix(mix(mix(of[columns[0]]) + of[columns[1]]) + of[columns[2]]) % np.uint64(self.deals)
-        bounds = [0, *at, len(digits)]
+            hashes = mix(mix(mix(of[keys // (m * m)]) + of[keys // m % m]) + of[keys % m]) % np.uint64(self.deals)
+        bounds = [0, *at, len(keys)]
         for r, (low, high) in enumerate(zip(bounds, bounds[1:])):
             if low == high:
                 continue
-            if hashes is None:
-                yield r, digits[low:high], weights[low:high]
-                continue
-            for deal in np.unique(hashes[low:high]).tolist():
-                own = low + np.flatnonzero(hashes[low:high] == deal)
-                yield r * self.deals + deal, digits[own], weights[own]
+            own, w = keys[low:high], weights[low:high]
+            for deal in range(self.deals) if hashes is None else np.unique(hashes[low:high]).tolist():
+                here = slice(None) if hashes is None else hashes[low:high] == deal
+                k = own[here]
+                yield r * self.deals + deal, Automaton.build(symbols, np.stack([k // (m * m), k // m % m, k % m], 1), w[here])
 
 
 class Lexed:
@@ -277,7 +297,7 @@ class Lexed:
         return self.names[self.lang[i]] + b"\xff" + self.data[self.starts[i] : self.ends[i]].tobytes()  # 0xFF is in no text
 
     def ngrams(self, low: int, high: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """(symbols, digits, counts) of the n-grams that start at words low to high - 1."""
+        """(symbols, packed keys, counts) of the n-grams that start at words low to high - 1."""
         end = min(high + 2, len(self))
         codes, first = number_spans(self.data, self.starts[low:end], self.ends[low:end])
         both, first, place = np.unique(self.lang[low:end] * len(first) + codes, return_index=True, return_inverse=True)
@@ -292,7 +312,7 @@ class Lexed:
         triple = triple[piece[triple] == piece[triple + 2]]
         keys = np.concatenate([d[:n] * m * m, (d[pair] * m + d[pair + 1]) * m, (d[triple] * m + d[triple + 1]) * m + d[triple + 2]])
         keys, counts = np.unique(keys, return_counts=True)
-        return [names[i] for i in order], np.stack([keys // (m * m), keys // m % m, keys % m], 1), counts
+        return [names[i] for i in order], keys, counts
 
 
 def lexed_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Lexed]:
@@ -353,24 +373,23 @@ def counted_ranges(texts: DataFrame, cuts: Cuts, least: int) -> DataFrame:
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lexed in lexed_shards(batches):
             for low in range(0, len(lexed), SHARD_WORDS):
-                symbols, digits, counts = lexed.ngrams(low, min(low + SHARD_WORDS, len(lexed)))
                 parts, slices = [], []
-                for part, d, w in cuts.slices(symbols, digits, counts):
+                for part, made in cuts.slices(*lexed.ngrams(low, min(low + SHARD_WORDS, len(lexed)))):
                     parts.append(part)
-                    slices.append(Automaton.build(symbols, d, w).to_bytes())
+                    slices.append(made.to_bytes())
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(slices, pa.binary())], ["part", "slice"])
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["part"].iloc[0])
-        symbols, digits, weights = united([Automaton.from_bytes(x) for x in pdf["slice"]])
-        words: dict[str, int] = {}
-        lone = digits[:, 1] == 0
-        for d, w in zip(digits[lone, 0].tolist(), weights[lone].tolist()):
-            lang = symbols[d - 1].partition(b"\xff")[0].decode()
-            words[lang] = words.get(lang, 0) + w
-        often = weights >= least
-        out = [(part, None, None, Automaton.build(symbols, digits[often], weights[often]).to_bytes())]
-        return pd.DataFrame(out + [(part, lang, n, None) for lang, n in words.items()], columns=["part", "lang", "n", "counts"]).astype({"n": "Int64"})
+        slices = [Automaton.from_bytes(x) for x in pdf["slice"]]
+        words: dict[bytes, int] = {}
+        for a in slices:
+            for d, w in zip(a.arrays[0].tolist(), a.arrays[1].tolist()):
+                if w:
+                    lang = a.symbols[d - 1].partition(b"\xff")[0]
+                    words[lang] = words.get(lang, 0) + w - 1
+        out = [(part, None, None, Automaton.build(*united(slices, np.add, least)).to_bytes())]
+        return pd.DataFrame(out + [(part, lang.decode(), n, None) for lang, n in words.items()], columns=["part", "lang", "n", "counts"]).astype({"n": "Int64"})
 
     sliced = texts.mapInArrow(shards, "part int, slice binary")
     return saved(sliced.groupBy("part").applyInPandas(unite, "part int, lang string, n long, counts binary"), "ranges")
@@ -473,7 +492,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
             for origin, data in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
                 counts = Automaton.from_bytes(data)
                 digits, weights = requests(counts)
-                out = [(part, origin, Automaton.build(counts.symbols, d, w).to_bytes()) for part, d, w in cuts.slices(counts.symbols, digits, weights)]
+                m = len(counts.symbols) + 1  # every symbol occurs ``least`` times in the range's candidates
+                out = [(part, origin, a.to_bytes()) for part, a in cuts.slices(counts.symbols, (digits[:, 0] * m + digits[:, 1]) * m + digits[:, 2], weights)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["part", "origin", "asked"])
 
     def compose(counts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

@@ -73,12 +73,15 @@ def test_phrases_equal_brute_force(spark, monkeypatch, texts, range_bytes, range
 def test_shards_overlap_and_empty_tables(spark, texts):
     data = np.frombuffer(b"a b c. d e a b c a", np.uint8)
     lexed = phrase_automata.Lexed(data, np.array([0, 10, len(data)]), [b"x", b"x"])
-    whole = dict(zip(*[list(map(tuple, (lambda s, d, w: [[s[i - 1] for i in r if i] for r in d])(*lexed.ngrams(0, len(lexed))))), lexed.ngrams(0, len(lexed))[2].tolist()]))
-    apart: Counter = Counter()
+
+    def counted(low, high):
+        symbols, keys, counts = lexed.ngrams(low, high)
+        m = len(symbols) + 1
+        return {tuple(symbols[i - 1] for i in (k // m // m, k // m % m, k % m) if i): c for k, c in zip(keys.tolist(), counts.tolist())}
+
+    whole, apart = counted(0, len(lexed)), Counter()
     for low in range(0, len(lexed), 2):
-        symbols, digits, counts = lexed.ngrams(low, min(low + 2, len(lexed)))
-        for d, c in zip(digits.tolist(), counts.tolist()):
-            apart[tuple(symbols[i - 1] for i in d if i)] += c
+        apart.update(counted(low, min(low + 2, len(lexed))))
     assert dict(apart) == whole and whole[b"x\xffa", b"x\xffb"] == 2
     assert phrase_automata.collocations(docs_of(spark, texts).limit(0)).count() == 0
     assert phrase_automata.collocations(docs_of(spark, [(None, None), ("", "en")])).count() == 0
@@ -108,6 +111,14 @@ def test_automata_keep_and_look_up_paths():
         assert {tuple(union[i - 1] for i in r if i): x for r, x in zip(d.tolist(), w.tolist())} == dict(total)
 
 
+def test_many_symbols_are_united_unpacked(monkeypatch):
+    made = [Automaton.build([b"a", b"b"], np.array([[1, 0, 0], [1, 2, 0], [2, 1, 1]]), np.array([1, 2, k])) for k in (3, 2**40)]
+    want = phrase_automata.united(made, np.add, 4)
+    monkeypatch.setattr(phrase_automata, "PACKED", 2)
+    assert [x.tolist() if hasattr(x, "tolist") else x for x in phrase_automata.united(made, np.add, 4)] == [x.tolist() if hasattr(x, "tolist") else x for x in want]
+    assert want[2].tolist() == [4, 3 + 2**40]
+
+
 def test_equal_endings_are_kept_once():
     symbols = [b"a", b"b", b"c", b"d"]
     paths = np.array([[i, k, x] for i in (1, 2, 3) for k in (1, 2) for x in (3, 4)], np.int64)
