@@ -36,7 +36,7 @@ from cellwright.llm.common import LOWER, mix, number_spans, saved, span_hashes,
 
 LEAST, TOP, COVER_PERCENT, SCALE = 10, 2000, 50, 1_000_000
 #: Bytes of text of a shard and of a range; words of a shard at most; ranges at most.
-SHARD_BYTES, RANGE_BYTES, SHARD_WORDS, RANGES = 8 << 20, 12 << 20, 1 << 20, 8192
+SHARD_BYTES, RANGE_BYTES, SHARD_WORDS, RANGES = 6 << 20, 12 << 20, 1 << 20, 8192
 #: Sampled positions a range, and bytes a word for the estimate of how many rows hold them.
 POSITIONS, WORD_BYTES = 50, 6
 
@@ -285,7 +285,7 @@ class Lexed:
         self.data = LOWER[data]
         self.starts, self.ends = spans(~NO_WORD[data], offsets)
         text = np.searchsorted(offsets, self.starts, side="right") - 1
-        self.piece = np.cumsum(BREAKS[data])[self.starts] + text if len(self.starts) else text
+        self.piece = np.cumsum(BREAKS[data], dtype=np.int32)[self.starts] + text if len(self.starts) else text
         self.names = sorted(set(langs))
         number = {x: i for i, x in enumerate(self.names)}
         self.lang = np.array([number[x] for x in langs], np.int64)[text] if len(text) else text
