@@ -2,39 +2,51 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwright.functions.text import jaro_winkler, simplified
+from cellwright.operators.components import join_facts, smallest_connected
 from cellwright.operators.detect import with_scores
+from cellwright.session import saved
 
 GRID = 256
 
 
-def duplicate_pairs(df: DataFrame, record_id: str, block: str, equal: list[str], similar: list[str], threshold: float = 0.9) -> DataFrame:
-    """a, b (a < b): records of one block that agree on ``equal`` and are similar on every column of ``similar``.
-
-    The key of the join is the block with all equal columns. Texts are compared as pairs of different values of a
-    key, each once, however many records share them; a key with very many values is dealt over a grid of parts, each of
-    about GRID values a side. Nulls count as empty texts.
-    """
+def _records(df: DataFrame, record_id: str, block: str, equal: list[str], similar: list[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """(id, key columns, texts to compare), and the names of the keys and of the texts. Nulls count as empty texts."""
     text = {c: simplified(F.col(c).cast("string")) for c in similar}
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"k{i}") for i, c in enumerate(dict.fromkeys([block, *equal]))]
-    names = [f"k{i}" for i in range(len(keys))]
     rows = df.select(F.col(record_id).alias("id"), *keys, *[t.alias(f"s{i}") for i, t in enumerate(text.values())])
-    texts = [f"s{i}" for i in range(len(similar))]
-    values = rows.groupBy(*names, *texts).agg(F.count("*").alias("n")).withColumn("h", F.xxhash64(*texts))
+    return rows, [f"k{i}" for i in range(len(keys))], [f"s{i}" for i in range(len(similar))]
+
+
+def _similar_values(values: DataFrame, names: list[str], texts: list[str], threshold: float) -> DataFrame:
+    """left, right (structs of texts, left < right) and their key: similar on every text, each pair of different values once.
+
+    A key with very many values is dealt over a grid of parts, each of about GRID values a side.
+    """
     parts = values.groupBy(*names).agg(F.ceil(F.count("*") / GRID).cast("int").alias("parts"))
-    dealt = values.join(parts, names).withColumn("part", F.pmod("h", F.col("parts")).cast("int"))
+    dealt = values.withColumn("h", F.xxhash64(*texts)).join(parts, names).withColumn("part", F.pmod("h", F.col("parts")).cast("int"))
     left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     a = left.select(*names, F.col("part").alias("row"), F.col("other").alias("column"), F.struct(*texts).alias("left"))
     b = left.select(*names, F.col("other").alias("row"), F.col("part").alias("column"), F.struct(*texts).alias("right"))
     both = a.join(b, [*names, "row", "column"]).where(F.col("left") < F.col("right"))
-    for i in range(len(texts)):
-        both = both.where(jaro_winkler(F.col(f"left.s{i}"), F.col(f"right.s{i}")) > threshold)
-    matches = both.select(*names, "left", "right")
+    for t in texts:
+        both = both.where(jaro_winkler(F.col(f"left.{t}"), F.col(f"right.{t}")) > threshold)
+    return both.select(*names, "left", "right")
+
+
+def duplicate_pairs(df: DataFrame, record_id: str, block: str, equal: list[str], similar: list[str], threshold: float = 0.9) -> DataFrame:
+    """a, b (a < b): records of one block that agree on ``equal`` and are similar on every column of ``similar``.
+
+    The key of the join is the block with all equal columns. Texts are compared as pairs of different values of a
+    key, each once, however many records share them. Every pair of records is a row, so for tables with large groups of
+    copies ``duplicate_classes`` is the one to use.
+    """
+    rows, names, texts = _records(df, record_id, block, equal, similar)
+    values = rows.groupBy(*names, *texts).agg(F.count("*").alias("n"))
+    matches = _similar_values(values, names, texts, threshold)
     ids = rows.select(*names, F.struct(*texts).alias("text"), "id")
     across = (
         matches.join(ids.select(*names, F.col("text").alias("left"), F.col("id").alias("x")), [*names, "left"])
@@ -45,6 +57,28 @@ def duplicate_pairs(df: DataFrame, record_id: str, block: str, equal: list[str],
     return across.unionByName(same.where(F.col("x") < F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
 
 
+def duplicate_classes(df: DataFrame, record_id: str, block: str, equal: list[str], similar: list[str], threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """What ``duplicate_pairs`` finds, without a row for every pair.
+
+    First table: id, class_id, n_links, component_id of every record. A class is the records of one key with equal texts
+    (its smallest id names it); n_links is the number of records it is a duplicate of; a component is what links connect.
+    Second table: a, b, n_pairs: linked classes, and how many pairs of records each link stands for. Nothing here grows
+    faster than records plus pairs of different texts. Record ids must differ; a record without one is left out.
+    """
+    rows, names, texts = _records(df.where(F.col(record_id).isNotNull()), record_id, block, equal, similar)
+    rows = saved(rows, "records")
+    values = saved(rows.groupBy(*names, *texts).agg(F.count("*").alias("n"), F.min("id").alias("class_id")), "values")
+    side = lambda s: values.select(*names, F.struct(*texts).alias(s), F.col("class_id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"))
+    met = _similar_values(values, names, texts, threshold).join(side("left"), [*names, "left"]).join(side("right"), [*names, "right"])
+    links = saved(met.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), F.when(F.col("left_id") < F.col("right_id"), F.col("left_n")).otherwise(F.col("right_n")).alias("n_a"), F.when(F.col("left_id") < F.col("right_id"), F.col("right_n")).otherwise(F.col("left_n")).alias("n_b")), "links")
+    others = links.select(F.col("a").alias("class_id"), F.col("n_b").alias("n")).unionByName(links.select(F.col("b").alias("class_id"), F.col("n_a").alias("n"))).groupBy("class_id").agg(F.sum("n").alias("others"))
+    labels = smallest_connected(links).withColumnRenamed("node", "class_id")
+    facts = values.join(others, "class_id", "left").join(labels, "class_id", "left")
+    facts = saved(facts.select(*names, *texts, "class_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id")), "classes")
+    every = join_facts(rows, facts, [*names, *texts], "id").select("id", "class_id", "n_links", "component_id")
+    return every, links.select("a", "b", (F.col("n_a") * F.col("n_b")).alias("n_pairs"))
+
+
 def duplicate_groups(pairs: DataFrame) -> DataFrame:
     """a, members: every record with those of larger id that it is a duplicate of."""
     return pairs.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("members"))

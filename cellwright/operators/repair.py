@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from cellwright.functions.numeric import ratio
 from cellwright.operators.cells import cells
+from cellwright.operators.components import join_facts
 from cellwright.operators.profile import top_values
+from cellwright.session import saved
 from cellwright.spec import FD, TableSpec
 
 NO_REPAIR = "#NO-REPAIR#"
@@ -82,6 +84,51 @@ def combine_repairs(candidates: DataFrame, n_sources: int = 5, least: float = 0.
     return kept.groupBy("recid", "attr").agg(ordered.alias("r")).select("recid", "attr", F.col("r.candidate").alias("values"))
 
 
+def combine_with_domain(candidates: DataFrame, domain: DataFrame, errors: DataFrame, n_sources: int = 5, least: float = 0.2, first: int = 3) -> DataFrame:
+    """recid, attr, values, whole_domain, first, first_three: repairs by falling share of sources, for every cell of ``errors``.
+
+    ``candidates`` (recid, attr, source, candidate) are what sources propose; the clean values of the attribute (``domain``:
+    attr, value) are one source more, as a set, and are never spread over the cells. A value is worth more than ``least``
+    only if some source proposes it, so where any value is, ``values`` is the whole answer. Where none is, all proposals
+    and all clean values are equally good: ``values`` then holds the proposals, ``whole_domain`` says that the clean
+    values belong there too, and the first ones come from the attribute's smallest values. Values are compared in lower case.
+    """
+    known = saved(domain.where("value IS NOT NULL").select("attr", F.lower("value").alias("candidate")).distinct(), "domain")
+    proposed = candidates.where("candidate IS NOT NULL").groupBy("recid", "attr", F.lower("candidate").alias("candidate")).agg(F.countDistinct("source").alias("n"))
+    share = join_facts(proposed, known.withColumn("clean", F.lit(1)), ["attr", "candidate"], "recid").withColumn("share", (F.col("n") + F.coalesce("clean", F.lit(0))) / F.lit(float(n_sources)))
+    top = F.max("share").over(Window.partitionBy("recid", "attr"))
+    kept = share.withColumn("top_", top).where((F.col("top_") <= least) | (F.col("share") > least))
+    listed = kept.groupBy("recid", "attr").agg(F.sort_array(F.collect_list(F.struct((-F.col("share")).alias("s"), F.col("candidate")))).alias("r"), F.first("top_").alias("top_"))
+    smallest = known.withColumn("k", F.row_number().over(Window.partitionBy("attr").orderBy("candidate"))).where(F.col("k") <= first).groupBy("attr").agg(F.array_sort(F.collect_list("candidate")).alias("smallest"))
+    none = F.array().cast("array<string>")
+    cell = errors.select("recid", "attr").join(listed, ["recid", "attr"], "left").join(F.broadcast(smallest), "attr", "left")  # a row an attribute
+    values, whole = F.coalesce(F.col("r.candidate"), none), F.coalesce(F.col("top_") <= least, F.lit(True))
+    ordered = F.when(whole, F.slice(F.array_sort(F.array_distinct(F.concat(values, F.coalesce("smallest", none)))), 1, first)).otherwise(F.slice(values, 1, first))
+    return cell.select("recid", "attr", values.alias("values"), whole.alias("whole_domain"), F.get(ordered, F.lit(0)).alias("first"), ordered.alias("first_three"))
+
+
+def repair_summary(candidates: DataFrame, domain: DataFrame, errors: DataFrame, clean_cells: DataFrame, sources: list[str], **params) -> DataFrame:
+    """source, n, found, pct_found over all erroneous cells whose true value is not null.
+
+    Rows: each of ``sources``, the attribute's clean values, the combination of all, its first three values, its first one.
+    """
+    cell = saved(errors.select("recid", "attr").join(clean_cells.where("value IS NOT NULL").select("recid", "attr", F.lower("value").alias("truth")), ["recid", "attr"]), "errors")
+    known = saved(domain.where("value IS NOT NULL").select("attr", F.lower("value").alias("truth")).distinct(), "domain")
+    hit = candidates.join(cell, ["recid", "attr"]).where(F.lower("candidate") == F.col("truth")).groupBy("recid", "attr").agg(F.collect_set("source").alias("by"))
+    combined = combine_with_domain(candidates, domain, cell, **params)
+    every = join_facts(cell, known.withColumn("in_domain", F.lit(True)), ["attr", "truth"], "recid").join(hit, ["recid", "attr"], "left").join(combined, ["recid", "attr"])
+    clean = F.coalesce("in_domain", F.lit(False))
+    found = {s: F.array_contains("by", s) for s in sources} | {
+        "clean values": clean,
+        "combined": F.array_contains("values", F.col("truth")) | (F.col("whole_domain") & clean),
+        "first three": F.array_contains("first_three", F.col("truth")),
+        "single": F.col("first") == F.col("truth"),
+    }
+    row = every.agg(F.count("*").alias("n"), *[F.count_if(c).alias(f"found{i}") for i, c in enumerate(found.values())])
+    parts = F.array(*[F.struct(F.lit(name).alias("source"), F.col("n"), F.col(f"found{i}").alias("found")) for i, name in enumerate(found)])
+    return row.select(F.explode(parts).alias("r")).select("r.*").withColumn("pct_found", F.round(ratio(100 * F.col("found"), F.col("n")), 4))
+
+
 def suggestions(combined: DataFrame) -> DataFrame:
     """recid, attr, first, first_three."""
     return combined.select("recid", "attr", F.get("values", F.lit(0)).alias("first"), F.slice("values", 1, 3).alias("first_three"))
@@ -132,6 +179,25 @@ def prune_domain(predicted: DataFrame, tau: float, least: int = 1) -> DataFrame:
     return met.groupBy("recid", "attr", F.col("value").alias("candidate")).agg(F.max("p").alias("p"))
 
 
+def domain_sizes(predicted: DataFrame, taus: list[float], least: int = 1) -> DataFrame:
+    """tau, attr, n_cells, n_candidates, n_covered: what is left of the candidate domains of erroneous cells at each tau.
+
+    n_candidates counts pairs of an erroneous cell and a candidate. At tau 0 that is the whole clean domain for every
+    error, a product that is counted as one and never made; above 0 it comes from the co-occurrence join. n_covered is
+    the number of erroneous cells that keep any candidate.
+    """
+    wrong = predicted.where("prediction = 1").groupBy("attr").agg(F.count("*").alias("n_cells"))
+    values = clean_domain(predicted).groupBy("attr").agg(F.count("*").alias("n_values"))
+    whole = wrong.join(values, "attr", "left").select(F.lit(0.0).alias("tau"), "attr", (F.col("n_cells") * F.coalesce("n_values", F.lit(0))).alias("n_candidates"), F.when(F.col("n_values") > 0, F.col("n_cells")).otherwise(F.lit(0)).alias("n_covered"))
+    above = sorted(t for t in taus if t > 0)
+    per_tau = [F.struct(F.lit(float(t)).alias("tau"), F.count_if(F.col("p") >= t).alias("n")) for t in above]
+    per_cell = prune_domain(predicted, above[0], least).groupBy("attr", "recid").agg(F.array(*per_tau).alias("at")).select("attr", F.explode("at").alias("at"))
+    left = per_cell.groupBy("at.tau", "attr").agg(F.sum("at.n").alias("n_candidates"), F.count_if(F.col("at.n") > 0).alias("n_covered"))
+    grid = wrong.select("attr", F.explode(F.array(*[F.lit(float(t)) for t in above])).alias("tau"))  # a row an attribute and tau
+    pruned = grid.join(left, ["tau", "attr"], "left").select("tau", "attr", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.coalesce("n_covered", F.lit(0)).alias("n_covered"))
+    return whole.where(F.lit(0.0 in taus or 0 in taus)).unionByName(pruned).join(wrong, "attr").select("tau", "attr", "n_cells", "n_candidates", "n_covered")
+
+
 def pruned_candidate_domain(predicted: DataFrame, tau: float, least: int = 1) -> DataFrame:
     """recid, attr, candidate: for erroneous cells of every attribute the candidates of ``prune_domain``, for clean ones their own value."""
     own = predicted.where("prediction = 0").select("recid", "attr", F.col("value").alias("candidate"))

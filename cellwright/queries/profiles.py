@@ -230,6 +230,19 @@ def d23(spark, d):
     return _pairs(spark, d)
 
 
+@query("D23_duplicate_classes", f"""WITH RECURSIVE r AS ({_PARTS}), p AS ({_PAIRS}), classes AS (SELECT id, min(id) OVER (PARTITION BY p_brand, p_type, s) AS class_id FROM r),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT id, id FROM r), reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT id, class_id, (SELECT count(*) FROM p WHERE p.a = classes.id OR p.b = classes.id) AS n_links, (SELECT min(b) FROM reach WHERE reach.a = classes.id) AS component_id FROM classes""")
+def d23b(spark, d):
+    return duplicates.duplicate_classes(table(spark, d, "part"), "p_partkey", "p_brand", ["p_type"], ["p_name"])[0]
+
+
+@query("D23_duplicate_links", f"""WITH r AS ({_PARTS}), p AS ({_PAIRS}), classes AS (SELECT id, min(id) OVER (PARTITION BY p_brand, p_type, s) AS class_id FROM r)
+SELECT least(x.class_id, y.class_id) AS a, greatest(x.class_id, y.class_id) AS b, count(*) AS n_pairs FROM p JOIN classes x ON x.id = p.a JOIN classes y ON y.id = p.b WHERE x.class_id <> y.class_id GROUP BY ALL""")
+def d23c(spark, d):
+    return duplicates.duplicate_classes(table(spark, d, "part"), "p_partkey", "p_brand", ["p_type"], ["p_name"])[1]
+
+
 @query("D24_duplicate_groups", f"SELECT a, array_to_string(list(b ORDER BY b), ',') AS members FROM ({_PAIRS}) GROUP BY a")
 def d24(spark, d):
     return duplicates.duplicate_groups(_pairs(spark, d)).select("a", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))

@@ -9,7 +9,7 @@ from cellwright.operators import cells as C
 from cellwright.operators import inject, mining, repair
 from cellwright.queries import customers as U
 from cellwright.queries.registry import query
-from cellwright.session import table
+from cellwright.session import saved, table
 from cellwright.spec import FD
 
 
@@ -115,6 +115,42 @@ def j10b(spark, d):
     return repair.overlap_patterns(_candidates(spark, d), U.clean_cells(spark, d), ["fd", "histogram"])
 
 
+_FIVE = _FD_REPAIRS + f""", cand AS (SELECT recid, attr, 'fd' AS source, candidate FROM fdr UNION ALL SELECT p.recid, p.attr, 'histogram', t.value FROM pred p JOIN top t USING (attr) WHERE prediction = 1
+ UNION ALL SELECT recid, attr, 'repaired', new_value FROM {_LOG} UNION ALL SELECT recid, attr, 'audit', new_value FROM ({_AUDIT})),
+dom AS (SELECT DISTINCT attr, lower(value) AS candidate FROM pred WHERE prediction = 0 AND value IS NOT NULL), err AS (SELECT recid, attr FROM pred WHERE prediction = 1),
+mine AS (SELECT e.recid, e.attr, lower(candidate) AS candidate, count(DISTINCT source) AS n FROM err e JOIN cand USING (recid, attr) WHERE candidate IS NOT NULL GROUP BY ALL),
+every AS (SELECT recid, attr, candidate, sum(n) / 5.0::DOUBLE AS share FROM (SELECT * FROM mine UNION ALL SELECT recid, attr, candidate, 1 FROM err JOIN dom USING (attr)) GROUP BY ALL),
+best AS (SELECT *, max(share) OVER (PARTITION BY recid, attr) AS t FROM every), kept5 AS (SELECT * FROM best WHERE t <= 0.2 OR share > 0.2),
+lists AS (SELECT recid, attr, list(candidate ORDER BY share DESC, candidate) AS vals, bool_and(t <= 0.2) AS whole_domain FROM kept5 GROUP BY ALL)"""
+
+
+def _five(spark, d):
+    p = saved(U.predicted(spark, d), "predicted")
+    named = lambda df, source: df.withColumn("source", F.lit(source))
+    logs = {"repaired": repair.repair_log(_repaired_table(spark, d), U.SPEC), "audit": repair.repair_log_from_audit(_audit(spark, d), U.dirty(spark, d), U.SPEC)}
+    out = named(repair.fd_repairs(p, U.dirty(spark, d), "recid", _REP_FDS), "fd").unionByName(named(repair.histogram_repairs(p), "histogram"))
+    for source, log in logs.items():
+        out = out.unionByName(named(log.withColumnRenamed("new_value", "candidate"), source))
+    return saved(out, "candidates"), repair.clean_domain(p), p.where("prediction = 1").select("recid", "attr")
+
+
+@query("J9_suggestions_of_five", U.sql(_FIVE + " SELECT recid, attr, coalesce(whole_domain, true) AS whole_domain, vals[1] AS first, coalesce(array_to_string(vals[1:3], '|'), '') AS first_three FROM err LEFT JOIN lists USING (recid, attr)"))
+def j9b(spark, d):
+    return repair.combine_with_domain(*_five(spark, d)).select("recid", "attr", "whole_domain", "first", F.array_join("first_three", "|").alias("first_three"))
+
+
+_SOURCES = ["fd", "histogram", "repaired", "audit"]
+
+
+@query("J10_repair_summary", U.sql(_FIVE + f""", t AS (SELECT recid, attr, lower(value) AS truth FROM err JOIN ccells USING (recid, attr) WHERE value IS NOT NULL),
+hits AS (SELECT t.*, vals, {", ".join(f"EXISTS (SELECT 1 FROM mine JOIN cand USING (recid, attr) WHERE mine.recid = t.recid AND mine.attr = t.attr AND source = '{s}' AND lower(cand.candidate) = truth) AS {s}_" for s in _SOURCES)},
+  EXISTS (SELECT 1 FROM dom WHERE dom.attr = t.attr AND dom.candidate = truth) AS clean_ FROM t LEFT JOIN lists USING (recid, attr)),
+o AS ({" UNION ALL ".join(f"SELECT '{s}' AS source, count(*) AS n, count(*) FILTER (WHERE {c}) AS found FROM hits" for s, c in [*((s, f"{s}_") for s in _SOURCES), ("clean values", "clean_"), ("combined", "list_contains(vals, truth)"), ("first three", "list_contains(vals[1:3], truth)"), ("single", "vals[1] = truth")])})
+SELECT *, round(CASE WHEN n > 0 THEN 100 * found / n ELSE 0 END, 4) AS pct_found FROM o"""))
+def j10c(spark, d):
+    return repair.repair_summary(*_five(spark, d), U.clean_cells(spark, d), _SOURCES)
+
+
 @query("J11_with_truth", U.sql(f"SELECT recid, attr, new_value, c.value AS truth FROM {_LOG} JOIN ccells c USING (recid, attr)"))
 def j11(spark, d):
     return repair.with_truth(repair.repair_log(_repaired_table(spark, d), U.SPEC), U.clean_cells(spark, d))
@@ -142,6 +178,14 @@ def j14(spark, d):
     return repair.prune_domain(U.predicted(spark, d), 0.1).withColumn("tau", F.explode(F.array(*[F.lit(i / 10) for i in range(1, 11)]))).where("p >= tau")
 
 
+@query("J14_domain_sizes", U.sql(_PRUNED + """, e AS (SELECT attr, count(*) AS n_cells FROM small WHERE prediction = 1 GROUP BY attr), g AS (SELECT unnest(range(1, 11))::DOUBLE / 10 AS tau),
+c AS (SELECT tau, attr, recid, count(*) AS n FROM pruned, g WHERE p >= tau GROUP BY ALL), s AS (SELECT tau, attr, sum(n) AS n_candidates, count(*) AS n_covered FROM c GROUP BY ALL)
+SELECT 0.0::DOUBLE AS tau, attr, n_cells, CAST(n_cells * coalesce(v, 0) AS BIGINT) AS n_candidates, CASE WHEN v > 0 THEN n_cells ELSE 0 END AS n_covered FROM e LEFT JOIN (SELECT attr, count(*) AS v FROM dom GROUP BY attr) USING (attr)
+UNION ALL SELECT tau, attr, n_cells, CAST(coalesce(n_candidates, 0) AS BIGINT), coalesce(n_covered, 0) FROM (SELECT * FROM e, g) LEFT JOIN s USING (tau, attr)"""))
+def j14b(spark, d):
+    return repair.domain_sizes(saved(U.predicted(spark, d), "predicted"), [i / 10 for i in range(11)])
+
+
 _SCORED = _PRUNED + """, byv AS (SELECT n_name AS k, r_name AS own, count(*) AS n FROM dirty GROUP BY ALL), byg AS (SELECT k, sum(n) FILTER (WHERE own IS NOT NULL) AS every FROM byv GROUP BY k),
 scored AS (SELECT c.recid, c.attr, c.candidate, 0.5::DOUBLE + CASE WHEN c.candidate IS NOT DISTINCT FROM s.value THEN 0.5 ELSE 0 END + CASE WHEN c.attr = 'r_name' AND every - coalesce(v.n, 0) - CASE WHEN d.r_name <> c.candidate THEN 1 ELSE 0 END > 0 THEN -1.0 ELSE 0 END AS score
  FROM pruned c JOIN small s USING (recid, attr) JOIN dirty d USING (recid) LEFT JOIN byg ON byg.k = d.n_name LEFT JOIN byv v ON v.k = d.n_name AND v.own = c.candidate)"""
