@@ -209,18 +209,21 @@ def detector_matrix(cell: DataFrame, spec: TableSpec, dictionaries: dict[str, Da
     return out if labels is None else out.join(labels.select("recid", "attr", "label"), ["recid", "attr"])
 
 
-#: Detector bundles for kinds of errors.
+#: Detector bundles for kinds of errors.
 PRESETS = {
-    "misfielded": ("ec_type", "ec_lookup", "ec_low_count"),
-    "wrong_type": ("ec_number", "ec_type", "ec_common_length"),
-    "misspelling": ("ec_in_top10", "ec_lookup", "ec_low_count", "ec_common_length"),
+    "misfielded": ("ec_common_length", "ec_low_count", "ec_lookup"),
+    "wrong_type": ("ec_number", "ec_low_count"),
+    "misspelling": ("ec_in_top10", "ec_number", "ec_low_count"),
 }
+#: What stands in the place of a clean value to name the kind of the error.
+ERROR_MARKERS = ("#LV_AMBIGUOUS_DATA#", "#LV_MISFIELDED#", "#LV_UNUSED#", "#LV_MISSING#", "#LV_EXTRANEOUS_DATA#", "#LV_DEFAULT_VALUE#", "#LV_DIFFERENT_WORD_ORDERING#")
 
 
-def preset(matrix: DataFrame, name: str, attributes: list[str] | None = None) -> DataFrame:
-    """The votes of a bundle on chosen attributes."""
+def preset(matrix: DataFrame, detectors: str | tuple[str, ...], attributes: list[str] | None = None) -> DataFrame:
+    """The votes of a bundle (or of given detectors) on chosen attributes."""
     rows = matrix if attributes is None else matrix.where(F.col("attr").isin(*attributes))
-    return rows.select("recid", "attr", "value", *[c for c in ("label",) if c in matrix.columns], *PRESETS[name])
+    names = PRESETS[detectors] if isinstance(detectors, str) else detectors
+    return rows.select("recid", "attr", "value", *[c for c in ("label",) if c in matrix.columns], *names)
 
 
 def coverage(matrix: DataFrame, votes: list[str]) -> DataFrame:
@@ -229,9 +232,22 @@ def coverage(matrix: DataFrame, votes: list[str]) -> DataFrame:
     return one.unpivot([], votes, "detector", "coverage")
 
 
+def class_by_attributes(groups: dict[str, list[str]]) -> Column:
+    """The class of an erroneous cell by its attribute: classes with their attributes; null elsewhere."""
+    out = F.lit(None).cast("string")
+    for name, attributes in groups.items():
+        out = F.when((F.col("label") == 1) & F.col("attr").isin(*attributes), name).otherwise(out)
+    return out
+
+
+def class_by_marker(markers: tuple[str, ...] = ERROR_MARKERS, clean: str = "clean_value") -> Column:
+    """The class of a cell by the marker that stands in its clean value's place; null elsewhere."""
+    return F.when(F.col(clean).isin(*markers), F.col(clean))
+
+
 def coverage_by_class(matrix: DataFrame, votes: list[str], error_class: Column) -> DataFrame:
-    """class and, for each detector, the percentage of the class's cells that it flags as errors."""
-    return matrix.groupBy(error_class.alias("class")).agg(*[F.round(100 * F.avg((F.col(v) == 1).cast("double")), 4).alias(v) for v in votes])
+    """class and, for each detector, the percentage of the class's cells that it flags as errors; cells without a class are left out."""
+    return matrix.where(error_class.isNotNull()).groupBy(error_class.alias("class")).agg(*[F.round(100 * F.avg((F.col(v) == 1).cast("double")), 4).alias(v) for v in votes])
 
 
 # -- numeric outliers ---------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cellwright.functions.numeric import ratio
 from cellwright.operators.detect import with_scores
-from cellwright.operators.votes import min_k
+from cellwright.operators.votes import majority, min_k, union_all
 
 
 def _counts(pred: Column, label: Column, name: str = "") -> list[Column]:
@@ -18,21 +18,21 @@ def _counts(pred: Column, label: Column, name: str = "") -> list[Column]:
     ]
 
 
-def _with_all_scores(counts: DataFrame) -> DataFrame:
+def with_all_scores(counts: DataFrame) -> DataFrame:
     right, every = F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
     return with_scores(counts).withColumns({"accuracy": F.round(ratio(right, every), 4), "wrong": F.col("fp") + F.col("fn")})
 
 
 def evaluate(df: DataFrame, pred: Column, label: str = "label") -> DataFrame:
     """tp, fp, fn, tn, precision, recall, f1, accuracy (4 digits; undefined as 0), wrong."""
-    return _with_all_scores(df.agg(*_counts(pred, F.col(label))))
+    return with_all_scores(df.agg(*_counts(pred, F.col(label))))
 
 
 def evaluate_many(df: DataFrame, predictions: dict[str, Column], label: str = "label") -> DataFrame:
     """``evaluate`` of many predictions over one pass: name and scores."""
     row = df.agg(*[c for i, p in enumerate(predictions.values()) for c in _counts(p, F.col(label), f"_{i}")])
     parts = F.array(*[F.struct(F.lit(n).alias("name"), *[F.col(f"{k}_{i}").alias(k) for k in ("tp", "fp", "fn", "tn")]) for i, n in enumerate(predictions)])
-    return _with_all_scores(row.select(F.explode(parts).alias("r")).select("r.*"))
+    return with_all_scores(row.select(F.explode(parts).alias("r")).select("r.*"))
 
 
 def evaluate_tools(matrix: DataFrame, tools: list[str]) -> DataFrame:
@@ -44,6 +44,12 @@ def evaluate_min_k(matrix: DataFrame, tools: list[str]) -> DataFrame:
     return evaluate_many(matrix, {f"min-{k}": min_k(tools, k) for k in range(1, len(tools) + 1)})
 
 
+def evaluate_votes(votes: DataFrame, detectors: list[str]) -> DataFrame:
+    """Scores of ternary detectors, each on the cells where it answers, then of their majority and their union, in one pass."""
+    alone = {d: F.when(F.col(d) != 0, (F.col(d) == 1).cast("int")) for d in detectors}
+    return evaluate_many(votes, alone | {"majority": (majority(detectors) == 1).cast("int"), "union": (union_all(detectors) == 1).cast("int")})
+
+
 def evaluate_sets(gold: DataFrame, selected: DataFrame) -> DataFrame:
     """tp, fp, fn and scores of two sets of cells (recid, attr)."""
     g, s = gold.select("recid", "attr").distinct().withColumn("g", F.lit(1)), selected.select("recid", "attr").distinct().withColumn("s", F.lit(1))

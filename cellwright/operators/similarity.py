@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright.functions.numeric import ratio, round0, safe_ln
-from cellwright.operators.evaluate import evaluate_tools, vote_patterns
 from cellwright.operators.detect import with_scores
+from cellwright.operators.evaluate import evaluate_tools, vote_patterns, with_all_scores
+from cellwright.session import saved
 
 
 def contingency(matrix: DataFrame, columns: list[str]) -> DataFrame:
@@ -77,6 +79,28 @@ def brute_force(matrix: DataFrame, tools: list[str], least: int = 2) -> DataFram
     return evaluate_tool_sets(matrix, tools, [c for k in range(least, len(tools) + 1) for c in itertools.combinations(tools, k)])
 
 
+def brute_force_naive_bayes(train: DataFrame, test: DataFrame, tools: list[str], least: int = 2, smoothing: float = 1.0) -> DataFrame:
+    """tools, tp, fp, fn and scores on ``test`` of a Bernoulli naive Bayes model for every combination of at least ``least`` tools.
+
+    A tool's evidence does not depend on the others in the combination: one aggregation of ``train`` gives every tool's log
+    odds for a vote and for its absence, and every model is a sum of those over its tools. The models meet the counted vote
+    patterns of ``test``, so work beyond the two passes does not grow with cells.
+    """
+    n = lambda label, c: F.count_if((F.col("label") == 1) == label if c is None else ((F.col("label") == 1) == label) & (F.col(c) == 1)).cast("double")
+    counts = train.agg(n(True, None).alias("n1"), n(False, None).alias("n0"), *[n(y, t).alias(f"{i}_{int(y)}") for i, t in enumerate(tools) for y in (True, False)])
+    share = lambda i, y: (F.col(f"{i}_{y}") + smoothing) / (F.col(f"n{y}") + 2 * smoothing)
+    odds = [F.struct(F.lit(t).alias("tool"), (F.ln(share(i, 1)) - F.ln(share(i, 0))).alias("yes"), (F.ln(1 - share(i, 1)) - F.ln(1 - share(i, 0))).alias("no")) for i, t in enumerate(tools)]
+    model = counts.select(F.map_from_entries(F.transform(F.array(*odds), lambda r: F.struct(r["tool"], r))).alias("odds"), (F.ln(F.col("n1") + smoothing) - F.ln(F.col("n0") + smoothing)).alias("prior"))  # one row
+    sets = [(",".join(c), list(c)) for k in range(least, len(tools) + 1) for c in itertools.combinations(tools, k)]
+    listed = train.sparkSession.createDataFrame(sets, "tools string, members array<string>")
+    votes = F.create_map(*[x for t in tools for x in (F.lit(t), F.col(t).cast("int"))])
+    each = vote_patterns(test, tools).select("label", "n", votes.alias("votes")).join(F.broadcast(listed)).join(F.broadcast(model))
+    evidence = lambda m: F.when(F.element_at("votes", m) == 1, F.element_at("odds", m)["yes"]).otherwise(F.element_at("odds", m)["no"])
+    scored = each.withColumn("flagged", F.aggregate("members", F.lit(0.0), lambda s, m: s + evidence(m)) + F.col("prior") > 0)
+    of = {"tp": F.col("flagged") & (F.col("label") == 1), "fp": F.col("flagged") & (F.col("label") != 1), "fn": ~F.col("flagged") & (F.col("label") == 1)}
+    return with_scores(scored.groupBy("tools").agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(k) for k, c in of.items()]))
+
+
 def best_k(matrix: DataFrame, tools: list[str]) -> DataFrame:
     """The k most precise tools for k = 2 .. n-1; equal precisions by name."""
     ranked = sorted(tool_precision(matrix, tools).collect(), key=lambda r: (-r.precision, r.tool))
@@ -95,6 +119,31 @@ def pmi_tool_sets(matrix: DataFrame, tools: list[str], inverse: bool = False, mo
     return evaluate_tool_sets(matrix, tools, sets)
 
 
+def precision_orderings(matrix: DataFrame, tools: list[str], deltas: tuple[float, ...]) -> DataFrame:
+    """delta, the scores of ``precision_ordering`` at that delta, and its tools in order.
+
+    All rounds of all deltas read the counted vote patterns, at most 2 ** (tools + 1) rows, instead of the cells.
+    """
+    patterns = saved(matrix.groupBy("label", *tools).agg(F.count("*").alias("n_")), "patterns")
+    out = []
+    for delta in deltas:
+        order: list[str] = []
+        while len(order) < len(tools):
+            rest = sorted(set(tools) - set(order))
+            free = reduce(lambda a, b: a & b, [F.col(t) != 1 for t in order], F.lit(True))
+            hits = [F.coalesce(F.sum(F.when(F.col(t) == 1, F.col("n_"))), F.lit(0)).alias(f"n{i}") for i, t in enumerate(rest)]
+            right = [F.coalesce(F.sum(F.when((F.col(t) == 1) & (F.col("label") == 1), F.col("n_"))), F.lit(0)).alias(f"tp{i}") for i, t in enumerate(rest)]
+            counts = patterns.where(free).agg(*hits, *right).first()
+            i = max(range(len(rest)), key=lambda i: counts[f"tp{i}"] / counts[f"n{i}"] if counts[f"n{i}"] else 0.0)
+            if not counts[f"n{i}"] or counts[f"tp{i}"] / counts[f"n{i}"] < delta:
+                break
+            order.append(rest[i])
+        yes = reduce(lambda a, b: a | b, [F.col(t) == 1 for t in order], F.lit(False))
+        names = {"tp": yes & (F.col("label") == 1), "fp": yes & (F.col("label") != 1), "fn": ~yes & (F.col("label") == 1), "tn": ~yes & (F.col("label") != 1)}
+        out.append(patterns.agg(*[F.coalesce(F.sum(F.when(c, F.col("n_"))), F.lit(0)).alias(k) for k, c in names.items()]).select(F.lit(float(delta)).alias("delta"), "*", F.lit(",".join(order)).alias("tools")))
+    return with_all_scores(reduce(DataFrame.unionByName, out))
+
+
 def k_best_path(matrix: DataFrame, tools: list[str]) -> DataFrame:
     """step, tool, hits: begins with the tool of most hits; each next one makes the largest union with the one before."""
     rows = contingency(matrix, tools).collect()  # one row a pair of tools

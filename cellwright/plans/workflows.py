@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwright.operators import models, similarity
+from cellwright.operators.cells import truth_matrix
 from cellwright.operators.evaluate import evaluate_many
 from cellwright.operators.votes import majority, min_k
 
 
-def cluster_and_combine(matrix: DataFrame, train: DataFrame, test: DataFrame, tools: list[str], k: int, kinds: tuple[str, ...] = ("logistic", "naive_bayes", "tree"), seed: int = 1) -> DataFrame:
-    """Tools are clustered, every cluster is bagged, and models over the clusters' votes are evaluated with their union and majority."""
+def cluster_and_combine(matrix: DataFrame, train: DataFrame, test: DataFrame, tools: list[str], k: int, kinds: tuple[str, ...] = ("logistic", "naive_bayes", "tree"), seed: int = 1, on: str = "votes") -> DataFrame:
+    """Tools are clustered, every cluster is bagged, and models over the clusters' votes are evaluated with their union and majority.
+
+    on: tools are alike by their votes (votes), or by where they are right (truth).
+    """
     groups: dict[int, list[str]] = {}
-    for r in similarity.cluster_tools(matrix, tools, k, seed=seed).collect():  # one row a tool
+    for r in similarity.cluster_tools(truth_matrix(matrix, tools) if on == "truth" else matrix, tools, k, seed=seed).collect():  # one row a tool
         groups.setdefault(r.cluster, []).append(r.tool)
     names = []
     a, b = train, test

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cellwright.functions.samples import hash_share_sql
 from cellwright.operators import evaluate as E
 from cellwright.operators import features, models
 from cellwright.plans import workflows
@@ -75,7 +76,14 @@ def _one(kind: str):
     return run
 
 
-query("H8_naive_bayes")(_one("naive_bayes"))
+_TRAIN = hash_share_sql(["recid", "attr"], 30)
+#: A Bernoulli model with smoothing 1, written out.
+_BAYES = U.sql(f""", c AS (SELECT count(*) FILTER (WHERE label = 1)::DOUBLE AS n1, count(*) FILTER (WHERE label <> 1)::DOUBLE AS n0, {', '.join(f"(count(*) FILTER (WHERE label = 1 AND {t} = 1) + 1) / (count(*) FILTER (WHERE label = 1) + 2) AS {t}_1, (count(*) FILTER (WHERE label <> 1 AND {t} = 1) + 1) / (count(*) FILTER (WHERE label <> 1) + 2) AS {t}_0" for t in T)} FROM m WHERE {_TRAIN}),
+p AS (SELECT label, ln((n1 + 1) / (n0 + 1)) + {' + '.join(f"CASE WHEN {t} = 1 THEN ln({t}_1 / {t}_0) ELSE ln((1 - {t}_1) / (1 - {t}_0)) END" for t in T)} > 0 AS flagged FROM m, c WHERE NOT {_TRAIN})
+""" + U.all_scores_sql("SELECT count(*) FILTER (WHERE flagged AND label = 1) AS tp, count(*) FILTER (WHERE flagged AND label <> 1) AS fp, count(*) FILTER (WHERE NOT flagged AND label = 1) AS fn, count(*) FILTER (WHERE NOT flagged AND label <> 1) AS tn FROM p"))
+
+
+query("H8_naive_bayes", _BAYES)(_one("naive_bayes"))
 query("H9_decision_tree")(_one("tree"))
 query("H11_perceptron")(_one("perceptron"))
 
@@ -118,6 +126,12 @@ def f12(spark, d):
     return workflows.cluster_and_combine(train.unionByName(test), train, test, T, 2)
 
 
+@query("F12_cluster_and_combine_on_truth")
+def f12b(spark, d):
+    train, test = _votes(spark, d)
+    return workflows.cluster_and_combine(train.unionByName(test), train, test, T, 2, kinds=("logistic", "naive_bayes", "tree", "perceptron"), on="truth")
+
+
 @query("F13_best_cluster")
 def f13(spark, d):
     train, test = _votes(spark, d)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellwright.functions.samples import hash_share_sql
-from cellwright.operators import dependencies, detect, duplicates, profile, weak
+from cellwright.operators import dependencies, detect, duplicates, evaluate, profile, weak
 from cellwright.operators import cells as C
 from cellwright.queries import customers as U
 from cellwright.queries.registry import query
@@ -316,7 +316,28 @@ def d31(spark, d):
 
 @query("D32_preset_misspelling", U.sql(_MATRIX + " SELECT recid, attr, value, label, ec_in_top10, ec_lookup, ec_low_count, ec_common_length FROM dm WHERE attr IN ('n_name', 'c_mktsegment')"))
 def d32(spark, d):
-    return detect.preset(_matrix(spark, d), "misspelling", ["n_name", "c_mktsegment"])
+    return detect.preset(_matrix(spark, d), ("ec_in_top10", "ec_lookup", "ec_low_count", "ec_common_length"), ["n_name", "c_mktsegment"])
+
+
+def _bundle_sql(name: str, attributes: list[str] | None) -> str:
+    """Each detector where it answers; majority: half of them, rounded down, say error; union: any does."""
+    detectors = detect.PRESETS[name]
+    errors = " + ".join(f"CAST({v} = 1 AS INTEGER)" for v in detectors)
+    rules = [(v, f"{v} = 1", f"{v} = -1") for v in detectors]
+    rules += [(n, f"({errors}) >= {k}", f"({errors}) < {k}") for n, k in (("majority", max(1, len(detectors) // 2)), ("union", 1))]
+    where = "" if attributes is None else f" WHERE attr IN ({', '.join(repr(a) for a in attributes)})"
+    return U.sql(_MATRIX + " " + U.all_scores_sql(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) FILTER (WHERE {y} AND label = 1) AS tp, count(*) FILTER (WHERE {y} AND label <> 1) AS fp, count(*) FILTER (WHERE {no} AND label = 1) AS fn, count(*) FILTER (WHERE {no} AND label <> 1) AS tn FROM dm{where}" for n, y, no in rules)).replace("round((tp + tn) / (tp + tn + fp + fn), 4)", "round(CASE WHEN tp + tn + fp + fn > 0 THEN (tp + tn) / (tp + tn + fp + fn) ELSE 0 END, 4)"))
+
+
+def _bundle(name: str, attributes: list[str] | None):
+    def run(spark, d):
+        return evaluate.evaluate_votes(detect.preset(_matrix(spark, d), name, attributes), list(detect.PRESETS[name]))
+
+    return run
+
+
+for _name, _attributes in (("misfielded", ["n_name", "r_name"]), ("wrong_type", ["c_acctbal"]), ("misspelling", None)):
+    query(f"D32_{_name}_bundle", _bundle_sql(_name, _attributes))(_bundle(_name, _attributes))
 
 
 _COVERED = ["ec_missing", "ec_default", "ec_number", "ec_lookup", "ec_common_length"]
@@ -330,3 +351,21 @@ def d33(spark, d):
 @query("D34_coverage_by_class", U.sql(_MATRIX + " SELECT CASE WHEN label = 0 THEN 'clean' ELSE attr END AS class, " + ", ".join(f"round(100 * avg(CASE WHEN {v} = 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS {v}" for v in _COVERED) + " FROM dm GROUP BY 1"))
 def d34(spark, d):
     return detect.coverage_by_class(_matrix(spark, d), _COVERED, F.when(F.col("label") == 0, "clean").otherwise(F.col("attr")))
+
+
+_GROUPS = {"misfielded": ["n_name", "r_name"], "wrong type": ["c_acctbal"], "missing or default": ["c_mktsegment"]}
+
+
+@query("D34_coverage_by_attributes", U.sql(_MATRIX + " SELECT CASE WHEN attr IN ('n_name', 'r_name') THEN 'misfielded' WHEN attr = 'c_acctbal' THEN 'wrong type' ELSE 'missing or default' END AS class, " + ", ".join(f"round(100 * avg(CASE WHEN {v} = 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS {v}" for v in _COVERED) + " FROM dm WHERE label = 1 AND attr <> 'c_name' GROUP BY 1"))
+def d34b(spark, d):
+    return detect.coverage_by_class(_matrix(spark, d), _COVERED, detect.class_by_attributes(_GROUPS))
+
+
+_MARKER = "CASE WHEN value IS NULL THEN '#LV_MISSING#' WHEN value = 'N/A' THEN '#LV_DEFAULT_VALUE#' WHEN value = '' THEN '#LV_MISFIELDED#' WHEN value LIKE '% USD' THEN '#LV_EXTRANEOUS_DATA#' END"
+
+
+@query("D34_coverage_by_marker", U.sql(_MATRIX + f" SELECT {_MARKER} AS class, " + ", ".join(f"round(100 * avg(CASE WHEN {v} = 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS {v}" for v in _COVERED) + f" FROM dm WHERE {_MARKER} IS NOT NULL GROUP BY 1"))
+def d34c(spark, d):
+    value = F.col("value")
+    marked = F.when(value.isNull(), "#LV_MISSING#").when(value == "N/A", "#LV_DEFAULT_VALUE#").when(value == "", "#LV_MISFIELDED#").when(value.endswith(" USD"), "#LV_EXTRANEOUS_DATA#").otherwise(value)
+    return detect.coverage_by_class(_matrix(spark, d).withColumn("clean_value", marked), _COVERED, detect.class_by_marker())

@@ -10,6 +10,7 @@ from cellwright.operators import evaluate as E
 from cellwright.operators import features, similarity, votes
 from cellwright.queries import customers as U
 from cellwright.queries.registry import query
+from cellwright.session import saved
 
 T = U.TOOLS
 _SUM = " + ".join(T)
@@ -45,13 +46,40 @@ def e5(spark, d):
     return U.matrix(spark, d).select("recid", "attr", votes.max_k(T, 1).alias("vote"))
 
 
-@query("E6_precision_ordering")
+#: One row a vote of each counted pattern.
+_LONG = f""", pat AS (SELECT row_number() OVER () AS pid, * FROM (SELECT label, {', '.join(T)}, count(*) AS n FROM m GROUP BY ALL)),
+v AS ({" UNION ALL ".join(f"SELECT pid, label, n, '{t}' AS tool, {t} AS vote FROM pat" for t in T)}),
+hits AS (SELECT tool, sum(n * vote) AS hits, sum(n * vote * label) AS tp FROM v GROUP BY tool)"""
+
+
+def _ordering_sql(delta: float, first: str = "") -> str:
+    """The greedy order by precision, a round a tool."""
+    rounds = ["c0 AS (SELECT 0 AS step, CAST('' AS VARCHAR) AS tool WHERE false)"]
+    for i in range(len(T)):
+        left = f"SELECT tool, sum(n * vote) AS hits, sum(n * vote * label) AS tp FROM v WHERE tool NOT IN (SELECT tool FROM c{i}) AND pid NOT IN (SELECT pid FROM v JOIN c{i} USING (tool) WHERE vote = 1) GROUP BY tool"
+        best = f"SELECT tool, CASE WHEN hits > 0 THEN tp / hits ELSE 0 END AS p, hits FROM ({left}) ORDER BY p DESC, tool LIMIT 1"
+        rounds.append(f"c{i + 1} AS (SELECT * FROM c{i} UNION ALL SELECT {i + 1}, tool FROM ({best}) WHERE hits > 0 AND p >= {delta} AND (SELECT count(*) FROM c{i}) = {i})")
+    out = f", {', '.join(rounds)}, picked AS (SELECT pid, label, n, max(CASE WHEN tool IN (SELECT tool FROM c{len(T)}) THEN vote ELSE 0 END) AS yes FROM v GROUP BY ALL)"
+    counts = "SELECT " + ", ".join(f"CAST(coalesce(sum(n) FILTER (WHERE yes = {y} AND label {op} 1), 0) AS BIGINT) AS {name}" for name, y, op in (("tp", 1, "="), ("fp", 1, "<>"), ("fn", 0, "="), ("tn", 0, "<>"))) + " FROM picked"
+    return out + f" SELECT {first}o.*, (SELECT coalesce(string_agg(tool, ',' ORDER BY step), '') FROM c{len(T)}) AS tools FROM ({U.all_scores_sql(counts)}) o"
+
+
+@query("E6_precision_ordering", U.sql(_LONG + _ordering_sql(0.3)))
 def e6(spark, d):
     m = U.matrix(spark, d)
     prediction, order = votes.precision_ordering(m, T, 0.3)
     return E.evaluate(m, prediction).withColumn("tools", F.lit(",".join(order)))
 
 
+#: Precisions that a tool has to reach to be taken.
+_DELTAS = (0.1, 0.2, 0.3, 0.4, 0.5)
+
+
+@query("E6_precision_orderings", " UNION ALL ".join(f"(SELECT * FROM ({U.sql(_LONG + _ordering_sql(x, f'{x}::DOUBLE AS delta, '))}))" for x in _DELTAS))
+def e6b(spark, d):
+    return similarity.precision_orderings(U.matrix(spark, d), T, _DELTAS)
+
+
 @query("E7_weighted_vote", U.sql("SELECT recid, attr, CASE WHEN 0.5 * (2 * missing - 1) + 1.5 * (2 * default_value - 1) + 2.0 * (2 * lookup - 1) + 0.25 * (2 * fd - 1) + 4.5 * (2 * number - 1) > 0 THEN 1 ELSE -1 END AS vote FROM m"))
 def e7(spark, d):
     return _ternary(spark, d).select("recid", "attr", votes.weighted_vote(T, [0.5, 1.5, 2.0, 0.25, 4.5]).alias("vote"))
@@ -119,12 +147,37 @@ def f4(spark, d):
     return similarity.pairwise_similarity(C.truth_matrix(U.matrix(spark, d), T), T)
 
 
-@query("F5_pmi_tool_sets")
+#: Sets of tools (set_id, tools, tool) evaluated with min-1 to min-size.
+_EVALUATE_SETS = """, sized AS (SELECT set_id, tools, count(*) AS size FROM sets GROUP BY ALL), voted AS (SELECT set_id, pid, label, n, sum(vote) AS votes FROM sets JOIN v USING (tool) GROUP BY ALL),
+ks AS (SELECT set_id, tools, unnest(range(1, size + 1)) AS k FROM sized)
+""" + U.scores_sql("SELECT tools, CAST(k AS INTEGER) AS k, CAST(coalesce(sum(n) FILTER (WHERE votes >= k AND label = 1), 0) AS BIGINT) AS tp, CAST(coalesce(sum(n) FILTER (WHERE votes >= k AND label <> 1), 0) AS BIGINT) AS fp, CAST(coalesce(sum(n) FILTER (WHERE votes < k AND label = 1), 0) AS BIGINT) AS fn FROM ks JOIN voted USING (set_id) GROUP BY tools, k")
+
+
+def _pmi_sets_sql(order: str) -> str:
+    return f""", pairs AS (SELECT a, b, row_number() OVER (ORDER BY pmi {order}, a, b) AS rk FROM (SELECT a, b, {_PMI} AS pmi FROM ({_contingency(_PAIRS)}))),
+members AS (SELECT DISTINCT i, tool FROM (SELECT unnest(range(1, 6)) AS i) JOIN (SELECT rk, unnest([a, b]) AS tool FROM pairs) ON rk <= i),
+named AS (SELECT i, string_agg(tool, ',' ORDER BY tool) AS tools FROM members GROUP BY i), sets AS (SELECT min(i) OVER (PARTITION BY tools) AS set_id, tools, tool FROM named JOIN members USING (i) QUALIFY i = min(i) OVER (PARTITION BY tools))"""
+
+
+@query("F5_pmi_tool_sets", U.sql(_LONG + _pmi_sets_sql("DESC") + _EVALUATE_SETS))
 def f5(spark, d):
     return similarity.pmi_tool_sets(U.matrix(spark, d), T)
 
 
-@query("F6_k_best_path")
+@query("F5_inverse_pmi_tool_sets", U.sql(_LONG + _pmi_sets_sql("ASC") + _EVALUATE_SETS))
+def f5b(spark, d):
+    return similarity.pmi_tool_sets(U.matrix(spark, d), T, inverse=True)
+
+
+def _path_sql() -> str:
+    rounds = ["p1 AS (SELECT 1 AS step, tool, CAST(hits AS BIGINT) AS hits FROM hits ORDER BY hits DESC, tool LIMIT 1)"]
+    for i in range(1, len(T)):
+        rounds.append(f"p{i + 1} AS (SELECT * FROM p{i} UNION ALL (SELECT {i + 1}, u.b, u.n_union FROM p{i} JOIN u ON u.a = p{i}.tool WHERE step = {i} AND u.b NOT IN (SELECT tool FROM p{i}) ORDER BY u.n_union DESC, u.b LIMIT 1))")
+    union = f"SELECT a, b, CAST(n_a + n_b - n_ab AS BIGINT) AS n_union FROM ({_contingency(_PAIRS)})"
+    return f", u AS ({union} UNION ALL SELECT b, a, n_union FROM ({union})), {', '.join(rounds)} SELECT step, tool, hits FROM p{len(T)}"
+
+
+@query("F6_k_best_path", U.sql(_LONG + _path_sql()))
 def f6(spark, d):
     return similarity.k_best_path(U.matrix(spark, d), T)
 
@@ -154,7 +207,20 @@ def f8(spark, d):
     return similarity.brute_force(U.matrix(spark, d), T)
 
 
-@query("F9_best_k")
+@query("F8_brute_force_naive_bayes", U.sql(_LONG + f""", tr AS (SELECT * FROM m WHERE {hash_share_sql(['recid', 'attr'], 30)}), te AS (SELECT row_number() OVER () AS pid, label, {', '.join(T)}, count(*) AS n FROM m WHERE NOT {hash_share_sql(['recid', 'attr'], 30)} GROUP BY ALL),
+c AS (SELECT count(*) FILTER (WHERE label = 1)::DOUBLE AS n1, count(*) FILTER (WHERE label <> 1)::DOUBLE AS n0, {', '.join(f"count(*) FILTER (WHERE label = 1 AND {t} = 1)::DOUBLE AS {t}_1, count(*) FILTER (WHERE label <> 1 AND {t} = 1)::DOUBLE AS {t}_0" for t in T)} FROM tr),
+w AS ({" UNION ALL ".join(f"SELECT '{t}' AS tool, ln(({t}_1 + 1) / (n1 + 2)) - ln(({t}_0 + 1) / (n0 + 2)) AS yes, ln(1 - ({t}_1 + 1) / (n1 + 2)) - ln(1 - ({t}_0 + 1) / (n0 + 2)) AS no FROM c" for t in T)}),
+long AS ({" UNION ALL ".join(f"SELECT pid, label, n, '{t}' AS tool, {t} AS vote FROM te" for t in T)}),
+sets AS (SELECT tools, unnest(string_split(tools, ',')) AS tool FROM (SELECT unnest([{', '.join("'" + ','.join(x) + "'" for x in _combinations())}]) AS tools)),
+s AS (SELECT tools, pid, label, n, sum(CASE WHEN vote = 1 THEN yes ELSE no END) + (SELECT ln(n1 + 1) - ln(n0 + 1) FROM c) > 0 AS flagged FROM sets JOIN w USING (tool) JOIN long USING (tool) GROUP BY ALL)
+""" + U.scores_sql("SELECT tools, CAST(coalesce(sum(n) FILTER (WHERE flagged AND label = 1), 0) AS BIGINT) AS tp, CAST(coalesce(sum(n) FILTER (WHERE flagged AND label <> 1), 0) AS BIGINT) AS fp, CAST(coalesce(sum(n) FILTER (WHERE NOT flagged AND label = 1), 0) AS BIGINT) AS fn FROM s GROUP BY tools")))
+def f8b(spark, d):
+    train, test = features.split(saved(U.matrix(spark, d), "matrix"), 30)
+    return similarity.brute_force_naive_bayes(train, test, T)
+
+
+@query("F9_best_k", U.sql(_LONG + """, by_precision AS (SELECT tool, row_number() OVER (ORDER BY round(CASE WHEN hits > 0 THEN tp / hits ELSE 0 END, 3) DESC, tool) AS rk FROM hits),
+sets AS (SELECT i AS set_id, string_agg(tool, ',' ORDER BY rk) OVER (PARTITION BY i ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tools, tool FROM (SELECT unnest(range(2, 5)) AS i) JOIN by_precision ON rk <= i)""" + _EVALUATE_SETS))
 def f9(spark, d):
     return similarity.best_k(U.matrix(spark, d), T)
 
