@@ -11,10 +11,11 @@ from cellwright.operators.detect import with_scores
 from cellwright.operators.votes import majority, min_k, union_all
 
 
-def _counts(pred: Column, label: Column, name: str = "") -> list[Column]:
+def _counts(pred: Column, label: Column, name: str = "", weight: str | None = None) -> list[Column]:
+    count = lambda c: F.count_if(c) if weight is None else F.coalesce(F.sum(F.when(c, F.col(weight))), F.lit(0))
     return [
-        F.count_if((pred == 1) & (label == 1)).alias(f"tp{name}"), F.count_if((pred == 1) & (label != 1)).alias(f"fp{name}"),
-        F.count_if((pred != 1) & (label == 1)).alias(f"fn{name}"), F.count_if((pred != 1) & (label != 1)).alias(f"tn{name}"),
+        count((pred == 1) & (label == 1)).alias(f"tp{name}"), count((pred == 1) & (label != 1)).alias(f"fp{name}"),
+        count((pred != 1) & (label == 1)).alias(f"fn{name}"), count((pred != 1) & (label != 1)).alias(f"tn{name}"),
     ]
 
 
@@ -28,9 +29,9 @@ def evaluate(df: DataFrame, pred: Column, label: str = "label") -> DataFrame:
     return with_all_scores(df.agg(*_counts(pred, F.col(label))))
 
 
-def evaluate_many(df: DataFrame, predictions: dict[str, Column], label: str = "label") -> DataFrame:
-    """``evaluate`` of many predictions over one pass: name and scores."""
-    row = df.agg(*[c for i, p in enumerate(predictions.values()) for c in _counts(p, F.col(label), f"_{i}")])
+def evaluate_many(df: DataFrame, predictions: dict[str, Column], label: str = "label", weight: str | None = None) -> DataFrame:
+    """``evaluate`` of many predictions over one pass: name and scores. A row counts ``weight`` times, if that is given."""
+    row = df.agg(*[c for i, p in enumerate(predictions.values()) for c in _counts(p, F.col(label), f"_{i}", weight)])
     parts = F.array(*[F.struct(F.lit(n).alias("name"), *[F.col(f"{k}_{i}").alias(k) for k in ("tp", "fp", "fn", "tn")]) for i, n in enumerate(predictions)])
     return with_all_scores(row.select(F.explode(parts).alias("r")).select("r.*"))
 

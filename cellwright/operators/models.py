@@ -61,6 +61,7 @@ def classifier(kind: str, n_features: int, **params):
 
 
 def fit(train: DataFrame, kind: str, columns: list[str], **params) -> PipelineModel:
+    """A fitted model; ``weightCol`` among ``params`` lets a row count as many times (not for perceptrons)."""
     return Pipeline(stages=[_assembler(columns), classifier(kind, len(columns), **params)]).fit(train.withColumn("label", F.col("label").cast("double")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cellwright.functions.samples import hash_share_sql
 from cellwright.operators import evaluate as E
 from cellwright.operators import features, models
-from cellwright.plans import workflows
+from cellwright.plans import patterns, workflows
 from cellwright.queries import customers as U
 from cellwright.queries.registry import query
 from cellwright.session import saved
@@ -37,6 +37,16 @@ def h2(spark, d):
     return E.evaluate(models.bagging_on_votes(*_votes(spark, d), T), F.col("bagging"))
 
 
+@query("H2_models_on_patterns")
+def h2b(spark, d):
+    return patterns.evaluate_models(*_votes(spark, d), T)
+
+
+@query("F8_brute_force_logistic")
+def f8(spark, d):
+    return patterns.brute_force(*_votes(spark, d), T)
+
+
 @query("H3_stacking")
 def h3(spark, d):
     return E.evaluate(models.stacking(*_features(spark, d), COLUMNS), F.col("stacking"))

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellwright.functions.samples import hash_share
-from cellwright.operators import detect, evaluate, features, models, profile, votes
-from cellwright.plans import workflows
+from cellwright.operators import detect, evaluate, features, models, profile, similarity, votes
+from cellwright.plans import patterns, workflows
 
 TOOLS = ["good", "fair", "shy", "noise"]
 
@@ -111,3 +111,48 @@ def test_frequent_values_meet_no_table_of_counts(spark, monkeypatch):
     few = {tuple(r) for r in detect.lookup(cells, {"a": dictionary}).groupBy("ec_lookup").count().collect()}
     monkeypatch.setattr(detect, "DICTIONARY_ROWS", 1)
     assert few == {tuple(r) for r in detect.lookup(cells, {"a": dictionary}).groupBy("ec_lookup").count().collect()}
+
+
+def test_models_on_patterns_are_those_on_cells(matrix, halves):
+    """Counted patterns give the scores that training on cells gives."""
+    train, test = halves
+    got = {r.name: r for r in patterns.evaluate_models(train, test, TOOLS).collect()}
+    want = {"bagging": f1(models.bagging_on_votes(train, test, TOOLS), F.col("bagging"))}
+    for kind in ("tree", "naive_bayes", "logistic"):
+        want[kind] = f1(models.predict(models.fit(train, kind, TOOLS), test, "p"), F.col("p"))
+    want["min-2"] = f1(test, votes.min_k(TOOLS, 2))
+    assert {k: float(got[k].f1) for k in want} == want
+    assert got["bagging"].tp + got["bagging"].fp + got["bagging"].fn + got["bagging"].tn == test.count()
+
+
+def test_brute_force_of_models(halves):
+    train, test = halves
+    three = TOOLS[:3]
+    got = {r.name: float(r.f1) for r in patterns.brute_force(train, test, three).collect()}
+    assert set(got) == {"good,fair", "good,shy", "fair,shy", "good,fair,shy"}
+    assert got["good,fair,shy"] == f1(models.predict(models.fit(train, "logistic", three), test, "p"), F.col("p"))
+    bayes = {r.tools: float(r.f1) for r in similarity.brute_force_naive_bayes(train, test, three).collect()}
+    for name in got:
+        assert bayes[name] == f1(models.predict(models.fit(train, "naive_bayes", name.split(",")), test, "p"), F.col("p"))
+
+
+def test_clusters_on_patterns(halves):
+    train, test = halves
+    got = {r.name: float(r.f1) for r in patterns.clusters(train, test, [["good", "noise"], ["fair", "shy"]]).collect()}
+    assert set(got) == {"union", "majority", "logistic", "naive_bayes", "tree"} and got["tree"] > 0.85
+    a = models.bagging_on_votes(train, test, ["good", "noise"], "c0")
+    assert got["union"] == f1(models.bagging_on_votes(train, a, ["fair", "shy"], "c1"), F.greatest("c0", "c1"))
+
+
+def test_too_many_patterns_are_refused(matrix, monkeypatch):
+    monkeypatch.setattr(patterns, "MOST", 3)
+    with pytest.raises(ValueError):
+        patterns.counted(matrix, TOOLS)
+
+
+def test_orderings_by_delta(matrix):
+    """From counted patterns the same order and scores as from cells."""
+    for r in similarity.precision_orderings(matrix, TOOLS, (0.2, 0.9, 1.1)).collect():
+        prediction, order = votes.precision_ordering(matrix, TOOLS, r.delta)
+        want = evaluate.evaluate(matrix, prediction).first()
+        assert (r.tools, r.tp, r.fp, r.fn, r.tn, r.f1) == (",".join(order), want.tp, want.fp, want.fn, want.tn, want.f1)
