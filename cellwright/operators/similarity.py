@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cellwright.functions.numeric import ratio, round0, safe_ln
 from cellwright.operators.detect import with_scores
 from cellwright.operators.evaluate import evaluate_tools, vote_patterns, with_all_scores
+from cellwright.operators.votes import PATTERNS
 from cellwright.session import saved
 
 
@@ -61,22 +62,36 @@ def tool_precision(matrix: DataFrame, tools: list[str]) -> DataFrame:
     return evaluate_tools(matrix, tools).select(F.col("name").alias("tool"), F.round(ratio(F.col("tp"), F.col("tp") + F.col("fp")), 3).alias("precision"))
 
 
-def evaluate_tool_sets(matrix: DataFrame, tools: list[str], sets: list[tuple[str, ...]]) -> DataFrame:
-    """tools, k, tp, fp, fn and scores: each set with min-1 (union) to min-size, from the counted vote patterns alone."""
-    patterns = vote_patterns(matrix, tools)
-    spark = matrix.sparkSession
-    listed = spark.createDataFrame([(",".join(s), list(s), k) for s in sets for k in range(1, len(s) + 1)], "tools string, members array<string>, k int")  # a list of tool sets
+def tool_subsets(spark: SparkSession, tools: list[str], least: int) -> DataFrame:
+    """tools (comma-separated), members: every combination of at least ``least`` tools, numbered by Spark; nothing is listed on the driver."""
+    chosen = F.filter(F.array(*[F.when(F.getbit("id", F.lit(i)) == 1, F.lit(t)) for i, t in enumerate(tools)]), lambda t: t.isNotNull())
+    return spark.range(1, 1 << len(tools)).where(F.bit_count("id") >= least).select(chosen.alias("members")).select(F.array_join("members", ",").alias("tools"), "members")
+
+
+def evaluate_subsets(matrix: DataFrame, tools: list[str], subsets: DataFrame) -> DataFrame:
+    """tools, k, tp, fp, fn and scores of every set of ``subsets`` (tools, members) with min-1 (union) to min-size.
+
+    The sets meet the counted vote patterns alone. Up to PATTERNS patterns are broadcast; there are at most 2 ** (tools + 1).
+    """
+    counted = saved(vote_patterns(matrix, tools), "patterns")
     votes = F.create_map(*[x for t in tools for x in (F.lit(t), F.col(t).cast("int"))])
-    small = patterns.select("label", "n", votes.alias("votes"))  # at most 2 ** (tools + 1) rows
-    yes = F.aggregate("members", F.lit(0), lambda s, m: s + F.when(F.element_at("votes", m) == 1, 1).otherwise(0)) >= F.col("k")
-    each = small.join(F.broadcast(listed)).withColumn("yes", yes)
-    counts = each.groupBy("tools", "k").agg(*[F.coalesce(F.sum(F.when(w, F.col("n"))), F.lit(0)).alias(name) for name, w in (("tp", F.col("yes") & (F.col("label") == 1)), ("fp", F.col("yes") & (F.col("label") != 1)), ("fn", ~F.col("yes") & (F.col("label") == 1)))])
+    small = counted.select("label", "n", votes.alias("votes"))
+    small = F.broadcast(small) if counted.count() <= PATTERNS else small
+    said = F.aggregate("members", F.lit(0), lambda s, m: s + F.when(F.element_at("votes", m) == 1, 1).otherwise(0))
+    each = subsets.join(small).withColumn("said", said).groupBy("tools", "said", F.size("members").alias("size")).agg(*[F.coalesce(F.sum(F.when(w, F.col("n"))), F.lit(0)).alias(name) for name, w in (("wrong", F.col("label") == 1), ("right", F.col("label") != 1))])
+    by_k = each.withColumn("k", F.explode(F.sequence(F.lit(1), "size")))
+    counts = by_k.groupBy("tools", "k").agg(*[F.coalesce(F.sum(F.when(w, F.col(c))), F.lit(0)).alias(name) for name, c, w in (("tp", "wrong", F.col("said") >= F.col("k")), ("fp", "right", F.col("said") >= F.col("k")), ("fn", "wrong", F.col("said") < F.col("k")))])
     return with_scores(counts)
 
 
+def evaluate_tool_sets(matrix: DataFrame, tools: list[str], sets: list[tuple[str, ...]]) -> DataFrame:
+    """``evaluate_subsets`` of a few sets."""
+    return evaluate_subsets(matrix, tools, matrix.sparkSession.createDataFrame([(",".join(s), list(s)) for s in sets], "tools string, members array<string>"))
+
+
 def brute_force(matrix: DataFrame, tools: list[str], least: int = 2) -> DataFrame:
     """Every combination of at least ``least`` tools."""
-    return evaluate_tool_sets(matrix, tools, [c for k in range(least, len(tools) + 1) for c in itertools.combinations(tools, k)])
+    return evaluate_subsets(matrix, tools, tool_subsets(matrix.sparkSession, tools, least))
 
 
 def brute_force_naive_bayes(train: DataFrame, test: DataFrame, tools: list[str], least: int = 2, smoothing: float = 1.0) -> DataFrame:
@@ -91,10 +106,11 @@ def brute_force_naive_bayes(train: DataFrame, test: DataFrame, tools: list[str],
     share = lambda i, y: (F.col(f"{i}_{y}") + smoothing) / (F.col(f"n{y}") + 2 * smoothing)
     odds = [F.struct(F.lit(t).alias("tool"), (F.ln(share(i, 1)) - F.ln(share(i, 0))).alias("yes"), (F.ln(1 - share(i, 1)) - F.ln(1 - share(i, 0))).alias("no")) for i, t in enumerate(tools)]
     model = counts.select(F.map_from_entries(F.transform(F.array(*odds), lambda r: F.struct(r["tool"], r))).alias("odds"), (F.ln(F.col("n1") + smoothing) - F.ln(F.col("n0") + smoothing)).alias("prior"))  # one row
-    sets = [(",".join(c), list(c)) for k in range(least, len(tools) + 1) for c in itertools.combinations(tools, k)]
-    listed = train.sparkSession.createDataFrame(sets, "tools string, members array<string>")
     votes = F.create_map(*[x for t in tools for x in (F.lit(t), F.col(t).cast("int"))])
-    each = vote_patterns(test, tools).select("label", "n", votes.alias("votes")).join(F.broadcast(listed)).join(F.broadcast(model))
+    counted = saved(vote_patterns(test, tools), "patterns")
+    small = counted.select("label", "n", votes.alias("votes"))
+    small = F.broadcast(small) if counted.count() <= PATTERNS else small
+    each = tool_subsets(train.sparkSession, tools, least).join(small).join(F.broadcast(model))
     evidence = lambda m: F.when(F.element_at("votes", m) == 1, F.element_at("odds", m)["yes"]).otherwise(F.element_at("odds", m)["no"])
     scored = each.withColumn("flagged", F.aggregate("members", F.lit(0.0), lambda s, m: s + evidence(m)) + F.col("prior") > 0)
     of = {"tp": F.col("flagged") & (F.col("label") == 1), "fp": F.col("flagged") & (F.col("label") != 1), "fn": ~F.col("flagged") & (F.col("label") == 1)}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cellwright.functions.samples import hash_share
 from cellwright.operators import models
 from cellwright.operators.evaluate import evaluate_many
+from cellwright.operators.similarity import tool_precision
 from cellwright.operators.votes import majority, min_k
 from cellwright.session import saved
 
@@ -65,6 +66,13 @@ def brute_force(train: DataFrame, test: DataFrame, tools: list[str], kind: str =
     return evaluate_many(out, {name: F.col(f"p{i}") for i, name in enumerate(names, 1)}, weight="n")
 
 
+def best_k(train: DataFrame, test: DataFrame, tools: list[str], kinds: tuple[str, ...] = ("tree", "naive_bayes", "logistic")) -> DataFrame:
+    """k, tools, name and scores on ``test`` of bagging and models over the k tools that are most precise on ``train``, k = 2 .. n-1."""
+    ranked = [r.tool for r in tool_precision(train, tools).orderBy(F.desc("precision"), "tool").collect()]  # one row a tool
+    out = [evaluate_models(train, test, ranked[:k], kinds).select(F.lit(k).alias("k"), F.lit(",".join(ranked[:k])).alias("tools"), "*") for k in range(2, len(tools))]
+    return reduce(DataFrame.unionByName, out)
+
+
 def clusters(train: DataFrame, test: DataFrame, groups: list[list[str]], kinds: tuple[str, ...] = ("logistic", "naive_bayes", "tree")) -> DataFrame:
     """name and scores on ``test``: every group of tools is bagged, and models over the groups' votes are evaluated with their union and majority."""
     tools = sorted({t for g in groups for t in g})

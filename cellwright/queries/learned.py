@@ -47,6 +47,11 @@ def f8(spark, d):
     return patterns.brute_force(*_votes(spark, d), T)
 
 
+@query("F9_best_k_models")
+def f9(spark, d):
+    return patterns.best_k(*_votes(spark, d), T)
+
+
 @query("H3_stacking")
 def h3(spark, d):
     return E.evaluate(models.stacking(*_features(spark, d), COLUMNS), F.col("stacking"))

@@ -248,12 +248,46 @@ def l1(spark, d):
     return mining.association_rules(U.dirty_cells(spark, d), 0.02, 0.5)
 
 
+#: All sets of a record's items, counted; a rule needs a frequent set and the share of its records among those of the rest.
+_RULES = """, items AS (SELECT recid, item, row_number() OVER (PARTITION BY recid ORDER BY item) AS i FROM (SELECT DISTINCT recid, attr || '=' || value AS item FROM cells WHERE value IS NOT NULL)),
+total AS (SELECT count(DISTINCT recid) AS every FROM items),
+subsets AS (SELECT recid, bits, list(item ORDER BY item) AS s FROM items, (SELECT unnest(range(1, 32)) AS bits) WHERE (bits >> (i - 1)) & 1 = 1 GROUP BY recid, bits HAVING count(*) = bit_count(bits)),
+freq AS (SELECT s, count(*) AS n FROM subsets GROUP BY s HAVING count(*) >= (SELECT ceil(0.02 * every) FROM total)),
+rules AS (SELECT s, n, unnest(s) AS c FROM freq WHERE len(s) > 1), split AS (SELECT s, n, c, list(m ORDER BY m) AS rest FROM (SELECT *, unnest(s) AS m FROM rules) WHERE m <> c GROUP BY ALL)
+SELECT array_to_string(rest, '|') AS antecedent, c AS consequent, round(r.n / a.n, 9) AS confidence, round(r.n / a.n / (o.n / every), 9) AS lift, round(r.n / every, 9) AS support
+FROM split r JOIN freq a ON a.s = rest JOIN freq o ON o.s = [c], total WHERE r.n / a.n >= 0.5"""
+
+
+@query("L1_rules_listed", U.sql(_RULES))
+def l1b(spark, d):
+    rules = mining.association_rules(U.dirty_cells(spark, d), 0.02, 0.5)
+    return rules.select(F.array_join(F.array_sort("antecedent"), "|").alias("antecedent"), F.array_join("consequent", "|").alias("consequent"), *[F.round(c, 9).alias(c) for c in ("confidence", "lift", "support")])
+
+
 @query("L2_frequent_sequences")
 def l2(spark, d):
     return mining.frequent_sequences(table(spark, d, "events"), "user_id", "ts", "event_type", 0.4, 3)
 
 
-@query("L3_near_duplicates")
+#: The earliest place at which each sequence of up to three items ends, by user.
+_SEQUENCES = """WITH s AS (SELECT user_id, event_type AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS place FROM events),
+p1 AS (SELECT user_id, item AS sequence, min(place) AS place FROM s GROUP BY ALL),
+p2 AS (SELECT user_id, sequence || ' > ' || item AS sequence, min(s.place) AS place FROM p1 JOIN s USING (user_id) WHERE s.place > p1.place GROUP BY ALL),
+p3 AS (SELECT user_id, sequence || ' > ' || item AS sequence, min(s.place) AS place FROM p2 JOIN s USING (user_id) WHERE s.place > p2.place GROUP BY ALL)
+SELECT sequence, count(*) AS freq FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) GROUP BY sequence HAVING count(*) >= (SELECT ceil(0.4 * count(DISTINCT user_id)) FROM events)"""
+
+
+@query("L2_sequences_listed", _SEQUENCES)
+def l2b(spark, d):
+    found = mining.frequent_sequences(table(spark, d, "events"), "user_id", "ts", "event_type", 0.4, 3)
+    return found.select(F.array_join(F.flatten("sequence"), " > ").alias("sequence"), "freq")
+
+
+@query("L3_near_duplicates", """WITH t AS (SELECT p_partkey AS key, lower(concat_ws(' ', p_name, p_brand, p_type)) AS t FROM part), one AS (SELECT t, min(key) AS id FROM t GROUP BY t),
+g AS (SELECT DISTINCT id, CASE WHEN length(t) < 3 THEN t ELSE substr(t, CAST(i AS INTEGER), 3) END AS gram FROM (SELECT id, t, unnest(range(1, greatest(length(t) - 2, 1) + 1)) AS i FROM one)), size AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+c AS (SELECT x.id AS a, y.id AS b, count(*) AS common FROM g x JOIN g y ON x.gram = y.gram AND x.id < y.id GROUP BY ALL),
+p AS (SELECT a, b, 1 - common / (x.n + y.n - common) AS distance FROM c JOIN size x ON x.id = a JOIN size y ON y.id = b)
+SELECT a, b, distance FROM p WHERE distance < 0.2 UNION ALL SELECT id, key, 0.0::DOUBLE FROM t JOIN one USING (t) WHERE key <> id""")
 def l3(spark, d):
     return mining.near_duplicates(table(spark, d, "part").withColumn("t", F.concat_ws(" ", "p_name", "p_brand", "p_type")), "p_partkey", "t", 0.2)
 
