@@ -94,8 +94,8 @@ def brute_force(matrix: DataFrame, tools: list[str], least: int = 2) -> DataFram
     return evaluate_subsets(matrix, tools, tool_subsets(matrix.sparkSession, tools, least))
 
 
-def brute_force_naive_bayes(train: DataFrame, test: DataFrame, tools: list[str], least: int = 2, smoothing: float = 1.0) -> DataFrame:
-    """tools, tp, fp, fn and scores on ``test`` of a Bernoulli naive Bayes model for every combination of at least ``least`` tools.
+def naive_bayes_subsets(train: DataFrame, test: DataFrame, tools: list[str], subsets: DataFrame, smoothing: float = 1.0) -> DataFrame:
+    """tools, tp, fp, fn and scores on ``test`` of a Bernoulli naive Bayes model for every set of ``subsets`` (tools, members).
 
     A tool's evidence does not depend on the others in the combination: one aggregation of ``train`` gives every tool's log
     odds for a vote and for its absence, and every model is a sum of those over its tools. The models meet the counted vote
@@ -110,13 +110,18 @@ def brute_force_naive_bayes(train: DataFrame, test: DataFrame, tools: list[str],
     counted = saved(vote_patterns(test, tools), "patterns")
     small = counted.select("label", "n", votes.alias("votes"))
     small = F.broadcast(small) if counted.count() <= PATTERNS else small
-    each = tool_subsets(train.sparkSession, tools, least).join(small).join(F.broadcast(model))
+    each = subsets.join(small).join(F.broadcast(model))
     evidence = lambda m: F.when(F.element_at("votes", m) == 1, F.element_at("odds", m)["yes"]).otherwise(F.element_at("odds", m)["no"])
     scored = each.withColumn("flagged", F.aggregate("members", F.lit(0.0), lambda s, m: s + evidence(m)) + F.col("prior") > 0)
     of = {"tp": F.col("flagged") & (F.col("label") == 1), "fp": F.col("flagged") & (F.col("label") != 1), "fn": ~F.col("flagged") & (F.col("label") == 1)}
     return with_scores(scored.groupBy("tools").agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(k) for k, c in of.items()]))
 
 
+def brute_force_naive_bayes(train: DataFrame, test: DataFrame, tools: list[str], least: int = 2) -> DataFrame:
+    """``naive_bayes_subsets`` of every combination of at least ``least`` tools."""
+    return naive_bayes_subsets(train, test, tools, tool_subsets(train.sparkSession, tools, least))
+
+
 def best_k(matrix: DataFrame, tools: list[str]) -> DataFrame:
     """The k most precise tools for k = 2 .. n-1; equal precisions by name."""
     ranked = sorted(tool_precision(matrix, tools).collect(), key=lambda r: (-r.precision, r.tool))

@@ -53,17 +53,19 @@ def evaluate_models(train: DataFrame, test: DataFrame, tools: list[str], kinds:
     return evaluate_many(out, {"bagging": F.col("bagging"), **{k: F.col(k) for k in kinds}, **{f"min-{k}": min_k(tools, k) for k in range(1, len(tools) + 1)}}, weight="n")
 
 
+def models_of_sets(train: DataFrame, test: DataFrame, tools: list[str], sets: list[tuple[str, ...]], kind: str = "logistic") -> DataFrame:
+    """name (the tools of a set) and scores on ``test`` of a model of ``kind`` for each of a few sets of tools."""
+    seen, out = counted(train, tools), counted(test, tools)
+    for i, members in enumerate(sets, 1):
+        own = seen.groupBy("label", *members).agg(F.sum("n").alias("n")).coalesce(1)
+        marked = models.predict(models.fit(own, kind, list(members), weightCol="n"), out, f"p{i}")
+        out = saved(marked, "predicted") if i % 8 == 0 else marked  # plans stay short
+    return evaluate_many(out, {",".join(s): F.col(f"p{i}") for i, s in enumerate(sets, 1)}, weight="n")
+
+
 def brute_force(train: DataFrame, test: DataFrame, tools: list[str], kind: str = "logistic", least: int = 2) -> DataFrame:
-    """name (the tools of a combination) and scores on ``test`` of a model of ``kind`` for every combination of at least ``least`` tools."""
-    seen, out, names = counted(train, tools), counted(test, tools), []
-    for k in range(least, len(tools) + 1):
-        for members in itertools.combinations(tools, k):
-            name = ",".join(members)
-            names.append(name)
-            own = seen.groupBy("label", *members).agg(F.sum("n").alias("n")).coalesce(1)
-            marked = models.predict(models.fit(own, kind, list(members), weightCol="n"), out, f"p{len(names)}")
-            out = saved(marked, "predicted") if len(names) % 8 == 0 else marked  # plans stay short
-    return evaluate_many(out, {name: F.col(f"p{i}") for i, name in enumerate(names, 1)}, weight="n")
+    """``models_of_sets`` of every combination of at least ``least`` tools."""
+    return models_of_sets(train, test, tools, [c for k in range(least, len(tools) + 1) for c in itertools.combinations(tools, k)], kind)
 
 
 def best_k(train: DataFrame, test: DataFrame, tools: list[str], kinds: tuple[str, ...] = ("tree", "naive_bayes", "logistic")) -> DataFrame:

@@ -153,6 +153,40 @@ def f13(spark, d):
     return workflows.best_cluster(train.unionByName(test), train, test, T, 2)
 
 
+def _set_sql() -> str:
+    """Sets of the best tools by three scores, evaluated on the cells that are not for training."""
+    from cellwright.queries import votes as V
+
+    ratio = lambda a, b: f"CASE WHEN {b} <> 0 THEN {a} / ({b}) ELSE 0 END"
+    p, r = ratio("tp", "hits"), ratio("tp", "every")
+    scores = f"SELECT tool, unnest(['precision', 'recall', 'f1']) AS algorithm, unnest([round({p}, 4), round({r}, 4), round(CASE WHEN tp > 0 THEN 2 * ({p}) * ({r}) / (({p}) + ({r})) ELSE 0 END, 4)]) AS score FROM hits, (SELECT sum(label) AS every FROM m)"
+    number = "CASE tool " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(T)) + " END"
+    test = "(SELECT * FROM m WHERE NOT " + _TRAIN + ")"
+    bayes = " + ".join(f"CASE WHEN NOT list_contains(members, '{t}') THEN 0 WHEN {t} = 1 THEN ln({t}_1 / {t}_0) ELSE ln((1 - {t}_1) / (1 - {t}_0)) END" for t in T)
+    said = " + ".join(f"CASE WHEN list_contains(members, '{t}') THEN {t} ELSE 0 END" for t in T)
+    counts = lambda yes: f"SELECT tools, count(*) FILTER (WHERE {yes} AND label = 1) AS tp, count(*) FILTER (WHERE {yes} AND label <> 1) AS fp, count(*) FILTER (WHERE NOT {yes} AND label = 1) AS fn FROM marked GROUP BY tools"
+    parts = " JOIN ".join(f"""(SELECT tools, "precision" AS {n}_precision, recall AS {n}_recall, f1 AS {n}_f1 FROM ({U.scores_sql(counts(y))})) {n}_ USING (tools)""" for n, y in (("union", "(said >= 1)"), ("min_size", "(said >= size)"), ("bayes", "flagged")))
+    return V._LONG + f""", c AS (SELECT count(*) FILTER (WHERE label = 1)::DOUBLE AS n1, count(*) FILTER (WHERE label <> 1)::DOUBLE AS n0, {', '.join(f"(count(*) FILTER (WHERE label = 1 AND {t} = 1) + 1) / (count(*) FILTER (WHERE label = 1) + 2) AS {t}_1, (count(*) FILTER (WHERE label <> 1 AND {t} = 1) + 1) / (count(*) FILTER (WHERE label <> 1) + 2) AS {t}_0" for t in T)} FROM m WHERE {_TRAIN}),
+scored AS (SELECT *, {number} AS nr, row_number() OVER (PARTITION BY algorithm ORDER BY score DESC, {number}) AS rk FROM ({scores})),
+prefixes AS (SELECT DISTINCT list(tool ORDER BY nr) AS members FROM scored JOIN (SELECT unnest(range(2, {len(T) + 1})) AS k) ON rk <= k GROUP BY algorithm, k),
+sets_ AS (SELECT array_to_string(members, ',') AS tools, members, CAST(len(members) AS INTEGER) AS size FROM prefixes),
+marked AS (SELECT tools, size, label, {said} AS said, ln((n1 + 1) / (n0 + 1)) + {bayes} > 0 AS flagged FROM sets_, {test}, c),
+alike AS (SELECT tools, round(avg({V._PMI}), 6) AS mean_pmi, round(avg({V._KAPPA}), 6) AS mean_kappa, round(avg({V._COSINE}), 6) AS mean_cosine FROM sets_ JOIN ({V._contingency(V._PAIRS, test)}) ON list_contains(members, a) AND list_contains(members, b) GROUP BY tools)
+SELECT tools, size, union_precision, union_recall, union_f1, min_size_precision, min_size_recall, min_size_f1, bayes_precision, bayes_recall, bayes_f1, mean_pmi, mean_kappa, mean_cosine FROM sets_ JOIN {parts} JOIN alike USING (tools)"""
+
+
+@query("F14_candidate_sets", U.sql(_set_sql()))
+def f14a(spark, d):
+    train, test = _votes(spark, d)
+    return workflows.set_report(train, test, T, workflows.scored_sets(train.unionByName(test), T))
+
+
+@query("F14_ranked_sets")
+def f14c(spark, d):
+    train, test = _votes(spark, d)
+    return workflows.ranked_sets(train, test, T, workflows.scored_sets(train.unionByName(test), T))
+
+
 @query("F14_allocate_and_fold")
 def f14(spark, d):
     train, test = _votes(spark, d)

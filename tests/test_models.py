@@ -156,3 +156,19 @@ def test_orderings_by_delta(matrix):
         prediction, order = votes.precision_ordering(matrix, TOOLS, r.delta)
         want = evaluate.evaluate(matrix, prediction).first()
         assert (r.tools, r.tp, r.fp, r.fn, r.tn, r.f1) == (",".join(order), want.tp, want.fp, want.fn, want.tn, want.f1)
+
+
+def test_ranked_sets(spark, matrix, halves):
+    train, test = halves
+    sets = workflows.scored_sets(matrix, TOOLS)
+    names = {r.tools for r in sets.collect()}
+    assert "good,fair,shy,noise" in names and all(len(n.split(",")) >= 2 for n in names)
+    out = {r.tools: r for r in workflows.ranked_sets(train, test, TOOLS, sets).collect()}
+    assert set(out) == names and sorted(r.place for r in out.values() if r.size >= 3) == list(range(1, 1 + sum(r.size >= 3 for r in out.values())))
+    full = out["good,fair,shy,noise"]
+    assert full.union_recall == f1_parts(test, votes.min_k(TOOLS, 1)).recall and full.min_size_precision == f1_parts(test, votes.min_k(TOOLS, 4)).precision
+    assert all(r.place is None for r in out.values() if r.size < 3)
+
+
+def f1_parts(df, prediction):
+    return evaluate.evaluate(df, prediction).first()
