@@ -36,7 +36,7 @@ from cellwright.llm.common import LOWER, mix, number_spans, saved, span_hashes,
 
 LEAST, TOP, COVER_PERCENT, SCALE = 10, 2000, 50, 1_000_000
 #: Bytes of text of a shard and of a range; words of a shard at most; ranges at most.
-SHARD_BYTES, RANGE_BYTES, SHARD_WORDS, RANGES = 6 << 20, 12 << 20, 1 << 20, 8192
+SHARD_BYTES, RANGE_BYTES, SHARD_WORDS, RANGES = 4 << 20, 8 << 20, 1 << 20, 8192
 #: Sampled positions a range, and bytes a word for the estimate of how many rows hold them.
 POSITIONS, WORD_BYTES = 50, 6
 
@@ -327,13 +327,17 @@ def lexed_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Lexed]:
         return Lexed(np.concatenate([d for d, _, _ in held]), np.append(np.concatenate(offsets), at), [x for _, _, langs in held for x in langs])
 
     for batch in batches:
-        names = [("und" if x is None else x).encode() for x in batch.column("lang").to_pylist()]
-        for first, end, data, offsets in text_runs(batch.column("text")):
-            held.append((data, offsets, names[first:end]))
-            size += len(data)
-            if size >= SHARD_BYTES:
-                yield flush()
-                held, size = [], 0
+        for k in range(0, batch.num_rows, 512):  # bounded copies of texts
+            rows = batch.slice(k, 512)
+            names = [("und" if x is None else x).encode() for x in rows.column("lang").to_pylist()]
+            for first, end, data, offsets in text_runs(rows.column("text")):
+                held.append((data, offsets, names[first:end]))
+                size += len(data)
+                if size >= SHARD_BYTES:
+                    shard = flush()
+                    held, size = [], 0
+                    yield shard
+                    del shard
     if held:
         yield flush()
 
