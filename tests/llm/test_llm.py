@@ -587,7 +587,7 @@ def test_transducer_shares_suffixes():
 def test_registry_and_pipeline(spark):
     import corpus_pipeline
 
-    assert [n.split("_")[0] for n in registry.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.queries()] == [f"op{i}" for i in range(1, 14)]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "suffix_dedup", "packing"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
