@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import itertools
 from functools import reduce
+from math import log
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,3 +93,43 @@ def clusters(train: DataFrame, test: DataFrame, groups: list[list[str]], kinds:
     for kind in kinds:
         out = models.predict(models.fit(weighted, kind, names, weightCol="n"), out, kind)
     return evaluate_many(out, {"union": min_k(names, 1), "majority": majority(names, tie_is_error=True), **{k: F.col(k) for k in kinds}}, weight="n")
+
+
+def dawid_skene(matrix: DataFrame, tools: list[str], max_iter: int = 25, tol: float = 1e-4, initial: str = "majority") -> tuple[DataFrame, DataFrame]:
+    """(recid, attr, p_error, predicted; annotator, truth, y, probability) by expectation maximisation, without a shuffle of cells.
+
+    ``matrix`` has votes of 0 and 1; a null vote says nothing. The cells are read to count their patterns; one task iterates
+    over those (at most MOST), and a cell's probability is an expression over its own votes. Priors are those of
+    ``votes.dawid_skene``: even prevalence, and 2 pseudo-counts on the diagonal of a confusion matrix beside 1. A cell without
+    votes starts as clean (0.1) and ends at the prevalence; an empty matrix gives the priors.
+    """
+    seen = saved(matrix.groupBy(*tools).agg(F.count("*").alias("n_")).coalesce(1), "patterns")
+    if seen.count() > MOST:
+        raise ValueError(f"more than {MOST} different patterns; use votes.dawid_skene")
+
+    def iterate(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf[pdf["n_"] > 0]
+        n, said = rows["n_"].to_numpy(float), rows[tools].to_numpy(float)
+        says = {1: (said == 1).astype(float), 0: (said == 0).astype(float)}
+        answers = says[0].sum(1) + says[1].sum(1)
+        share = says[1].sum(1) / np.maximum(answers, 1) if initial == "majority" else says[1].max(1, initial=0)
+        p = np.where(share >= 0.5, 0.9, 0.1)
+        before = np.zeros((2, 2, len(tools)))
+        for _ in range(max_iter):
+            weight = (n * (1 - p), n * p)
+            found = np.array([[1 + (y == z) + weight[z] @ says[y] for y in (0, 1)] for z in (0, 1)])
+            found /= found.sum(1, keepdims=True)
+            odds = np.log((weight[1].sum() + 1) / (weight[0].sum() + 1))
+            p = 1 / (1 + np.exp(-(odds + sum(says[y] @ np.log(found[1, y] / found[0, y]) for y in (0, 1)))))
+            change, before = np.abs(found - before).max(), found
+            if change < tol:
+                break
+        return pd.DataFrame([(t, z, y, before[z, y, i], odds) for i, t in enumerate(tools) for z in (0, 1) for y in (0, 1)], columns=["annotator", "truth", "y", "probability", "odds"])
+
+    prior = matrix.sparkSession.createDataFrame([(*[None] * len(tools), 0)], seen.schema)  # a matrix without cells has a group too
+    fitted = saved(seen.unionByName(prior).groupBy().applyInPandas(iterate, "annotator string, truth int, y int, probability double, odds double"), "confusion")
+    got = fitted.collect()  # four rows a tool
+    of = {(r.annotator, r.truth, r.y): r.probability for r in got}
+    tells = [F.when(F.col(t) == y, log(of[t, 1, y] / of[t, 0, y])).otherwise(0.0) for t in tools for y in (0, 1)]
+    p = 1 / (1 + F.exp(-(F.lit(got[0].odds) + reduce(lambda a, b: a + b, tells))))
+    return matrix.select("recid", "attr", p.alias("p_error"), (p > 0.5).cast("int").alias("predicted")), fitted.drop("odds")

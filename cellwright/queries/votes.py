@@ -8,6 +8,7 @@ from cellwright.functions.samples import hash_share_sql
 from cellwright.operators import cells as C
 from cellwright.operators import evaluate as E
 from cellwright.operators import features, similarity, votes
+from cellwright.plans import patterns
 from cellwright.queries import customers as U
 from cellwright.queries.registry import query
 from cellwright.session import saved
@@ -85,6 +86,32 @@ def e7(spark, d):
     return _ternary(spark, d).select("recid", "attr", votes.weighted_vote(T, [0.5, 1.5, 2.0, 0.25, 4.5]).alias("vote"))
 
 
+def _leading_sql(name: str, source: str, steps: int = 1000) -> str:
+    """Tables of the leading eigenvectors of agreement, of answering together and of their ratio, by power iteration.
+
+    Ratios lie between -1 and 1, so adding n on the diagonal makes their largest eigenvalue the dominant one.
+    """
+    n = range(len(T))
+    cell = lambda f: "[" + ", ".join("[" + ", ".join(f(i, j) for j in n) + "]" for i in n) + "]"
+    gram = cell(lambda i, j: f"sum({T[i]} * {T[j]})::DOUBLE")
+    both = cell(lambda i, j: f"sum(abs({T[i]} * {T[j]}))::DOUBLE")
+    shifted = cell(lambda i, j: f"CASE WHEN tg[{i + 1}][{j + 1}] <> 0 THEN ag[{i + 1}][{j + 1}] / tg[{i + 1}][{j + 1}] ELSE 0 END + {len(T) if i == j else 0}")
+    times = lambda m, v: "[" + ", ".join(f"list_inner_product({m}[{i + 1}], {v})" for i in n) + "]"
+    unit = lambda v: "[" + ", ".join(f"{v}[{i + 1}] / sqrt(list_inner_product({v}, {v}))" for i in n) + "]"
+    start = "[" + ", ".join(f"{1 - i / 10}::DOUBLE" for i in n) + "]"
+    ratio = lambda i: f"CASE WHEN abs(y[{i + 1}]) > 1e-12 THEN x[{i + 1}] / abs(y[{i + 1}]) ELSE 0 END"
+    signed = lambda w: f"CASE WHEN list_sum({w}) >= 0 THEN 1 ELSE -1 END"
+    return f""", {name}_g AS MATERIALIZED (SELECT ag, tg, {shifted} AS rt FROM (SELECT {gram} AS ag, {both} AS tg FROM ({source}))),
+{name}_p AS (SELECT 0 AS step, {start} AS x, {start} AS y, {start} AS z UNION ALL
+  SELECT step + 1, {unit("a")}, {unit("b")}, {unit("c")} FROM (SELECT step, {times("ag", "x")} AS a, {times("tg", "y")} AS b, {times("rt", "z")} AS c FROM {name}_p, {name}_g WHERE step < {steps})),
+{name} AS MATERIALIZED (SELECT 1 AS alg, {signed("w")} AS sign, w FROM (SELECT [{', '.join(ratio(i) for i in n)}] AS w FROM {name}_p WHERE step = {steps}) UNION ALL SELECT 2, {signed("z")}, z FROM {name}_p WHERE step = {steps})
+"""
+
+
+def _recursive(text: str) -> str:
+    return U.sql(text).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _spectral(alg: int):
     def run(spark, d):
         m = _ternary(spark, d)
@@ -94,8 +121,24 @@ def _spectral(alg: int):
     return run
 
 
-query("E8_spectral_reliability_1")(_spectral(1))
-query("E9_spectral_reliability_2")(_spectral(2))
+for _alg, _name in ((1, "E8_spectral_reliability_1"), (2, "E9_spectral_reliability_2")):
+    _weighted = " + ".join(f"sign * w[{i}] * (2 * {t} - 1)" for i, t in enumerate(T, 1))
+    query(_name, _recursive(_leading_sql("spectral", f"SELECT {_TERNARY} FROM m") + f"SELECT recid, attr, CASE WHEN {_weighted} > 0 THEN 1 ELSE -1 END AS vote FROM m, spectral WHERE alg = {_alg}"))(_spectral(_alg))
+
+#: The attributes that a tool speaks about; on others it abstains.
+_ABOUT = {"lookup": ("n_name", "r_name"), "fd": ("r_name",), "number": ("c_acctbal",)}
+_ABSTAINING = ", ".join(f"CASE WHEN attr NOT IN ({', '.join(repr(a) for a in _ABOUT.get(t, U.COLUMNS))}) THEN 0 WHEN {t} = 1 THEN 1 ELSE -1 END AS {t}" for t in T)
+
+
+@query(
+    "E9_tool_weights",
+    _recursive(_leading_sql("spectral", f"SELECT {_ABSTAINING} FROM m") + f"SELECT CAST(alg AS INTEGER) AS alg, unnest([{', '.join(repr(t) for t in T)}]) AS tool, unnest([{', '.join(f'round(sign * w[{i}], 4)' for i in range(1, len(T) + 1))}]) AS weight FROM spectral"),
+)
+def e9b(spark, d):
+    voted = [F.when(~F.col("attr").isin(*_ABOUT.get(t, U.COLUMNS)), 0).when(F.col(t) == 1, 1).otherwise(-1).alias(t) for t in T]
+    m = saved(U.matrix(spark, d).select(*voted), "ternary")
+    rows = [(alg, t, float(w)) for alg in (1, 2) for t, w in zip(T, votes.spectral_reliability(m, T, alg))]
+    return spark.createDataFrame(rows, "alg int, tool string, weight double").withColumn("weight", F.round("weight", 4))
 
 
 @query("E10_dawid_skene")
@@ -103,6 +146,37 @@ def e10(spark, d):
     return votes.dawid_skene(C.vote_triplets(U.matrix(spark, d), T, ternary=False))[0]
 
 
+def _em_sql(steps: int = 25) -> str:
+    """Expectation maximisation over the counted patterns: em has the probabilities before each step's posterior, by initial guess."""
+    odds = "ln((max(a1) + 1) / (max(a0) + 1)) + sum(ln(((1 + y + e1) / (3 + a1)) / ((2 - y + e0) / (3 + a0))))"
+    summed = "sum(n * p) OVER (PARTITION BY initial, tool{0}) AS {1}1, sum(n * (1 - p)) OVER (PARTITION BY initial, tool{0}) AS {1}0"
+    return f""", pat AS MATERIALIZED (SELECT row_number() OVER () AS pid, * FROM (SELECT {', '.join(T)}, count(*) AS n FROM m GROUP BY ALL)),
+v AS MATERIALIZED ({" UNION ALL ".join(f"SELECT pid, n, '{t}' AS tool, {t} AS y FROM pat" for t in T)}),
+em AS (SELECT 0 AS step, initial, pid, CASE WHEN CASE WHEN initial = 'majority' THEN avg(y) ELSE max(y) END >= 0.5 THEN 0.9::DOUBLE ELSE 0.1 END AS p FROM v, (SELECT unnest(['majority', 'min_1']) AS initial) GROUP BY initial, pid
+  UNION ALL SELECT step + 1, initial, pid, 1 / (1 + exp(-({odds}))) FROM (
+    SELECT step, initial, pid, y, {summed.format(", y", "e")}, {summed.format("", "a")} FROM em JOIN v USING (pid) WHERE step < {steps}) GROUP BY step, initial, pid)
+"""
+
+
+@query("E10_dawid_skene_cells", _recursive(_em_sql() + f"SELECT recid, attr, initial, round(p, 6) AS p_error, CAST(p > 0.5 AS INTEGER) AS predicted FROM m JOIN pat USING ({', '.join(T)}) JOIN em USING (pid) WHERE step = 25"))
+def e10c(spark, d):
+    m = saved(U.matrix(spark, d), "matrix")
+    found = [patterns.dawid_skene(m, T, 25, 0.0, i)[0].select("recid", "attr", F.lit(i).alias("initial"), F.round("p_error", 6).alias("p_error"), "predicted") for i in ("majority", "min_1")]
+    return found[0].unionByName(found[1])
+
+
+@query(
+    "E10_dawid_skene_confusion",
+    _recursive(_em_sql() + """, s AS (SELECT initial, tool, y, z, sum(CASE WHEN z = 1 THEN n * p ELSE n * (1 - p) END) AS e FROM em JOIN v USING (pid), (SELECT unnest([0, 1]) AS z) WHERE step = 24 GROUP BY ALL),
+g AS (SELECT initial, tool, z, y, coalesce(e, 0) + 1 + CAST(y = z AS INTEGER) AS e FROM (SELECT DISTINCT initial, tool, z FROM s) CROSS JOIN (SELECT unnest([0, 1]) AS y) LEFT JOIN s USING (initial, tool, z, y))
+SELECT initial, tool AS annotator, CAST(z AS INTEGER) AS truth, CAST(y AS INTEGER) AS y, round(e / sum(e) OVER (PARTITION BY initial, tool, z), 6) AS probability FROM g"""),
+)
+def e10d(spark, d):
+    m = saved(U.matrix(spark, d), "matrix")
+    found = [patterns.dawid_skene(m, T, 25, 0.0, i)[1].select(F.lit(i).alias("initial"), "annotator", "truth", "y", F.round("probability", 6).alias("probability")) for i in ("majority", "min_1")]
+    return found[0].unionByName(found[1])
+
+
 _TRIPLETS = " UNION ALL ".join(f"SELECT recid, attr, {i} AS annotator, {t} AS y FROM m" for i, t in enumerate(T, 1))
 
 

@@ -98,6 +98,32 @@ def test_orders_and_weights(matrix):
     assert right > 0.9 and confusion[0, 1, 1] > confusion[3, 1, 1]
 
 
+@pytest.mark.parametrize("initial", ["majority", "min_1"])
+def test_dawid_skene_on_patterns_equals_that_on_triplets(matrix, initial):
+    """Also where tools say nothing about some cells."""
+    some = matrix.withColumn("fair", F.when(F.col("recid") % 3 > 0, F.col("fair"))).withColumn("good", F.when(F.col("recid") % 7 > 1, F.col("good")))
+    cells, confusion = patterns.dawid_skene(some, TOOLS, initial=initial)
+    triplets = some.select("recid", "attr", F.posexplode(F.array(*TOOLS)).alias("annotator", "y")).where("y IS NOT NULL")
+    want, of = votes.dawid_skene(triplets, initial=initial)
+    both = cells.join(want.withColumnsRenamed({"p_error": "p", "predicted": "q"}), ["recid", "attr"])
+    row = both.agg(F.count("*").alias("n"), F.max(F.abs(F.col("p_error") - F.col("p"))).alias("apart"), F.count_if(F.col("predicted") != F.col("q")).alias("other")).first()
+    assert row.n == 1200 and row.apart < 1e-9 and row.other == 0
+    assert {(TOOLS.index(r.annotator), r.truth, r.y): round(r.probability, 9) for r in confusion.collect()} == {k: round(v, 9) for k, v in of.items()}
+    assert "Exchange" not in cells._jdf.queryExecution().executedPlan().toString().split("InMemory")[0]
+
+
+def test_dawid_skene_on_patterns_without_votes_and_cells(spark, matrix, monkeypatch):
+    mute = spark.createDataFrame([(-1, "a", 0, None, None, None, None)], matrix.schema)
+    got = patterns.dawid_skene(matrix.unionByName(mute), TOOLS)[0].where("recid = -1").first()
+    assert 0 < got.p_error < 0.5 and got.predicted == 0
+    cells, confusion = patterns.dawid_skene(matrix.where("recid < -5"), TOOLS)
+    assert cells.count() == 0
+    assert {round(r.probability, 6) for r in confusion.where("truth = y").collect()} == {round(2 / 3, 6)}
+    monkeypatch.setattr(patterns, "MOST", 3)
+    with pytest.raises(ValueError):
+        patterns.dawid_skene(matrix, TOOLS)
+
+
 def test_frequent_values_meet_no_table_of_counts(spark, monkeypatch):
     """A value that a third of all cells have, and nulls, are dealt over many parts of the join."""
     cells = spark.range(30_000).select(F.col("id").alias("recid"), F.lit("a").alias("attr"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None).otherwise(F.concat(F.lit("v"), (F.col("id") % 6000).cast("string"))).alias("value"))
