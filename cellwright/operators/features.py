@@ -78,6 +78,19 @@ def vote_features(matrix: DataFrame, tools: list[str]) -> DataFrame:
     return matrix.withColumn("votes", F.array(*[F.col(t).cast("int") for t in tools])).withColumn("n_agree", F.aggregate("votes", F.lit(0), lambda s, v: s + (v == 1).cast("int")))
 
 
+def encoded_vote_features(train: DataFrame, df: DataFrame, tools: list[str]) -> DataFrame:
+    """``vote_features`` of ``df`` with agree_vector: n_agree one-hot, slots by falling frequency in ``train``, ties by text.
+
+    The encoder sees training rows only; a number of agreeing tools that ``train`` lacks has the last slot.
+    """
+    from pyspark.ml import Pipeline
+
+    from cellwright.operators.models import one_hot
+
+    rows = lambda d: vote_features(d, tools).withColumn("agree", F.col("n_agree").cast("string"))
+    return Pipeline(stages=one_hot(["agree"])).fit(rows(train)).transform(rows(df)).drop("agree", "agree_index")
+
+
 def assemble(parts: list[DataFrame]) -> DataFrame:
     """All parts joined on the cell; columns of the same name are taken from the first part that has them."""
     out = parts[0]

@@ -414,6 +414,28 @@ def g3(spark, d):
     return out.select("recid", "attr", vector_to_array("kind_vector").alias("kind_vector"))
 
 
+def _one_hot_sql(rows: str, seen: str, kind: str, columns: str) -> str:
+    """One-hot lists as text: slots by falling frequency among ``seen``, ties by text; the last slot is that of kinds not seen."""
+    return f""", rows_ AS ({rows}), slots AS (SELECT {kind}, row_number() OVER (ORDER BY count(*) DESC, CAST({kind} AS VARCHAR)) - 1 AS slot FROM rows_ WHERE {seen} GROUP BY {kind}),
+size AS (SELECT count(*) AS n FROM slots) SELECT {columns}, array_to_string([CASE WHEN i = coalesce(slot, n) THEN 1 ELSE 0 END FOR i IN range(n + 1)], ',') AS slots FROM rows_ LEFT JOIN slots USING ({kind}), size"""
+
+
+def _slots(vector: str):
+    from pyspark.ml.functions import vector_to_array
+
+    return F.array_join(F.transform(vector_to_array(vector), lambda x: x.cast("int")), ",").alias("slots")
+
+
+@query("G3_type_one_hot_listed", U.sql(_one_hot_sql("SELECT recid, attr, CASE attr WHEN 'c_acctbal' THEN 'Integer' ELSE 'String' END AS kind FROM cells", "true", "kind", "recid, attr, kind")))
+def g3b(spark, d):
+    from pyspark.ml import Pipeline
+
+    from cellwright.operators.models import one_hot
+
+    cell = U.dirty_cells(spark, d).withColumn("kind", features.type_column(U.SPEC))
+    return Pipeline(stages=one_hot(["kind"])).fit(cell).transform(cell).select("recid", "attr", "kind", _slots("kind_vector"))
+
+
 @query("G4_top10_and_tail", U.sql(f"SELECT recid, attr, CAST({_TOPSQL} AS INTEGER) AS is_top10, 1 - CAST({_TOPSQL} AS INTEGER) AS in_tail FROM cells c"))
 def g4(spark, d):
     return features.content_features(U.dirty_cells(spark, d), U.SPEC).select("recid", "attr", "is_top10", "in_tail")
@@ -452,6 +474,13 @@ def g9(spark, d):
     return features.vote_features(U.matrix(spark, d), T).select("recid", "attr", "n_agree")
 
 
+@query("G9_encoded_vote_features", U.sql(_one_hot_sql(f"SELECT recid, attr, {', '.join(T)}, {_SUM} AS n_agree, {hash_share_sql(['recid', 'attr'], 10)} AS training FROM m", "training", "n_agree", f"recid, attr, concat_ws(',', {', '.join(T)}) AS votes, n_agree")))
+def g9b(spark, d):
+    m = saved(U.matrix(spark, d), "matrix")
+    out = features.encoded_vote_features(features.split(m, 10)[0], m, T)
+    return out.select("recid", "attr", F.array_join("votes", ",").alias("votes"), "n_agree", _slots("agree_vector"))
+
+
 @query("G10_assembled", U.sql(f"SELECT c.recid, c.attr, label, missing, lookup, CAST(value IS NULL AS INTEGER) AS missing_value, CAST({_TOPSQL} AS INTEGER) AS is_top10, CAST(c.attr IN ('n_name', 'r_name') AS INTEGER) AS fd0 FROM m JOIN cells c USING (recid, attr)"))
 def g10(spark, d):
     cell = U.dirty_cells(spark, d)

@@ -112,6 +112,16 @@ def test_dawid_skene_on_patterns_equals_that_on_triplets(matrix, initial):
     assert "Exchange" not in cells._jdf.queryExecution().executedPlan().toString().split("InMemory")[0]
 
 
+def test_encoder_sees_training_rows_only(matrix):
+    from pyspark.ml.functions import vector_to_array
+
+    train = matrix.where(" + ".join(TOOLS) + " BETWEEN 1 AND 2")
+    out = features.encoded_vote_features(train, matrix, TOOLS).select("n_agree", vector_to_array("agree_vector").alias("v")).distinct().collect()
+    slots = {r.n_agree: list(r.v).index(1.0) for r in out}
+    assert len(out) == 5 and all(len(r.v) == 3 and sum(r.v) == 1 for r in out)
+    assert {slots[1], slots[2]} == {0, 1} and slots[0] == slots[3] == slots[4] == 2
+
+
 def test_dawid_skene_on_patterns_without_votes_and_cells(spark, matrix, monkeypatch):
     mute = spark.createDataFrame([(-1, "a", 0, None, None, None, None)], matrix.schema)
     got = patterns.dawid_skene(matrix.unionByName(mute), TOOLS)[0].where("recid = -1").first()
