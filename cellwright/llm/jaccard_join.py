@@ -407,3 +407,23 @@ def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, percent: int = P
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+#: All pairs by a join on shingles; only small tables are meant for it.
+ORACLE = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts),
+shingles AS (
+  SELECT doc_id, n, i, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS token
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+sets AS (
+  SELECT t.doc_id, coalesce(s, []) AS s FROM texts t LEFT JOIN (SELECT doc_id, list(DISTINCT token ORDER BY token) AS s FROM shingles WHERE i = 1 OR i <= n - 4 GROUP BY doc_id) d ON t.doc_id = d.doc_id),
+classes AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS (SELECT rep, n, unnest(s) AS token FROM classes),
+shared AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n + b.n) AS total, count(*) AS common FROM tokens a JOIN tokens b ON a.token = b.token AND a.rep < b.rep GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 100 * common >= 75 * (total - common)),
+reach AS (SELECT rep AS node, rep AS other FROM classes UNION SELECT r.node, e.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON r.other = e.a),
+components AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN components ON components.node = classes.rep"""

@@ -28,4 +28,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": topk_search.ORACLE, "op2_chat_format": chat_format.ORACLE, "op12_phrase_automata": phrase_automata.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
+    return {
+        "op1_topk_search": topk_search.ORACLE,
+        "op2_chat_format": chat_format.ORACLE,
+        "op6_ngram_jaccard": jaccard_join.ORACLE,
+        "op9_suffix_dedup": suffix_dedup.ORACLE,
+        "op12_phrase_automata": phrase_automata.ORACLE,
+        "op13_filter_audit": filter_audit.ORACLE,
+    }

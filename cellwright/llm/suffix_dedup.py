@@ -496,3 +496,20 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+#: All windows grouped; only small tables are meant for it.
+ORACLE = r"""
+WITH bytes AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+pieces AS (SELECT doc_id, n, 512 * c AS base, substring(h, 1024 * c + 1, 1222) AS h FROM (SELECT *, unnest(range((n + 412) // 512)) AS c FROM bytes)),
+windows AS (SELECT doc_id, base + j AS start, substring(h, 2 * j + 1, 200) AS w FROM (SELECT *, unnest(range(least(512, n - 99 - base))) AS j FROM pieces)),
+again AS (SELECT unnest(list((doc_id, start) ORDER BY doc_id, start)[2:]) AS p FROM windows GROUP BY w HAVING count(*) > 1),
+marked AS (SELECT p[1] AS doc_id, p[2] AS start FROM again),
+begun AS (SELECT *, CASE WHEN start <= 100 + lag(start) OVER o THEN 0 ELSE 1 END AS fresh FROM marked WINDOW o AS (PARTITION BY doc_id ORDER BY start)),
+numbered AS (SELECT doc_id, start, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM begun),
+runs AS (SELECT doc_id, min(start) AS a, max(start) + 100 AS b FROM numbered GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM runs),
+kept AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substring(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head FROM cuts JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM bytes LEFT JOIN kept USING (doc_id)"""

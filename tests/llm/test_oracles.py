@@ -1,4 +1,4 @@
-"""The corpus queries of this round that SQL can express, against DuckDB on the smallest tables."""
+"""Corpus queries that SQL can express, against DuckDB on the smallest tables."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from cellwright.llm import registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op12_phrase_automata", "op13_filter_audit"])
+@pytest.mark.parametrize("name", ["op6_ngram_jaccard", "op9_suffix_dedup", "op12_phrase_automata", "op13_filter_audit"])
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "labels"):
