@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellwright.session import saved
 from cellwright.spec import TableSpec
 
 
@@ -50,8 +51,11 @@ def cell_diff(clean: DataFrame, dirty: DataFrame, spec: TableSpec, mode: str = "
 
 
 def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
-    """A row number from 1 over a stable order. Ranges are numbered apart; only one count per range is gathered."""
-    ranged = df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id())
+    """A row number from 1 over a stable order. Ranges are numbered apart; only one count per range is gathered.
+
+    The ranges are written once: their bounds come from a sample, so rows and counts must not each draw their own.
+    """
+    ranged = saved(df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()), "ranges")
     inside = ranged.withColumn("inside_", F.row_number().over(Window.partitionBy("range_").orderBy(*order)))
     counts = ranged.groupBy("range_").agg(F.count("*").alias("n_"))  # one row a partition
     before = counts.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cellwright.functions.numeric import ratio
 from cellwright.operators.detect import with_scores
 from cellwright.operators.votes import majority, min_k, union_all
+from cellwright.session import saved
 
 
 def _counts(pred: Column, label: Column, name: str = "", weight: str | None = None) -> list[Column]:
@@ -89,10 +90,11 @@ def vote_patterns(matrix: DataFrame, tools: list[str]) -> DataFrame:
 def threshold_table(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """threshold, tp, fp, fn, precision, recall, f1 when every score from the threshold on counts as an error.
 
-    Scores are counted by value first; the running sums go over the different scores, in ranges.
+    Scores are counted by value first; the running sums go over the different scores, in ranges that are written once
+    (their bounds come from a sample).
     """
     by_score = scores.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    ranged = by_score.repartitionByRange(F.desc("threshold")).withColumn("range_", F.spark_partition_id())
+    ranged = saved(by_score.repartitionByRange(F.desc("threshold")).withColumn("range_", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy("range_").agg(F.sum("p").alias("p_"), F.sum("q").alias("q_"))  # one row a partition
     above, every = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
     totals = totals.select("range_", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"before_{c}") for c in ("p_", "q_")], F.sum("p_").over(every).alias("all_p"))
