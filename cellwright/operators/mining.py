@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from cellwright.functions.text import char_ngrams
 
+#: Values whose n-grams one part counts.
+VALUES = 20_000
+
 
 def association_rules(cell: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """antecedent, consequent, confidence, lift, support between ``attribute=value`` items of a record."""
@@ -52,5 +55,15 @@ def near_duplicates(df: DataFrame, key: str, text: str, distance: float = 0.3, n
 
 
 def ngrams(df: DataFrame, key: str, column: str, n: int) -> DataFrame:
-    """key, gram, cnt of the character n-grams of each value."""
-    return df.select(key, F.explode(char_ngrams(F.col(column), n)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("cnt"))
+    """key, gram, cnt of the character n-grams of each value.
+
+    Rows are dealt by key, about VALUES a part, and a part counts its grams where they are made: only rows move, not grams.
+    Keys of more than VALUES rows are counted by key and gram instead, so that they meet in many parts.
+    """
+    rows = df.select(F.col(key).alias(key), F.col(column).alias("value_"))
+    grams = lambda of: of.select(key, F.explode(char_ngrams(F.col("value_"), n)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("cnt"))
+    parts = rows.count() // VALUES + 1
+    often = rows.groupBy(key).count().where(F.col("count") > VALUES).select(F.col(key).alias("often_"))
+    frequent = F.broadcast(often)  # at most one of VALUES rows
+    same = F.col(key).eqNullSafe(F.col("often_"))
+    return grams(rows.join(frequent, same, "left_anti").repartition(parts, key)).unionByName(grams(rows.join(frequent, same, "left_semi").repartition(parts)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellwright.operators import cells as C
+from cellwright.operators import mining
 
 
 def test_row_numbers_of_sampled_ranges(spark):
@@ -13,3 +14,17 @@ def test_row_numbers_of_sampled_ranges(spark):
     got = C.with_row_id(df, ["k"]).selectExpr("row_id", "text", "row_number() OVER (ORDER BY k) AS place")
     found = got.selectExpr("count(*) AS n", "count_if(row_id <> place) AS moved", "count(DISTINCT text) AS texts").first()
     assert tuple(found) == (300_000, 0, 300_000)
+
+
+def test_ngrams_are_dealt_by_key(spark, monkeypatch):
+    """As many parts as the table needs; a frequent key, a null key and short or null values give the rows of one plain count."""
+    monkeypatch.setattr(mining, "VALUES", 50)
+    rows = [(i % 90, f"word {i % 7}") for i in range(300)] + [(7, f"again {i}") for i in range(200)] + [(None, "no key")] * 3 + [(5, "ab"), (6, None)]
+    df = spark.createDataFrame(rows, "k int, text string")
+    out = mining.ngrams(df, "k", "text", 3)
+    want = {}
+    for k, text in rows:
+        for i in range(len(text or "") - 2):
+            want[k, text[i : i + 3]] = want.get((k, text[i : i + 3]), 0) + 1
+    assert {(r.k, r.gram): r.cnt for r in out.collect()} == want and out.count() == len(want)
+    assert "hashpartitioning(k" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
