@@ -74,8 +74,8 @@ def h5(spark, d):
 @query("H6_grid_search")
 def h6(spark, d):
     train, test = _votes(spark, d)
-    model, found = models.grid_search_lr(train, T)
-    return E.evaluate(models.predict(model, test, "p"), F.col("p")).withColumn("reg_param", F.lit(found["regParam"]))
+    model, found = patterns.grid_search_lr(train, T)
+    return patterns.evaluate_one(model, test, T).withColumn("reg_param", F.lit(found["regParam"]))
 
 
 @query("H7_score_linear", U.sql("SELECT recid, attr, CAST(1 / (1 + exp(-(-2.5 + 3.0 * missing + 2.0 * default_value + 1.5 * lookup + 0.5 * fd + 4.0 * number))) > 0.4 AS INTEGER) AS prediction FROM m"))
