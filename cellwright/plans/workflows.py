@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellwright.operators import models, similarity
 from cellwright.operators.cells import topk_prefixes, truth_matrix
 from cellwright.operators.evaluate import evaluate_many, evaluate_tools
-from cellwright.operators.votes import majority, min_k
+from cellwright.operators.votes import min_k
 from cellwright.plans import patterns
 from cellwright.session import saved
 
@@ -21,15 +21,7 @@ def cluster_and_combine(matrix: DataFrame, train: DataFrame, test: DataFrame, to
     groups: dict[int, list[str]] = {}
     for r in similarity.cluster_tools(truth_matrix(matrix, tools) if on == "truth" else matrix, tools, k, seed=seed).collect():  # one row a tool
         groups.setdefault(r.cluster, []).append(r.tool)
-    names = []
-    a, b = train, test
-    for c, members in sorted(groups.items()):
-        name = f"cluster{c}"
-        names.append(name)
-        a, b = models.bagging_on_votes(train, a, sorted(members), name), models.bagging_on_votes(train, b, sorted(members), name)
-    for kind in kinds:
-        b = models.predict(models.fit(a, kind, names), b, kind)
-    return evaluate_many(b, {"union": min_k(names, 1), "majority": majority(names, tie_is_error=True), **{k_: F.col(k_) for k_ in kinds}})
+    return patterns.clusters(train, test, [sorted(members) for _, members in sorted(groups.items())], kinds)
 
 
 def best_cluster(matrix: DataFrame, train: DataFrame, test: DataFrame, tools: list[str], k: int, seed: int = 1) -> DataFrame:
@@ -38,7 +30,7 @@ def best_cluster(matrix: DataFrame, train: DataFrame, test: DataFrame, tools: li
     for r in similarity.cluster_tools(matrix, tools, k, seed=seed).collect():
         groups.setdefault(r.cluster, []).append(r.tool)
     scores = evaluate_many(train, {str(c): min_k(m, 1) for c, m in groups.items()}).orderBy(F.desc("f1"), "name").first()
-    return models.combine_classifiers(train, test, sorted(groups[int(scores.name)]))
+    return patterns.combine_classifiers(train, test, sorted(groups[int(scores.name)]))
 
 
 def scored_sets(matrix: DataFrame, tools: list[str], least: int = 2) -> DataFrame:
@@ -92,7 +84,7 @@ def allocate_and_fold(train: DataFrame, test: DataFrame, tools: list[str], least
         F.max(F.when(F.col("k") == size, F.col("precision"))).alias("p"), F.max(F.when(F.col("k") == 1, F.col("recall"))).alias("r"), F.max("f1").alias("f1")
     ).orderBy(F.desc("p"), F.desc("r"), F.desc("f1"), "tools").first()
     chosen = best.tools.split(",")
-    return chosen, models.combine_classifiers(train, test, chosen)
+    return chosen, patterns.combine_classifiers(train, test, chosen)
 
 
 def predict_errors(features: DataFrame, columns: list[str], share_percent: int = 10) -> tuple[DataFrame, DataFrame]:
