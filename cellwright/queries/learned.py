@@ -132,7 +132,7 @@ def h13(spark, d):
 
 @query("H14_combine_classifiers")
 def h14(spark, d):
-    return models.combine_classifiers(*_votes(spark, d), T)
+    return patterns.combine_classifiers(*_votes(spark, d), T)
 
 
 @query("F12_cluster_and_combine")
