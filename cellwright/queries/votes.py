@@ -143,7 +143,7 @@ def e9b(spark, d):
 
 @query("E10_dawid_skene")
 def e10(spark, d):
-    return votes.dawid_skene(C.vote_triplets(U.matrix(spark, d), T, ternary=False))[0]
+    return patterns.dawid_skene(saved(U.matrix(spark, d), "matrix"), T)[0]
 
 
 def _em_sql(steps: int = 25) -> str:
