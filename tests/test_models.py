@@ -210,29 +210,35 @@ def f1_parts(df, prediction):
     return evaluate.evaluate(df, prediction).first()
 
 
-def test_models_of_votes_read_the_cells_once(spark, matrix, halves):
-    """The best k tools, clusters, a grid and a second level work on patterns counted once; scores are those of models on cells."""
+@pytest.fixture
+def watched(spark, halves):
+    """Training cells that count their readings, and a function that tells how often they are read."""
     read = spark.sparkContext.accumulator(0)
 
     def mark(x):
         read.add(1)
         return x
 
-    watched = F.udf(mark, "int")(F.col("label").cast("int"))
-    train, test = halves
-    n, seen = train.count(), train.withColumn("label", watched)
+    train = halves[0]
+    n = train.count()
 
     def reads(run):
         before = read.value
         return run(), (read.value - before) / n
 
+    return train.withColumn("label", F.udf(mark, "int")(F.col("label").cast("int"))), reads
+
+
+def test_best_tools_and_clusters_read_the_cells_once(watched, halves):
+    (seen, reads), test = watched, halves[1]
     got, times = reads(lambda: patterns.best_k(seen, test, TOOLS).collect())
     assert times == 1 and {r.k for r in got} == {2, 3}
-    groups = [["good", "noise"], ["fair", "shy"]]
-    got, times = reads(lambda: patterns.clusters(seen, test, groups).collect())
-    assert times == 1
-    kinds = ("naive_bayes",)
-    got, times = reads(lambda: sorted(patterns.combine_classifiers(seen, test, TOOLS, kinds).collect()))
-    assert times == 1 and got == sorted(models.combine_classifiers(train, test, TOOLS, kinds).collect())
+    assert reads(lambda: patterns.clusters(seen, test, [["good", "noise"], ["fair", "shy"]]).collect())[1] == 1
+
+
+def test_grid_and_second_level_read_the_cells_once(watched, halves):
+    (seen, reads), test = watched, halves[1]
     (model, best), times = reads(lambda: patterns.grid_search_lr(seen, TOOLS, folds=2, reg=(0.01, 5.0), elastic=(0.0,)))
     assert times == 1 and best["regParam"] == 0.01 and float(patterns.evaluate_one(model, test, TOOLS).first().f1) > 0.85
+    got, times = reads(lambda: patterns.combine_classifiers(seen, test, TOOLS, ("naive_bayes",)).collect())
+    assert times == 1 and {"min-3", "majority", "second_tree"} <= {r.name for r in got}
