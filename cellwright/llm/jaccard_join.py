@@ -11,6 +11,10 @@ bitmaps, and a shared prefix token under every further order. Then the sets deci
 A group above GROUP documents is dealt over blocks, and the hub goes to every block. A document that its block connects
 with the hub is settled: it need not look for other settled ones. Only the others meet documents of other blocks, and of
 those only the ones whose distance from the hub differs by no more than a link allows (Jaccard distance is a metric).
+
+Texts travel last. Documents meet first as a size and a bitmap of about a bit a token; only where another document of the
+group lies within the bounds of both are texts sent there. Before any text is shuffled, a table of bits of the wanted ids
+leaves out the others.
 Linked documents get their smallest id by repeated joins, in which crowded keys are dealt over SALTS parts.
 
 Equal sets are one class from the start: a task posts a set once, a list holds it once, and one document stands for it.
@@ -39,12 +43,14 @@ WIDTH, PERCENT = 5, 75
 COUNTERS, CHUNKS = 1 << 19, 16
 #: Further orders besides the rare-first one, as seeds.
 ORDERS = (0x51ED27, 0xA24BAE)
-GROUP, BITMAP = 512, 2048
+GROUP, BITMAP, SKETCH = 512, 2048, 1 << 16
 POSTINGS_A_BUCKET = 2_000_000
 #: A key of more than CROWD rows is dealt over SALTS parts in joins.
 CROWD, SALTS = 4096, 64
 #: Steps of the distance from a hub.
 STEPS = 20
+#: Slots of a table of bits that stands for ids: so many an id, up to a fixed number; PAGE of them are a row.
+SLOTS_AN_ID, SLOTS, PAGE = 16, 1 << 27, 1 << 15
 #: Prefixes are longer by SHARED - 1 tokens than one shared token needs, so linked sets share SHARED of them.
 SHARED = 4
 
@@ -268,6 +274,72 @@ def linked(a: bytes, b: bytes, width: int, percent: int) -> bool:
     return 100 * len(x & y) >= percent * len(x | y)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """A parity bitmap of at least a bit a token, up to SKETCH bits; of two of different widths, the wider one is folded to the other's width."""
+    bits = min(max(64, 1 << max(len(tokens) - 1, 0).bit_length()), SKETCH)
+    bit = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(bit.astype(np.uint8)).view(np.uint64)
+
+
+def within_bounds(n: np.ndarray, maps: list[np.ndarray], sides: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which sets, given as sizes and sketches, have another one that sizes and bitmaps allow to link; two of side 1 are not compared."""
+    order = np.argsort(n, kind="stable")
+    n, side, maps = n[order], sides[order], [maps[i] for i in order]
+    widths, first = np.unique([len(x) for x in maps], return_index=True)  # they rise with the sizes
+    stacks = {int(w): (a, np.stack(maps[a:b])) for w, a, b in zip(widths, first.tolist(), [*first[1:].tolist(), len(maps)])}
+    found = np.zeros(len(n), bool)
+    for i in range(1, len(n)):
+        low, x = int(np.searchsorted(n, -(-percent * n[i] // 100))), maps[i]
+        while low < i:
+            start, stack = stacks.get(len(x), (0, maps[:0]))
+            a, b = max(low, start), min(i, start + len(stack))
+            if a < b:
+                apart = np.bitwise_count(stack[a - start : b - start] ^ x).sum(1, dtype=np.int64)
+                fits = (apart <= (100 - percent) * (n[a:b] + n[i]) // (100 + percent)) & ((side[a:b] == 0) | (side[i] == 0))
+                found[a:b] |= fits
+                found[i] |= fits.any()
+            if len(x) <= len(maps[low]):
+                break
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    out = np.empty(len(n), bool)
+    out[order] = found
+    return out
+
+
+def near_rows(placed: DataFrame, keys: list[str], kept: list[str], percent: int) -> DataFrame:
+    """``kept`` columns and near: of the documents of each group of ``keys`` (rep, n, sketch, side, is_hub, of_many), each once.
+
+    near: whether another one of the group may link with it; the hub of a large group is near if any document is. Those that
+    are not near are returned of large groups only.
+    """
+    types = dict(placed.dtypes)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*keys, "side"], ignore_index=True).drop_duplicates([*keys, "rep"], ignore_index=True)
+        start = np.flatnonzero(~pdf.duplicated(keys).to_numpy()).tolist()
+        n, sides, maps = pdf["n"].to_numpy(), pdf["side"].to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf["sketch"]]
+        hub, many = pdf["is_hub"].to_numpy(bool), pdf["of_many"].to_numpy(bool)
+        near = np.zeros(len(pdf), bool)
+        for a, b in zip(start, [*start[1:], len(pdf)]):
+            near[a:b] = within_bounds(n[a:b], maps[a:b], sides[a:b], percent)
+            near[a:b] |= hub[a:b] & many[a:b] & near[a:b].any()
+        return pdf.assign(near=near)[[*kept, "near"]][near | many]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            if len(pdf):
+                pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+                last = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1).to_numpy()  # the last group may go on
+                rest = pdf[last]
+                yield whole(pdf[~last])
+        if rest is not None:
+            yield whole(rest)
+
+    read = placed.select(*dict.fromkeys([*keys, *kept, "n", "sketch", "side", "is_hub", "of_many"]))
+    return read.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(scan, ", ".join(f"{c} {types[c]}" for c in kept) + ", near boolean")
+
+
 class Group:
     """Documents that meet, with their texts and sets."""
 
@@ -280,8 +352,37 @@ class Group:
         return link_group(self.nodes, self.sets, sides, self.percent, lambda i, k: linked(self.texts[i], self.texts[k], self.width, self.percent))
 
 
+def among(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """doc_id and text of the rows of ``docs`` whose doc_id is a rep of ``named`` (best a written table), and of a few others.
+
+    A table of bits stands for the ids: it is broadcast, and above SLOTS bits it only lets more others through.
+    """
+    slots = PAGE * min(SLOTS // PAGE, 1 + SLOTS_AN_ID * named.count() // PAGE)
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
+    placed = named.select(slot("rep").alias("slot")).select((F.col("slot") / PAGE).cast("int").alias("page"), (F.col("slot") % PAGE).alias("at"))
+    bits = placed.repartition("page").groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits"))
+    rows = doc_texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("slot", slot("doc_id"))
+    met = rows.withColumn("page", (F.col("slot") / PAGE).cast("int")).join(F.broadcast(bits), "page")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("slot") % PAGE / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, (F.col("slot") % 8).cast("int")) == 1).select("doc_id", "text")
+
+
+def sketches(docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
+    """rep, digest, check of ``named`` with n, sketch: made where the texts are read, no text is shuffled."""
+    names = ["rep", "digest", "check", "n", "sketch"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(*_digest(t), len(t), sketch(t).tobytes()) for t in _sets(batch.column("text"), width)]
+            columns = zip(*made) if made else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], names)
+
+    made = among(docs, named).mapInArrow(scan, "rep long, digest long, check long, n long, sketch binary")
+    return saved(made.join(named, names[:3]).dropDuplicates(names[:3]), "sketches")
+
+
 def texts_of(placed: DataFrame, docs: DataFrame, columns: list[str], width: int) -> DataFrame:
-    """``columns`` of ``placed`` (rep, digest, check among them) and words, the normalised text; rows of rep's doc_id with other texts are left out."""
+    """``columns`` of ``placed`` (a written table; rep, digest, check among its columns) and words, the normalised text; rows of rep's doc_id with other texts are left out."""
     types = dict(placed.dtypes)
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +398,7 @@ def texts_of(placed: DataFrame, docs: DataFrame, columns: list[str], width: int)
                 done = pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(out, pa.binary())], [*columns, "words"])
                 yield done.filter(done.column("words").is_valid())
 
-    met = doc_texts(docs).where("text IS NOT NULL").join(placed, F.col("doc_id") == F.col("rep"))
+    met = among(docs, placed).join(placed, F.col("doc_id") == F.col("rep"))
     return met.select(*dict.fromkeys([*columns, "digest", "check"]), "text").mapInArrow(normal, ", ".join(f"{c} {types[c]}" for c in columns) + ", words binary")
 
 
@@ -309,8 +410,9 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int, p
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
     dealt = spread_join(pairs, large, ["hub"], "node").select("hub", "node", F.coalesce(block, F.lit(0)).alias("block"), F.col("blocks").isNotNull().alias("of_many"))
     every = dealt.unionByName(large.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("of_many")))
-    named = classes.select(F.col("digest").alias("node"), "digest", "check", "rep")
-    placed = every.join(named, "node").withColumn("is_hub", F.col("node") == F.col("hub"))
+    named = saved(classes.join(pairs.select(F.col("node").alias("digest")).distinct(), "digest", "left_semi").select("rep", "digest", "check"), "named")
+    sketched = sketches(docs, named, width)
+    placed = every.join(sketched.withColumn("node", F.col("digest")), "node").withColumn("is_hub", F.col("node") == F.col("hub")).withColumn("side", F.lit(0))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links; and of a large group's block, by document, the distance from the hub and whether it is settled."""
@@ -335,34 +437,37 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, width: int, p
         return pd.DataFrame(out, columns=["hub", "a", "b", "step", "settled"]).astype({"hub": "Int64", "a": "Int64", "b": "Int64", "step": "Int64", "settled": "boolean"})
 
     columns = ["hub", "block", "of_many", "is_hub", "rep"]
-    first = saved(texts_of(placed, docs, columns, width).groupBy("hub", "block").applyInPandas(compare, "hub long, a long, b long, step long, settled boolean"), "links")
+    met = saved(near_rows(placed, ["hub", "block"], [*columns, "digest", "check"], percent), "met")
+    first = saved(texts_of(met.where("near"), docs, columns, width).groupBy("hub", "block").applyInPandas(compare, "hub long, a long, b long, step long, settled boolean"), "links")
     near = first.where("hub IS NULL").select("a", "b")
     if large.isEmpty():
         return near
-    return near.unionByName(unsettled_links(docs, classes, first.where("hub IS NOT NULL"), width, percent))
+    alone = met.where("NOT near").select("hub", F.col("rep").alias("a"), F.lit(None).cast("long").alias("step"), F.lit(False).alias("settled"))
+    return near.unionByName(unsettled_links(docs, sketched, first.where("hub IS NOT NULL").select("hub", "a", "step", "settled").unionByName(alone), width, percent))
 
 
-def unsettled_links(docs: DataFrame, classes: DataFrame, seen: DataFrame, width: int, percent: int) -> DataFrame:
+def unsettled_links(docs: DataFrame, sketched: DataFrame, seen: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b: links of unsettled documents of large groups with any documents of their group.
 
     Cells hold unsettled documents of one step of the distance against documents of steps near enough, both in blocks.
+    Documents that were near none of their block have no step: they have cell -1, and meet every cell.
     """
     reach = math.ceil(STEPS * (100 - percent) / 100) + 1
     members = seen.groupBy("hub", F.col("a").alias("rep")).agg(F.max("step").alias("step"), F.max("settled").alias("settled"))
-    open_ = members.where("NOT settled")
-    cells = saved(open_.groupBy("hub", "step").count().select("hub", F.col("step").alias("cell"), F.ceil(F.col("count") / GROUP).cast("int").alias("rows")), "open")
+    open_ = members.where("NOT settled").select("hub", "rep", F.coalesce("step", F.lit(-1)).alias("cell"))
+    cells = saved(open_.groupBy("hub", "cell").count().select("hub", "cell", F.ceil(F.col("count") / GROUP).cast("int").alias("rows")), "open")
     if cells.isEmpty():
-        return seen.select("a", "b").limit(0)
-    others = members.withColumn("cell", F.explode(F.sequence(F.col("step") - reach, F.col("step") + reach))).select("hub", "rep", "cell")
+        return seen.select("a", F.col("a").alias("b")).limit(0)
+    low, high = F.coalesce(F.greatest(F.col("step") - reach, F.lit(0)), F.lit(0)), F.coalesce(F.col("step") + reach, F.lit(STEPS))
+    others = members.withColumn("cell", F.explode(F.concat(F.array(F.lit(-1).cast("long")), F.sequence(low.cast("long"), high.cast("long"))))).select("hub", "rep", "cell")
     others = spread_join(others, cells, ["hub", "cell"], "rep").where("rows IS NOT NULL")
     across = saved(others.groupBy("hub", "cell").agg(F.count("*").alias("n"), F.max("rows").alias("rows")).select("hub", "cell", "rows", F.ceil(F.col("n") / GROUP).cast("int").alias("columns")), "cells")
     place = lambda n: F.pmod(F.xxhash64("rep", F.lit(2)), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    down = spread_join(open_.select("hub", "rep", F.col("step").alias("cell")), across, ["hub", "cell"], "rep").withColumn("row", place("rows")).withColumn("column", spread("columns")).withColumn("side", F.lit(0))
+    down = spread_join(open_, across, ["hub", "cell"], "rep").withColumn("row", place("rows")).withColumn("column", spread("columns")).withColumn("side", F.lit(0))
     right = spread_join(others.drop("rows"), across, ["hub", "cell"], "rep").withColumn("column", place("columns")).withColumn("row", spread("rows")).withColumn("side", F.lit(1))
     keys = ["hub", "cell", "row", "column"]
-    placed = down.select(*keys, "side", "rep").unionByName(right.select(*keys, "side", "rep")).join(classes.select("rep", "digest", "check"), "rep")
-
+    placed = down.select(*keys, "side", "rep").unionByName(right.select(*keys, "side", "rep")).join(sketched, "rep").withColumn("is_hub", F.lit(False)).withColumn("of_many", F.lit(False))
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("side")  # a document on both sides counts as unsettled
         group = Group(pdf, width, percent)
@@ -373,7 +478,8 @@ def unsettled_links(docs: DataFrame, classes: DataFrame, seen: DataFrame, width:
             found += Group(own, width, percent).links()
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return texts_of(placed, docs, [*keys, "side", "rep"], width).groupBy(*keys).applyInPandas(compare, "a long, b long")
+    met = saved(near_rows(placed, keys, ["side", *keys, "rep", "digest", "check"], percent), "met")
+    return texts_of(met, docs, [*keys, "side", "rep"], width).groupBy(*keys).applyInPandas(compare, "a long, b long")
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:

@@ -368,6 +368,66 @@ def test_large_groups_are_split(docs, texts, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicate_classes(docs).collect()} == brute_components(texts)
 
 
+def crowd_of_unlike_texts(copies: int) -> list[tuple[int, str]]:
+    """Texts that share half of their shingles, so they meet, but do not link; ``copies`` of them have a copy with another last word."""
+    line = " ".join(f"line{k}" for k in range(10))
+    rows = [(i, f"{line} {' '.join(f'own{i}x{k}' for k in range(6))}") for i in range(40)]
+    return rows + [(100 + i, t.rsplit(" ", 1)[0] + " other") for i, t in rows[:copies]]
+
+
+def test_texts_are_sent_only_where_links_may_be(spark, monkeypatch):
+    sent, send = [], jaccard_join.texts_of
+
+    def counted(placed, *rest):
+        sent.append(placed.count())
+        return send(placed, *rest)
+
+    monkeypatch.setattr(jaccard_join, "texts_of", counted)
+    rows = crowd_of_unlike_texts(2)
+    got = jaccard_join.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
+    assert 4 <= sum(sent) <= 12  # the pairs' texts, and not all 42 that met
+
+
+def test_large_groups_of_unlike_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GROUP", 4)
+    monkeypatch.setattr(jaccard_join, "CROWD", 2)
+    rows = crowd_of_unlike_texts(15)
+    got = jaccard_join.near_duplicate_classes(spark.createDataFrame(rows + rows[:3], "doc_id long, text string")).collect()
+    assert len(got) == 58 and {r.doc_id: r.component_id for r in got} == brute_components(rows)
+
+
+@pytest.mark.parametrize("percent, most", [(75, 1 << 16), (75, 256), (30, 1 << 16)])
+def test_bounds_leave_out_no_link(monkeypatch, percent, most):
+    monkeypatch.setattr(jaccard_join, "SKETCH", most)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in rng.integers(1, 1500, 40)]
+    sets += [np.unique(np.append(rng.permutation(s)[: max(1, int(len(s) * rng.uniform(percent / 100, 1)))], rng.integers(0, 1 << 63, 2, np.uint64))) for s in sets[:25]]
+    side, n = rng.integers(0, 2, len(sets)), np.array([len(s) for s in sets])
+    maps = [jaccard_join.sketch(s) for s in sets]
+    for sides in (np.zeros(len(sets), np.int64), side):
+        want = np.zeros(len(sets), bool)
+        for i, a in enumerate(sets):
+            for k, b in enumerate(sets[:i]):
+                both = len(np.intersect1d(a, b))
+                if sides[i] + sides[k] < 2 and 100 * both >= percent * (len(a) + len(b) - both):
+                    want[[i, k]] = True
+        found = jaccard_join.within_bounds(n, maps, sides, percent)
+        assert want.sum() > 10 and (found | ~want).all() and (most == 256 or percent == 30 or found.sum() < len(sets))
+
+
+def test_a_full_table_of_bits_loses_no_row(spark, monkeypatch):
+    docs = spark.createDataFrame([(i - 500, f"t{i}") for i in range(1000)] + [(None, "x"), (1, None)], "doc_id long, text string")
+    named = docs.where("pmod(doc_id, 10) = 0").selectExpr("doc_id AS rep")
+    for slots in (1 << 27, 1 << 15):
+        monkeypatch.setattr(jaccard_join, "SLOTS", slots)
+        got = {r.doc_id for r in jaccard_join.among(docs, named).collect()}
+        assert {i for i in range(-500, 500) if i % 10 == 0} <= got and len(got) < 200
+    monkeypatch.setattr(jaccard_join, "SLOTS_AN_ID", 0)
+    monkeypatch.setattr(jaccard_join, "PAGE", 8)
+    assert {i for i in range(-500, 500) if i % 10 == 0} <= {r.doc_id for r in jaccard_join.among(docs, named).collect()}
+
+
 def test_links_are_confirmed_by_words(docs, texts, monkeypatch):
     nodes, sets = np.arange(3), [np.arange(10, dtype=np.uint64)] * 3
     said = {(0, 1): False, (0, 2): True, (1, 2): False}
